@@ -209,7 +209,7 @@ class LibraryIds(Remembered):
     learn() asks for all new pieces of some chunks in one call; the ids of tokens that end a piece part them.
     """
 
-    def __init__(self, name: str, most: int = 300_000) -> None:
+    def __init__(self, name: str, most: int = 600_000) -> None:
         self.lib = Tokenizer.from_file(public_tokenizers.path(name))
         self.lib.no_padding()
         self.lib.no_truncation()

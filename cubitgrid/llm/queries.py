@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubitgrid.llm import encode, fingerprint, packing
+from cubitgrid.llm import encode, fingerprint, packing, quality, toxicity
 from cubitgrid.llm.common import read
 
 
@@ -14,6 +14,11 @@ def op1_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(read(spark, sf_dir, "documents"))
 
@@ -22,6 +27,11 @@ def op7_bpe_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op6_exact_digest, op7_bpe_prefixes)}
+def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op3_quality_discriminant, op6_exact_digest, op7_bpe_prefixes, op9_toxicity_kernel)}
 
 ORACLE_SQL: dict[str, str] = {}
