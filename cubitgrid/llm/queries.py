@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubitgrid.llm import encode, fingerprint, packing, quality, toxicity
+from cubitgrid.llm import chat, encode, fingerprint, packing, quality, toxicity
 from cubitgrid.llm.common import read
 
 
@@ -19,6 +19,13 @@ def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(1).selectExpr(f"stack(2, -1L, 0L, 'user', '{said}', -1L, 1L, 'assistant', '{said}') as (conv_id, turn, role, text)")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.windows(rows))
+
+
 def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(read(spark, sf_dir, "documents"))
 
@@ -32,6 +39,6 @@ def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op3_quality_discriminant, op6_exact_digest, op7_bpe_prefixes, op9_toxicity_kernel)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op3_quality_discriminant, op4_chat_windows, op6_exact_digest, op7_bpe_prefixes, op9_toxicity_kernel)}
 
 ORACLE_SQL: dict[str, str] = {}
