@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubitgrid.llm import chat, encode, fingerprint, packing, quality, toxicity
+from cubitgrid.llm import chat, encode, fingerprint, packing, quality, secrets, toxicity
 from cubitgrid.llm.common import read
 
 
@@ -34,11 +34,15 @@ def op7_bpe_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.digests(read(spark, sf_dir, "documents"))
 
 
+def op8_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find(read(spark, sf_dir, "documents")))
+
+
 def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op3_quality_discriminant, op4_chat_windows, op6_exact_digest, op7_bpe_prefixes, op9_toxicity_kernel)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op3_quality_discriminant, op4_chat_windows, op6_exact_digest, op7_bpe_prefixes, op8_secret_battery, op9_toxicity_kernel)}
 
 ORACLE_SQL: dict[str, str] = {}
