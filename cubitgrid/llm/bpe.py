@@ -16,7 +16,7 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Fixed values of the vocabulary's pre-tokenizer and special tokens.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -213,6 +213,12 @@ class LibraryIds(Remembered):
         self.lib = Tokenizer.from_file(public_tokenizers.path(name))
         self.lib.no_padding()
         self.lib.no_truncation()
+        # pieces are normalised and cut already: for them the library needs its byte letters and merges alone
+        self.bare = Tokenizer.from_file(public_tokenizers.path(name))
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.no_padding()
+        self.bare.no_truncation()
         self.own = load(name)
         self.ends = np.zeros(max(self.own.strings) + 1, bool)
         self.ends[[i for s, i in self.own.vocab.items() if s.endswith(END)]] = True
@@ -229,13 +235,13 @@ class LibraryIds(Remembered):
         for c in new:
             if (got := self.old.get(c)) is not None:
                 self[c] = got
-            elif max(c) < "\u2000":  # letters that all versions of Unicode's tables know alike
+            elif c.isascii() or max(c) < "\u2000":  # letters that all versions of Unicode's tables know alike
                 cut[c] = (c,) if c.isalpha() else self.own.splitter.findall(c)
             else:
                 self[c] = self.make(c)
         unknown = list(set().union(*cut.values()) - self.piece_ids.keys())
         if unknown:
-            ids = np.array(self.lib.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.bare.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
             raw, at, ends = ids.tobytes(), 0, (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) != len(unknown):  # the library has other borders: ask for each chunk
                 self.update((c, self.make(c)) for c in cut)
