@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubitgrid.llm import chat, encode, fingerprint, packing, quality, secrets, toxicity
+from cubitgrid.llm import chat, encode, fingerprint, packing, pii, quality, secrets, toxicity
 from cubitgrid.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(rows))
 
 
+def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op3_quality_discriminant, op4_chat_windows, op6_exact_digest, op7_bpe_prefixes, op8_secret_battery, op9_toxicity_kernel)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op3_quality_discriminant, op4_chat_windows, op5_pii_feistel, op6_exact_digest, op7_bpe_prefixes, op8_secret_battery, op9_toxicity_kernel)}
 
 ORACLE_SQL: dict[str, str] = {}
