@@ -1,0 +1,36 @@
+"""Connected components of large graphs by alternating stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cubitgrid.llm.common import Tables
+
+
+def components(edges: DataFrame, tables: Tables, most_rounds: int = 60) -> DataFrame:
+    """(node, root) of every node of edges (a, b): root is the smallest node that it reaches.
+
+    In turn, larger neighbours and smaller neighbours of each node are hooked to its smallest one, until nothing
+    changes: rounds grow with the logarithm of the longest path. Smallest neighbours are pre-aggregated and joined
+    back, so a node with very many edges is split over tasks. Each round is a table that replaces its lineage.
+    """
+    now = tables.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    for _ in range(most_rounds):
+        # larger neighbours of a node go to the smallest of its neighbourhood
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = tables.cut(large)
+        # smaller neighbours of a node, and itself, go to the smallest of them
+        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small = tables.cut(small)
+        changed = now.exceptAll(small).limit(1).count() + small.exceptAll(now).limit(1).count()
+        tables.drop(now, large)
+        now = small
+        if not changed:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

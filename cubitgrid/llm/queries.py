@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubitgrid.llm import chat, encode, fingerprint, packing, pii, quality, secrets, toxicity
+from cubitgrid.llm import chat, encode, fingerprint, minhash, packing, pii, quality, secrets, toxicity
 from cubitgrid.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -47,6 +51,6 @@ def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op3_quality_discriminant, op4_chat_windows, op5_pii_feistel, op6_exact_digest, op7_bpe_prefixes, op8_secret_battery, op9_toxicity_kernel)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op2_minhash_near_duplicates, op3_quality_discriminant, op4_chat_windows, op5_pii_feistel, op6_exact_digest, op7_bpe_prefixes, op8_secret_battery, op9_toxicity_kernel)}
 
 ORACLE_SQL: dict[str, str] = {}
