@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubitgrid.llm import chat, encode, fingerprint, minhash, packing, pii, quality, secrets, toxicity
+from cubitgrid.llm import chat, embeddings, encode, fingerprint, minhash, packing, pii, quality, secrets, toxicity
 from cubitgrid.llm.common import read
 
 
@@ -51,6 +51,10 @@ def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op2_minhash_near_duplicates, op3_quality_discriminant, op4_chat_windows, op5_pii_feistel, op6_exact_digest, op7_bpe_prefixes, op8_secret_battery, op9_toxicity_kernel)}
+def op10_embedding_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op2_minhash_near_duplicates, op3_quality_discriminant, op4_chat_windows, op5_pii_feistel, op6_exact_digest, op7_bpe_prefixes, op8_secret_battery, op9_toxicity_kernel, op10_embedding_codes)}
 
 ORACLE_SQL: dict[str, str] = {}
