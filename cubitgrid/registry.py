@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubitgrid.plans import spatial_queries
+from cubitgrid.plans import boundary_queries, spatial_queries
 
-QUERIES = dict(spatial_queries.QUERIES)
-ORACLE_SQL = dict(spatial_queries.ORACLE_SQL)
+QUERIES = spatial_queries.QUERIES | boundary_queries.QUERIES
+ORACLE_SQL = spatial_queries.ORACLE_SQL | boundary_queries.ORACLE_SQL
