@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 
 def to_cells(rows: DataFrame, group: str, blocks: Column, salt: Column) -> DataFrame:
-    """rows with `cell`: a row of block b of a group of n blocks goes to the n cells that block b is part of."""
+    """rows with `cell` and `own`: a row of block b of a group of n blocks goes to the n cells that block b is part
+    of; own marks the cell that the block has for itself."""
     out = rows.withColumn("blocks_", F.greatest(blocks.cast("int"), F.lit(1))).withColumn("block_", F.pmod(salt, F.col("blocks_")).cast("int"))
     out = out.withColumn("with_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
-    return out.withColumn("cell", F.xxhash64(F.col(group), F.least("block_", "with_"), F.greatest("block_", "with_"))).drop("blocks_", "block_", "with_")
+    return out.withColumn("own", F.col("block_") == F.col("with_")).withColumn("cell", F.xxhash64(F.col(group), F.least("block_", "with_"), F.greatest("block_", "with_"))).drop("blocks_", "block_", "with_")
 
 
 def each_cell(rows: DataFrame, work: Callable[[dict[str, np.ndarray | pa.Array]], pa.RecordBatch | None], schema: str, partitions: int | None = None) -> DataFrame:

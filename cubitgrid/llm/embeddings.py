@@ -141,17 +141,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     groups = tables.cut(components(each_cell(met, candidates, "a bigint, b bigint"), tables))
     sizes = groups.groupBy("root").count()
     full = groups.join(sizes, "root").join(classes.select("node", "members", "vector"), "node")
-    full = full.withColumn("half", F.xxhash64("node", F.lit(2)))
-    blocks = F.ceil(F.col("count") / BLOCK_ROWS)
-    full = full.withColumn("block", F.pmod("half", blocks.cast("int")).cast("int"))
-    cells = to_cells(full, "root", blocks, F.col("half")).select("cell", "node", "block", "members", "vector")
+    half, blocks = F.xxhash64("node", F.lit(2)), F.ceil(F.col("count") / BLOCK_ROWS)
+    full = full.withColumn("block", F.pmod(half, blocks.cast("int")).cast("int"))
+    cells = to_cells(full, "root", blocks, half).select("cell", "own", "node", "block", "members", "vector")
 
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = unit(batch)
         block, members = batch.column("block").to_numpy(), batch.column("members").to_numpy()
         linked = x @ x.T >= cosine
         np.fill_diagonal(linked, False)
-        if block.min() != block.max():  # pairs inside a block are counted in the cell that it has for itself
+        if not batch.column("own")[0].as_py():  # pairs inside a block are counted in the cell that it has for itself
             linked &= block[:, None] != block[None, :]
         node = batch.column("node").to_numpy()
         member, root = forest(linked)
