@@ -18,6 +18,8 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from cubitgrid.llm.common import held
+
 #: Fixed values of the vocabulary's pre-tokenizer and special tokens.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 VOCABULARY = "word_bpe_49k.json"
@@ -180,27 +182,33 @@ class Bpe:
         return " ".join([self.strings[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(name: str = VOCABULARY) -> Bpe:
-    """Once for each Python worker; the file is part of the installed vocabulary package."""
     return Bpe(public_tokenizers.path(name))
 
 
-@lru_cache(maxsize=2)
+def encoder(name: str = VOCABULARY) -> Bpe:
+    """Once for each Python worker; the file is part of the installed vocabulary package."""
+    return held(("encoder", name), lambda: Bpe(public_tokenizers.path(name)))
+
+
 def entries(name: str = VOCABULARY) -> tuple[Bpe, Remembered]:
     """For each chunk: number of ids, ids as decimal text, decoded text."""
-    b = load(name)
 
-    def make(chunk: str) -> tuple[int, str, str]:
-        ids = b.ids(chunk)
-        return len(ids), " ".join(map(str, ids)), b.decode(ids)
+    def new() -> tuple[Bpe, Remembered]:
+        b = Bpe(public_tokenizers.path(name))
+
+        def make(chunk: str) -> tuple[int, str, str]:
+            ids = b.ids(chunk)
+            return len(ids), " ".join(map(str, ids)), b.decode(ids)
+
+        return b, Remembered(make, 250_000)
 
-    return b, Remembered(make, 250_000)
+    return held(("entries", name), new)
 
 
-@lru_cache(maxsize=2)
-def library_ids(name: str = VOCABULARY) -> tuple[Bpe, "LibraryIds"]:
-    return load(name), LibraryIds(name)
+def library_ids(name: str = VOCABULARY) -> LibraryIds:
+    return held(("library", name), lambda: LibraryIds(name))
 
 
 class LibraryIds(Remembered):
@@ -219,7 +227,7 @@ class LibraryIds(Remembered):
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bare.no_padding()
         self.bare.no_truncation()
-        self.own = load(name)
+        self.own = Bpe(public_tokenizers.path(name))
         self.ends = np.zeros(max(self.own.strings) + 1, bool)
         self.ends[[i for s, i in self.own.vocab.items() if s.endswith(END)]] = True
         self.piece_ids: dict[str, bytes] = {}

@@ -1,10 +1,9 @@
-"""What several operators share: reading, Arrow mapping, cut lineage, word caches."""
+"""What several operators share: reading, Arrow mapping, a worker's memory, labelled rows."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -48,40 +47,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        got = jdir.get() if jdir.isDefined() else None
-    if not got:
-        got = f"file://{tempfile.mkdtemp(prefix='cubitgrid-')}"
-        spark.sparkContext.setCheckpointDir(got)
-    return got
-
-
-class Tables:
-    """Intermediate tables in the shared folder; a table replaces the lineage that made it."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/t{self.n}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._cubitgrid_path = path
-        return out
-
-    def drop(self, *dfs: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        for df in dfs:
-            if path := getattr(df, "_cubitgrid_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What make() returns, kept in this worker until another key is asked for: one operator's memory at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cubitgrid.llm.cells import each_cell, forest, to_cells
-from cubitgrid.llm.common import Tables, map_batches, ship
-from cubitgrid.llm.components import components
+from cubitgrid.llm.common import map_batches, ship
+from cubitgrid.operators.components import components
+from cubitgrid.plans.tables import Tables
 from cubitgrid.llm.minhash import mix
 
 COSINE = 0.93

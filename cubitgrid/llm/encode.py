@@ -23,7 +23,7 @@ def encode(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        b = bpe.load(vocabulary)
+        b = bpe.encoder(vocabulary)
         ids = [np.array([i for c in b.chunks(t) for i in b.ids(c)], "int32") for t in texts(batch.column("text"))]
         return pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([b.decode(x.tolist()) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 

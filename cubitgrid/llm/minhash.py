@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cubitgrid.llm.cells import each_cell, forest, to_cells
-from cubitgrid.llm.common import Tables, map_batches, ship, texts
-from cubitgrid.llm.components import components
+from cubitgrid.llm.common import held, map_batches, ship, texts
+from cubitgrid.operators.components import components
+from cubitgrid.plans.tables import Tables
 
 SHINGLE = 5
 #: A pair of similarity 0.75 shares no band with a chance of (1 - 0.75^4)^32 = 5e-6.
@@ -39,18 +40,14 @@ def _constants() -> tuple[np.ndarray, int, int, np.ndarray]:
     return rng.integers(0, 1 << 63, 256, dtype="uint64") * _U(2) + _U(1), base, pow(base, -1, 1 << 64), rng.integers(0, 1 << 63, 8, dtype="uint64") * _U(2) + _U(1)
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
+    """The first powers, n or more, of the base and of its inverse."""
+    def make() -> list[np.ndarray]:
         _, base, inverse, _ = _constants()
-        size = max(n, 1 << 20)
-        for name, b in (("up", base), ("down", inverse)):
-            steps = np.full(size, b, "uint64")
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+        return [np.multiply.accumulate(np.r_[np.ones(1, "uint64"), np.full(size - 1, b, "uint64")]) for b in (base, inverse)]
+
+    size = 1 << max(20, n.bit_length())
+    return held(("powers", size), make)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -35,10 +35,10 @@ def pack(docs: DataFrame, most: int = 4096, end_id: int = END_ID, vocabulary: st
     ids_type = pa.list_(pa.int32())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        b, cache = bpe.library_ids(vocabulary)
+        cache = bpe.library_ids(vocabulary)
         rows: list[tuple] = []
         pieces: list[np.ndarray] = []
-        chunks = [b.chunks(t) for t in texts(batch.column("text"))]
+        chunks = [cache.own.chunks(t) for t in texts(batch.column("text"))]
         cache.learn(set().union(*chunks))
         for doc_id, own in zip(batch.column("doc_id").to_pylist(), chunks, strict=True):
             raw = b"".join([*[cache[c] for c in own], end])

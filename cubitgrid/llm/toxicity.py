@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubitgrid.llm.common import held_out, labelled, map_batches, texts
+from cubitgrid.llm.common import held, held_out, labelled, map_batches, texts
 
-MAX_TRAINING_ROWS = 6_000
+MAX_TRAINING_ROWS = 4_000
 LANDMARKS = 64
 ORDER, DECAY = 3, 0.7
 WINDOW = 24
@@ -155,7 +155,7 @@ class Landmarks:
 class Values(dict):
     """The machine's value of each word, or None for 0; those not asked for since the last turn are forgotten."""
 
-    def __init__(self, marks: Landmarks, weights: np.ndarray, most: int = 400_000) -> None:
+    def __init__(self, marks: Landmarks, weights: np.ndarray, most: int = 250_000) -> None:
         self.marks, self.weights, self.most, self.old = marks, weights, most, {}
 
     def learn(self, words: set[str]) -> None:
@@ -275,22 +275,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     return Machine([sentences(t) for t, _ in got], np.array([label for _, label in got], "float64"), landmarks)
 
 
-_KNOWN: dict = {}
-
-
-def _values(model: Machine) -> Values:
-    """One memory for each worker and model."""
-    key = model.weights.tobytes()
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = Values(model.marks, model.weights)
-    return _KNOWN[key]
-
-
 def scores(batch: list[str], model: Machine) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(batch), model.constant)
-    values = _values(model)
+    values = held(model.weights.tobytes(), lambda: Values(model.marks, model.weights))
     docs = [sentences(t) for t in batch]
     values.learn({w for d in docs for s in d for w in s})
     return model.score(np.array([pooled(d, values) for d in docs])) if docs else np.zeros(0)
