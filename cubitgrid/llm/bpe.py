@@ -163,18 +163,18 @@ class Bpe:
         return [x for x in re.split(WHITE, low) if x] if ODD_SPACE.search(low) else low.split()
 
     def chunks(self, text: str) -> list[str]:
-        """The text cut at white space, with special tokens on their own."""
+        """The text cut at white space, with special tokens on their own, a blank before them."""
         if "<|" not in text or not self.specials:
             return self.cut(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += [*self.cut(text[at : m.start()]), m.group()]
+            out += [*self.cut(text[at : m.start()]), " " + m.group()]
             at = m.end()
         return out + self.cut(text[at:])
 
     def ids(self, chunk: str) -> list[int]:
-        if chunk in self.special:
-            return [self.special[chunk]]
+        if chunk[0] == " ":
+            return [self.special[chunk[1:]]]
         return [self.vocab[t] for t in self.chunk(chunk)]
 
     def decode(self, ids: list[int]) -> str:
@@ -227,14 +227,15 @@ class LibraryIds(Remembered):
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bare.no_padding()
         self.bare.no_truncation()
+        self.lib.encode_special_tokens = self.bare.encode_special_tokens = True  # chunks() has taken these out
         self.own = Bpe(public_tokenizers.path(name))
         self.ends = np.zeros(max(self.own.strings) + 1, bool)
         self.ends[[i for s, i in self.own.vocab.items() if s.endswith(END)]] = True
         self.piece_ids: dict[str, bytes] = {}
-        super().__init__(lambda chunk: np.array(self.lib.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes(), most)
+        super().__init__(lambda chunk: np.array([self.own.special[chunk[1:]]] if chunk[0] == " " else self.lib.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes(), most)
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks - self.keys() if len(c) <= 64 and c not in self.own.special]
+        new = [c for c in chunks - self.keys() if len(c) <= 64 and c[0] != " "]
         if len(self) + len(new) > self.most:
             self.old = dict(self)
             self.clear()
