@@ -83,13 +83,16 @@ def union_outline(pieces: list[np.ndarray], snap: float = 1e-3) -> list[np.ndarr
                 cuts += _cuts(a, b, q, np.roll(q, -1, 0))
             t = np.unique(np.clip(cuts, 0, 1))
             ends = a + t[:, None] * (b - a)
-            for s, e in zip(ends[:-1], ends[1:], strict=True):
-                if np.hypot(*(e - s)) < snap / 2:
-                    continue
-                middle = (s + e) / 2
-                if not any(_inside(middle, pieces[j], snap / 10) for j in near):
-                    key = (*np.round(s / snap).astype(int), *np.round(e / snap).astype(int))
-                    fragments[key] = 1
+            start, end = ends[:-1], ends[1:]
+            long = np.hypot(*(end - start).T) >= snap / 2
+            middle = (start + end) / 2
+            covered = np.zeros(len(middle), bool)
+            for j in near:
+                if covered.all():
+                    break
+                covered |= _inside(middle, pieces[j], snap / 10)
+            for s, e in zip(start[long & ~covered], end[long & ~covered], strict=True):
+                fragments[*np.round(s / snap).astype(int), *np.round(e / snap).astype(int)] = 1
     kept = [k for k in fragments if (k[2], k[3], k[0], k[1]) not in fragments]
     return [r for r in _rings(kept, snap) if area(r) > 0]
 
@@ -110,10 +113,11 @@ def _cuts(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[fl
     return out + (((along - a) @ d) / length)[off < 1e-6].tolist()
 
 
-def _inside(m: np.ndarray, convex: np.ndarray, margin: float) -> bool:
+def _inside(points: np.ndarray, convex: np.ndarray, margin: float) -> np.ndarray:
+    """Which points lie strictly inside."""
     nxt = np.roll(convex, -1, 0)
     size = np.hypot(*(nxt - convex).T)
-    return bool((cross(convex, nxt, m[None]) / size > margin).all())
+    return (cross(convex[None], nxt[None], points[:, None]) / size > margin).all(1)
 
 
 def _rings(fragments: list[tuple], snap: float) -> list[np.ndarray]:

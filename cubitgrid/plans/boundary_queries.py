@@ -293,3 +293,51 @@ def scenario_url(spark, sf_dir):
     p = X.points(spark, sf_dir).join(X.scenarios(spark, sf_dir), "scenario_id")
     lat, lon = F.col("lat0") + F.floor(F.col("y") / 1000) / 100003.0, F.col("lon0") + F.floor(F.col("x") / 1000) / 100003.0
     return p.select("point_id", url(lat, lon).alias("url"))
+
+
+# whole runs and kernels that SQL can't express
+
+
+def _run(spark, sf_dir):
+    from cubitgrid.plans.run import Run
+
+    homes = X.points(spark, sf_dir).where("point_id < 25")
+    eruvs = homes.select("scenario_id", (F.col("point_id") + 1000).alias("point_id"), (F.col("x") + 300_000).alias("x"), (F.col("y") - 200_000).alias("y"))
+    return Run(spark, X.buildings(spark, sf_dir), homes, eruvs, S.Settings(fetchRadiusM=2400.0))
+
+
+@query()
+def city_outline_union(spark, sf_dir):
+    return C.outlines(_cities(spark, sf_dir)[0], GAP / 2).groupBy(*KEYS, "ring").agg(F.floor(F.max("area") / 1e6 + 0.5).cast("bigint").alias("area_m2"), F.count("*").alias("points"))
+
+
+@query()
+def squarings(spark, sf_dir):
+    return _run(spark, sf_dir).stage(4)["squarings"]
+
+
+@query()
+def keshet_cut(spark, sf_dir):
+    """Bays of all cities with a mouth over 120 amot: 3 % of the rule, for cities of a few hundred metres."""
+    from cubitgrid.operators import square as Q
+
+    outlines = C.outlines(_cities(spark, sf_dir)[0], GAP / 2)
+    squared = Q.squarings(outlines, _hull(spark, sf_dir), NOW)
+    return Q.keshet_cuts(outlines, squared, NOW, home_only=False, scale=0.03)
+
+
+@query()
+def minkowski_notch(spark, sf_dir):
+    from cubitgrid.operators import square as Q
+
+    return Q.minkowski_areas(C.outlines(_cities(spark, sf_dir)[0], GAP / 2), 10_000, 10_000, 5_000, 5_000)
+
+
+@query()
+def boundary_run(spark, sf_dir):
+    return _run(spark, sf_dir).result()
+
+
+@query()
+def run_diagnostics(spark, sf_dir):
+    return _run(spark, sf_dir).diagnostics()
