@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cubitgrid.functions import geometry as G
@@ -75,7 +76,11 @@ def corners(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.explode(F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"))).alias("c")).select(*keys, "c.x", "c.y")
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+#: Built without a session, which modules don't need to be imported.
+POINTS = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+
+
+@F.pandas_udf(POINTS)
 def _hull(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([[{"x": x, "y": y} for x, y in K.hull(np.stack([a, b], 1)).tolist()] for a, b in zip(xs, ys, strict=True)])
 
