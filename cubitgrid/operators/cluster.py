@@ -36,17 +36,19 @@ def gaps() -> tuple[Column, Column]:
 
 
 def linked_pairs(buildings: DataFrame, gap_mm: int) -> DataFrame:
-    """(scenario_id, a, b) with a < b: footprints whose outlines, grown by the octagon around half the gap, touch."""
+    """(scenario_id, a, b, at_x, at_y) with a < b: footprints whose outlines, grown by the octagon around half the gap, touch."""
     rows = buildings.select("scenario_id", "building_id", "x0", "y0", "x1", "y1")
     dx, dy = gaps()
     met = cell_pairs(rows, rows, gap_mm, gap_mm / 2 / G.COS_OCTAGON)
-    return met.where((F.col("a_building_id") < F.col("b_building_id")) & G.octagon_near(dx, dy, gap_mm)).select(F.col("a_scenario_id").alias("scenario_id"), F.col("a_building_id").alias("a"), F.col("b_building_id").alias("b"))
+    near = met.where((F.col("a_building_id") < F.col("b_building_id")) & G.octagon_near(dx, dy, gap_mm))
+    return near.select(F.col("a_scenario_id").alias("scenario_id"), F.col("a_building_id").alias("a"), F.col("b_building_id").alias("b"), F.col("a_x0").alias("at_x"), F.col("a_y0").alias("at_y"))
 
 
 def clusters(buildings: DataFrame, gap_mm: int) -> DataFrame:
     """buildings with `cluster`, the smallest building_id that is reached over links; ids are unique over scenarios."""
     tables = Tables(buildings.sparkSession, "clusters")
-    reached = components(linked_pairs(buildings, gap_mm).select("a", "b"), tables)
+    block = [F.floor(F.col(c) / (32 * gap_mm)) for c in ("at_x", "at_y")]  # neighbouring links meet in a task
+    reached = components(linked_pairs(buildings, gap_mm).repartition("scenario_id", *block), tables)
     return buildings.join(reached.select(F.col("node").alias("building_id"), "root"), "building_id", "left").withColumn("cluster", F.coalesce("root", "building_id")).drop("root")
 
 

@@ -2,35 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubitgrid.plans.tables import Tables
 
+#: Edges that a task holds at a time while it shortens paths.
+CHUNK = 200_000
+
+
+def shortened(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same nodes: of each chunk of a partition, its nodes with their smallest one.
+
+    Where neighbouring edges share a partition, most paths are gone before the first shuffle.
+    """
+
+    def forest(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        pairs = [(x, r) for x in root if (r := find(x)) != x]
+        return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield forest(held)
+                held, n = [], 0
+        if held:
+            yield forest(held)
+
+    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _signature(edges: DataFrame) -> tuple:
+    """Two sets of edges are the same if their numbers, sums and differences of hashes are."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+
 
 def components(edges: DataFrame, tables: Tables, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the smallest node that it reaches.
+    """(node, root) of every node of edges (a, b) with another end: root is the smallest node that it reaches.
 
     In turn, larger neighbours and smaller neighbours of each node are hooked to its smallest one, until nothing
     changes: rounds grow with the logarithm of the longest path. Smallest neighbours are pre-aggregated and joined
     back, so a node with very many edges is split over tasks. Each round is a table that replaces its lineage.
     """
-    now = tables.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = tables.cut(shortened(edges).distinct())
+    before = _signature(now)
     for _ in range(most_rounds):
         # larger neighbours of a node go to the smallest of its neighbourhood
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = tables.cut(large)
+        large = tables.cut(both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # smaller neighbours of a node, and itself, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        small = tables.cut(small)
-        changed = now.exceptAll(small).limit(1).count() + small.exceptAll(now).limit(1).count()
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = tables.cut(large.join(least, F.col("a") == F.col("u")).select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct())
+        after = _signature(small)
         tables.drop(now, large)
         now = small
-        if not changed:
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -162,7 +162,7 @@ def morton_order(spark, sf_dir):
 
 @query(f"with {B}, {PAIRS} select scenario_id, a, b from pr")
 def pair_gap_join(spark, sf_dir):
-    return C.linked_pairs(X.buildings(spark, sf_dir), GAP)
+    return C.linked_pairs(X.buildings(spark, sf_dir), GAP).select("scenario_id", "a", "b")
 
 
 @query(f"with recursive {CLUSTERS} select scenario_id, building_id, cluster from c")
