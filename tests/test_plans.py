@@ -102,6 +102,17 @@ def test_rays(spark, heights):
     assert walk(spark, heights) == pytest.approx(brute(heights), abs=1e-3)
 
 
+def test_start_city_is_taken_without_gain(spark):
+    areas = spark.createDataFrame([(1, 1, 0, 0, 1_000, 1_000, 500, 3_000)], "area_id bigint, scenario_id bigint, minx bigint, miny bigint, maxx bigint, maxy bigint, start_x bigint, start_y bigint")
+    areas = areas.select("*", *[F.lit(5_000).alias(f"reach_{s}") for s in T.SIDES])
+    cities = spark.createDataFrame([(1, 7, 200, 2_000, 800, 9_000), (1, 8, -400, -3_000, 300, -2_000), (1, 9, 900, 500, 2_000, 700)], "scenario_id bigint, cluster bigint, minx bigint, miny bigint, maxx bigint, maxy bigint")
+    got = {(r.cluster, r.side, r.part): (r.minx, r.miny, r.maxx, r.maxy) for r in T.swallowed(areas, cities, 100, 500, start_city=True).collect()}
+    assert got == {(7, "n", 1): (200, 2_000, 800, 9_000), (8, "s", 1): (-400, -3_000, 300, -2_000), (8, "s", 2): (-400, -5_900, 300, -5_000)}
+    assert {r.cluster for r in T.swallowed(areas, cities, 100, 500).collect()} == {8}
+    rema = {(r.cluster, r.part): (r.minx, r.maxx) for r in T.swallowed(areas, cities, 100, 500, width="rema", length="fullWidth").collect()}
+    assert rema == {(8, 1): (-900, 800), (8, 2): (-5_000, 6_000)}
+
+
 # areas, text, sources
 
 
