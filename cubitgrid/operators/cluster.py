@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from cubitgrid.functions import geometry as G
 from cubitgrid.functions import kernels as K
 from cubitgrid.operators.components import components
+from cubitgrid.plans.shipping import ship
 from cubitgrid.plans.tables import Tables
 
 
@@ -92,6 +93,7 @@ def hulls(points: DataFrame, keys: list[str], parts: int = 16) -> DataFrame:
 
     A hull of hulls is the hull: parts of a group are reduced first, so no task takes a group whole.
     """
+    ship(points.sparkSession)
     at = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     part = F.pmod(F.xxhash64("x", "y"), F.lit(parts))
 
@@ -128,4 +130,5 @@ def outlines(clustered: DataFrame, radius_mm: float) -> DataFrame:
         rows = [(pdf.scenario_id.iloc[0], pdf.cluster.iloc[0], k, i, *p, K.area(ring)) for k, ring in enumerate(K.union_outline(pieces, snap=1.0)) for i, p in enumerate(ring)]
         return pd.DataFrame(rows, columns=["scenario_id", "cluster", "ring", "i", "x", "y", "area"])
 
+    ship(clustered.sparkSession)
     return clustered.groupBy("scenario_id", "cluster").applyInPandas(work, "scenario_id bigint, cluster bigint, ring bigint, i bigint, x double, y double, area double")
