@@ -48,7 +48,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return counts.where("n_copies = 1").select("fingerprint", "group_id", "n_copies").unionByName(compared.select("fingerprint", "group_id", "n_copies"))
 
 
-def edited_likeness(docs: DataFrame, rows_per_range: int = 2_000) -> DataFrame:
+def edited_likeness(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int = 10_000) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how both compare.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). The edit takes the
@@ -56,14 +56,14 @@ def edited_likeness(docs: DataFrame, rows_per_range: int = 2_000) -> DataFrame:
     ordered by doc_id (nulls first, equal ids by text) and the last is followed by the first. An exact digest
     knows equal or not: likeness is 1 if fingerprints and canonical bytes are equal, else 0.
 
-    Texts are dealt by ranges of doc_id, once. Each range's first row goes to the range before as well; only
-    these ids, one for each range, are gathered. A single row is followed by itself; an empty table gives none.
+    Texts are dealt by ranges of doc_id, once; beyond most_ranges, ranges grow longer instead of more. Each range's
+    first row goes to the range before as well; only these ids, one for each range, are gathered. A single row is followed by itself; an empty table gives none.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
-    ranges = max(1, n // rows_per_range)
+    ranges = min(max(1, n // rows_per_range), most_ranges)
     cuts = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100_000).alias("c")).first()["c"] if ranges > 1 else []
     bounds = np.unique(np.array(cuts or [], dtype="int64"))
 
@@ -77,7 +77,7 @@ def edited_likeness(docs: DataFrame, rows_per_range: int = 2_000) -> DataFrame:
     # of rows with the range's first id, the one with the smallest text comes first
     head = rows.join(F.broadcast(heads), rows["key"] == heads["first"]).groupBy("before").agg(F.min("text").alias("text"))
     dealt = rows.select(range_of("key").alias("range"), F.lit(0).alias("after"), "key", "doc_id", "text").unionByName(head.select(F.col("before").alias("range"), F.lit(1).alias("after"), F.lit(0).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("doc_id"), "text"))
-    dealt = dealt.repartition(max(1, min(len(firsts), 20_000)), "range").sortWithinPartitions("range", "after", "key", "text").select("after", "doc_id", "text")
+    dealt = dealt.repartition(max(1, len(firsts)), "range").sortWithinPartitions("range", "after", "key", "text").select("after", "doc_id", "text")
 
     def run(batches):
         held = None
