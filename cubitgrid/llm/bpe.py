@@ -211,52 +211,63 @@ def library_ids(name: str = VOCABULARY) -> LibraryIds:
     return held(("library", name), lambda: LibraryIds(name))
 
 
-class LibraryIds(Remembered):
-    """For each chunk: its ids by the tokenizers library, as little-endian unsigned 32-bit numbers.
+class LibraryIds:
+    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit numbers.
 
-    learn() asks for all new pieces of some chunks in one call; the ids of tokens that end a piece part them.
+    The library is asked once for each distinct piece: texts are cut as it cuts them, and all new pieces of some
+    texts go to it in one call, which the ids of tokens that end a piece part again. Texts with special tokens or
+    with characters from U+2000 on, which versions of Unicode's tables may class otherwise, go to it whole.
     """
 
-    def __init__(self, name: str, most: int = 600_000) -> None:
+    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
+    LATER = re.compile("[\u2000-\U0010ffff]").search
+
+    def __init__(self, name: str, most: int = 700_000) -> None:
         self.lib = Tokenizer.from_file(public_tokenizers.path(name))
-        self.lib.no_padding()
-        self.lib.no_truncation()
         # pieces are normalised and cut already: for them the library needs its byte letters and merges alone
         self.bare = Tokenizer.from_file(public_tokenizers.path(name))
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.bare.no_padding()
-        self.bare.no_truncation()
-        self.lib.encode_special_tokens = self.bare.encode_special_tokens = True  # chunks() has taken these out
-        self.own = Bpe(public_tokenizers.path(name))
-        self.ends = np.zeros(max(self.own.strings) + 1, bool)
-        self.ends[[i for s, i in self.own.vocab.items() if s.endswith(END)]] = True
-        self.piece_ids: dict[str, bytes] = {}
-        super().__init__(lambda chunk: np.array([self.own.special[chunk[1:]]] if chunk[0] == " " else self.lib.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes(), most)
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks - self.keys() if len(c) <= 64 and c[0] != " "]
-        if len(self) + len(new) > self.most:
-            self.old = dict(self)
-            self.clear()
-            self.piece_ids.clear()
-        cut = {}
-        for c in new:
-            if (got := self.old.get(c)) is not None:
-                self[c] = got
-            elif c.isascii() or max(c) < "\u2000":  # letters that all versions of Unicode's tables know alike
-                cut[c] = (c,) if c.isalpha() else self.own.splitter.findall(c)
-            else:
-                self[c] = self.make(c)
-        unknown = list(set().union(*cut.values()) - self.piece_ids.keys())
-        if unknown:
-            ids = np.array(self.bare.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
-            raw, at, ends = ids.tobytes(), 0, (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(unknown):  # the library has other borders: ask for each chunk
-                self.update((c, self.make(c)) for c in cut)
-                return
-            for p, end in zip(unknown, ends, strict=True):
-                self.piece_ids[p] = raw[4 * at : 4 * end]
-                at = end
-        for c, pieces in cut.items():
-            self[c] = b"".join([self.piece_ids[p] for p in pieces])
+        for t in (self.lib, self.bare):
+            t.no_padding()
+            t.no_truncation()
+        vocab = self.bare.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith(END)]] = True
+        self.any = regex.compile(SPLIT).findall
+        self.most, self.known = most, {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def pieces(self, text: str) -> list[str] | None:
+        """The text's pieces; None if the library has to see it whole."""
+        if "<|" in text:
+            return None
+        if text.isascii():
+            return self.ASCII(text.lower())
+        if self.LATER(text):
+            return None
+        return self.any(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.known) + len(pieces) > self.most:
+            self.known.clear()
+        new = list(pieces - self.known.keys())
+        if not new:
+            return
+        ids = np.array(self.bare.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        raw, at, ends = ids.tobytes(), 0, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        for p, end in zip(new, ends, strict=True):
+            self.known[p] = raw[at:end]
+            at = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.pieces(t) for t in texts]
+        pieces = set().union(*[c for c in cut if c])
+        self.learn(pieces)
+        get = self.known.get
+        out = [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        for p in [p for p in pieces if len(p) > 64]:
+            del self.known[p]
+        return out

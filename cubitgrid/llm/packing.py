@@ -35,13 +35,11 @@ def pack(docs: DataFrame, most: int = 4096, end_id: int = END_ID, vocabulary: st
     ids_type = pa.list_(pa.int32())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cache = bpe.library_ids(vocabulary)
+        raws = bpe.library_ids(vocabulary).encode(texts(batch.column("text")))
         rows: list[tuple] = []
         pieces: list[np.ndarray] = []
-        chunks = [cache.own.chunks(t) for t in texts(batch.column("text"))]
-        cache.learn(set().union(*chunks))
-        for doc_id, own in zip(batch.column("doc_id").to_pylist(), chunks, strict=True):
-            raw = b"".join([*[cache[c] for c in own], end])
+        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raws, strict=True):
+            raw += end
             total, at = len(raw) // 4, 0
             for size in binary_lengths(total, most):
                 piece = raw[4 * at : 4 * (at + size)]

@@ -25,10 +25,9 @@ def test_dynamic_programming_equals_library(library):
     texts = ["", " ", "a" * 3000, "!" * 500, "<|endoftext|>x<|startoftext|>", "<|ENDOFTEXT|>", "y" * 70 + "<|ENDOFTEXT|>"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
     own = bpe.LibraryIds(bpe.VOCABULARY, most=500)
     for t in texts:
-        own.learn(set(b.chunks(t)))
+        assert own.encode([t])[0] == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         ids = [i for c in b.chunks(t) for i in b.ids(c)]
         assert ids == library.encode(t, add_special_tokens=False).ids, repr(t)
-        assert b"".join(own[c] for c in b.chunks(t)) == np.array(ids, "<u4").tobytes()
         assert b.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
