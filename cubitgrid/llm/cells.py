@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubitgrid.llm.common import give_back
+
 
 def to_cells(rows: DataFrame, group: str, blocks: Column, salt: Column) -> DataFrame:
     """rows with `cell` and `own`: a row of block b of a group of n blocks goes to the n cells that block b is part
@@ -42,6 +44,7 @@ def each_cell(rows: DataFrame, work: Callable[[dict[str, np.ndarray | pa.Array]]
             held.append(batch.slice(at))
         if held:
             yield from done(held)
+        give_back()
 
     def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

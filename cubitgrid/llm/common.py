@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -43,10 +46,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = fn(batch.slice(at, SLICE_ROWS))
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return what this worker no longer uses to the system: a worker lives through many tasks of many operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its free pages
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _HELD: dict = {}
 
 
@@ -54,6 +66,7 @@ def held(key, make: Callable):
     """What make() returns, kept in this worker until another key is asked for: one operator's memory at a time."""
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 

@@ -155,7 +155,7 @@ class Landmarks:
 class Values(dict):
     """The machine's value of each word, or None for 0; those not asked for since the last turn are forgotten."""
 
-    def __init__(self, marks: Landmarks, weights: np.ndarray, most: int = 250_000) -> None:
+    def __init__(self, marks: Landmarks, weights: np.ndarray, most: int = 150_000) -> None:
         self.marks, self.weights, self.most, self.old = marks, weights, most, {}
 
     def learn(self, words: set[str]) -> None:
