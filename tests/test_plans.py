@@ -247,3 +247,19 @@ def test_stream_of_points(spark, town, tmp_path):
     q = measure_stream(stream, source, str(tmp_path / "checkpoint"), lambda df, i: seen.update({i: df.collect()}), once=True)
     q.awaitTermination(240)
     assert q.exception() is None and [r.scenario_id for r in seen[0]] == [1]
+
+
+# merging
+
+
+def test_triangle_around_a_wide_middle(spark):
+    """1 km of b, 500 m beside a gap of 1.1 km: a and c are farther apart than a side may be."""
+    from cubitgrid.operators import merge as M
+
+    middle = [(1, 30 + i, 30, 50_000 + i * 100_000, 600_000, 150_000 + i * 100_000, 620_000) for i in range(10)]
+    buildings = spark.createDataFrame([(1, 10, 10, -20_000, 0, 0, 100_000), (1, 11, 10, -90_000, 0, -70_000, 100_000), (1, 20, 20, 1_100_000, 0, 1_120_000, 100_000), *middle], "scenario_id bigint, building_id bigint, cluster bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    now = S.Settings()
+    links = lambda rows: {(r.a, r.b) for r in M.triangle_links(C.summary(rows, 0), rows, GAP, now.mm(S.TRIANGLE_SIDE), now.mm(S.TRIANGLE_SPAN)).collect()}
+    assert links(buildings) == {(10, 20), (10, 30)}
+    other = spark.createDataFrame([(1, 40, 40, 500_000, 40_000, 520_000, 60_000)], buildings.schema)
+    assert links(buildings.unionByName(other)) & {(10, 20), (10, 30)} == set()
