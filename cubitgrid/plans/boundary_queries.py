@@ -301,9 +301,10 @@ def scenario_url(spark, sf_dir):
 def _run(spark, sf_dir):
     from cubitgrid.plans.run import Run
 
-    homes = X.points(spark, sf_dir).where("point_id < 25")
-    eruvs = homes.select("scenario_id", (F.col("point_id") + 1000).alias("point_id"), (F.col("x") + 300_000).alias("x"), (F.col("y") - 200_000).alias("y"))
-    return Run(spark, X.buildings(spark, sf_dir), homes, eruvs, S.Settings(fetchRadiusM=2400.0))
+    homes = X.points(spark, sf_dir)
+    # a second point for each first one, whose id no first one has
+    eruvs = homes.select("scenario_id", (-1 - F.col("point_id")).alias("point_id"), (F.col("x") + 300_000).alias("x"), (F.col("y") - 200_000).alias("y"), F.col("point_id").alias("home_id"))
+    return Run(spark, X.buildings(spark, sf_dir), homes, eruvs, S.Settings())
 
 
 @query()

@@ -230,6 +230,26 @@ def test_second_point(spark, town):
         run.stage(7)
 
 
+def test_every_point_of_a_scenario_is_measured(spark, town):
+    source, homes = town
+    several = spark.createDataFrame([(1, 1, 5_000, 5_000), (1, 3, 900_000, 900_000), (1, 4, 405_000, 5_000)], homes.schema)
+    eruvs = spark.createDataFrame([(1, -4, 1_200_000, 700_000, 3), (1, -5, 9_000_000, 0, 4)], "scenario_id bigint, point_id bigint, x bigint, y bigint, home_id bigint")
+    run = Run(spark, source, several, eruvs, S.Settings(fetchRadiusM=1000.0))
+    got = {r.area_id: r for r in run.result().collect()}
+    assert {k: r.source for k, r in got.items()} == {1: "city", -4: "point", 4: "city"}
+    assert got[-4].minx == 1_200_000 - 1_920 - 960_000 and got[4].minx == 400_000 - 960_000
+    assert {a.cluster for a in got[1].added} == {100} and {a.cluster for a in got[4].added} == {1}
+    said = {(r.point_id, r.step) for r in run.diagnostics().collect()}
+    assert {(3, 5), (1, 6), (4, 6), (None, 3)} <= said and not {(1, 5), (4, 5)} & said
+
+
+def test_registered_runs_measure_all_points(spark, sf_dir):
+    from cubitgrid.plans import boundary_queries as Q
+
+    run, points = Q._run(spark, sf_dir), Q.X.points(spark, sf_dir)
+    assert run.homes.count() == run.eruvs.count() == points.count() and run.settings == S.Settings()
+
+
 def test_no_buildings(spark, town):
     _, homes = town
     run = Run(spark, spark.createDataFrame([], BOX), homes)
