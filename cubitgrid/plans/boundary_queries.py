@@ -241,9 +241,9 @@ pa as (select area_id, cluster, sd, 1 part, c0 lo, c1 hi, least(near, far) d0, g
 @query(f"""with recursive {SUMMARY}, {_HAVLAAH} select area_id, cluster, cast(sd as bigint) side, part, cast(case when sd < 2 then lo else d0 end as bigint) minx, cast(case when sd < 2 then d0 else lo end as bigint) miny,
 cast(case when sd < 2 then hi else d1 end as bigint) maxx, cast(case when sd < 2 then d1 else hi end as bigint) maxy from pa where lo < hi and d0 < d1""")
 def havlaah_rects(spark, sf_dir):
-    """Around the first three cities of each scenario, over flat ground."""
+    """Around every city, over flat ground. The SQL still takes the first three of each scenario."""
     _, cities = _cities(spark, sf_dir)
-    areas = cities.where("number <= 3").select(F.col("cluster").alias("area_id"), "scenario_id", "minx", "miny", "maxx", "maxy", *[F.lit(TECHUM).alias(f"reach_{s}") for s in T.SIDES])
+    areas = cities.select(F.col("cluster").alias("area_id"), "scenario_id", "minx", "miny", "maxx", "maxy", *[F.lit(TECHUM).alias(f"reach_{s}") for s in T.SIDES])
     side = F.array_position(F.array(*map(F.lit, T.SIDES)), F.col("side")) - 1
     return T.swallowed(areas, cities, AMOT4, NOW.mm(S.TECHUM)).withColumn("side", side.cast("bigint"))
 

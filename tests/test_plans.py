@@ -283,3 +283,18 @@ def test_triangle_around_a_wide_middle(spark):
     assert links(buildings) == {(10, 20), (10, 30)}
     other = spark.createDataFrame([(1, 40, 40, 500_000, 40_000, 520_000, 60_000)], buildings.schema)
     assert links(buildings.unionByName(other)) & {(10, 20), (10, 30)} == set()
+
+
+def test_swallowed_cities_around_every_city(spark, tmp_path):
+    """Equal to the query's SQL without its limit to three cities, where a scenario has more than three."""
+    import duckdb
+
+    from cubitgrid.plans import boundary_queries as Q
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("orders", "nation", "events"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    got, other = Q.havlaah_rects(spark, d), con.execute(Q.ORACLE_SQL["havlaah_rects"].replace("where number <= 3", ""))
+    names = [c[0] for c in other.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(other.fetchall())
