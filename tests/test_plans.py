@@ -285,6 +285,21 @@ def test_triangle_around_a_wide_middle(spark):
     assert links(buildings.unionByName(other)) & {(10, 20), (10, 30)} == set()
 
 
+def test_corridors_in_every_direction(spark):
+    """a and c beside, above and oblique to each other, with b in a recess beyond the ends of the shortest line."""
+    from cubitgrid.operators import merge as M
+
+    box = lambda k, *xy: (k // 10, k, *xy)
+    rows = [box(10, 0, 0, 10, 10), box(11, 0, 50, 10, 60), box(12, 30, 20, 40, 30), box(13, 30, 70, 40, 80)]
+    rows += [box(20, 0, 0, 10, 10), box(21, 50, 50, 60, 60), box(22, 40, 10, 50, 20), box(23, -30, -30, -20, -20), box(24, 8, -10, 12, 1)]
+    rows += [box(30, 0, 50, 10, 60), box(31, 50, 0, 60, 10), box(32, 40, 40, 50, 50)]
+    cities = spark.createDataFrame(rows, "scenario_id bigint, cluster bigint, minx bigint, miny bigint, maxx bigint, maxy bigint")
+    got = {(r.a, r.c, r.b) for r in M.corridors(cities, 200).collect()}
+    assert (10, 11, 12) in got and (10, 11, 13) not in got
+    assert {(20, 21, 22), (20, 21, 24)} <= got and (20, 21, 23) not in got
+    assert (30, 31, 32) in got
+
+
 def test_swallowed_cities_around_every_city(spark, tmp_path):
     """Equal to the query's SQL without its limit to three cities, where a scenario has more than three."""
     import duckdb
