@@ -23,6 +23,11 @@ PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d|\.\d)"
 KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ssn": SSN, "ipv4": IPV4, "card": CARD, "phone": PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Groups of digits that may hold cards among other numbers, however many.
+RUN = r"(?<![\d.])\d(?:[ -]?\d){12,}(?!\d|\.\d)"
+ANY_RUN = "|".join(f"(?:{RUN if k == 'card' else p})" for k, p in KINDS.items())
+#: Noncharacters that stand at the ends of accepted parts while a text is worked on; the first that it doesn't hold.
+MARKS = ("\ufdd0", "\ufdd1", "\ufdd2")
 
 ROUNDS = 10
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -208,15 +213,59 @@ def pseudonym(value: Column, key: str) -> Column:
     return reduce(lambda rest, case: F.when(*case).otherwise(rest), reversed(cases), value)
 
 
+def _mark_cards(run: Column, mark: Column) -> Column:
+    """A run of digit groups with marks around its cards: from each group on the most groups that pass the check."""
+    groups, between = F.split(run, "[ -]"), F.split(run, "[0-9]+")
+    digits = lambda g, i, n: F.array_join(F.slice(g, i, n), "")
+
+    def step(g: Column):
+        def one(acc: Column, i: Column) -> Column:
+            most = F.least(F.size(g) - i + 1, F.lit(19))
+            good = F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: _let(digits(g, i, n), lambda d: F.char_length(d).between(13, 19) & (_luhn_sum(d, False) % 10 == 0)))
+            taken = _let(F.when(i >= acc["next"], F.get(good, F.lit(0))), lambda n: F.when(n.isNull(), acc).otherwise(F.struct((i + n).cast("int").alias("next"), F.concat(acc["first"], F.array(i)).alias("first"), F.concat(acc["last"], F.array((i + n - 1).cast("int"))).alias("last"))))
+            return taken
+
+        return one
+
+    def marked(g: Column) -> Column:
+        none = F.array().cast("array<int>")
+        begin = F.struct(F.lit(1).alias("next"), none.alias("first"), none.alias("last"))
+        found = F.aggregate(F.sequence(F.lit(1), F.size(g)), begin, step(g))
+        at = lambda ends, i: F.when(F.array_contains(ends, i), mark).otherwise("")
+        return _let(found, lambda f: F.when(F.size(f["first"]) == 0, run).otherwise(F.array_join(F.transform(g, lambda x, i: F.concat(F.get(between, i), at(f["first"], i + 1), x, at(f["last"], i + 1))), "")))
+
+    return _let(groups, marked)
+
+
+def _mark_iban(value: Column, mark: Column) -> Column:
+    """A match of IBAN that fails its check with a mark after the most groups that pass it."""
+    def marked(g: Column) -> Column:
+        good = lambda n: _let(F.array_join(F.slice(g, F.lit(1), n), ""), lambda p: (F.char_length(p) >= 15) & (_mod97(F.concat(F.substring(p, F.lit(5), F.char_length(p) - 4), F.substring(p, 1, 4))) == 1))
+        most = F.get(F.filter(F.sequence(F.size(g), F.lit(1), F.lit(-1)), good), F.lit(0))
+        return _let(most, lambda n: F.when(n.isNull() | (n == F.size(g)), value).otherwise(F.concat(F.array_join(F.slice(g, F.lit(1), n), " "), mark, F.lit(" "), F.array_join(F.slice(g, n + 1, F.size(g)), " "))))
+
+    return _let(F.split(value, " "), marked)
+
+
+def _parted(text: Column, mark: Column) -> Column:
+    """The text with marks where a card or IBAN ends within a longest match, or a card begins within one."""
+    ibans = F.when(text.rlike(IBAN), rewrite(text, f"(?:{EMAIL})|(?:{IBAN})", lambda m: F.when(m.rlike(f"^(?:{IBAN})$"), _mark_iban(m, mark)).otherwise(m))).otherwise(text)
+    return _let(ibans, lambda t: F.when(t.rlike(RUN), rewrite(t, ANY_RUN, lambda m: F.when(m.rlike(f"^(?:{RUN})$"), _mark_cards(m, mark)).otherwise(m))).otherwise(t))
+
+
 def protect(text: Column, key: str) -> Column:
-    return rewrite(text, ANY, lambda m: pseudonym(m, key))
+    free = F.coalesce(*[F.when(~text.contains(m), m) for m in MARKS], F.lit(""))
+    whole = lambda t: rewrite(t, ANY, lambda m: pseudonym(m, key))
+    parted = lambda mark: F.replace(_let(_parted(text, mark), whole), mark, F.lit(""))
+    return F.when(text.rlike(f"(?:{IBAN})|(?:{RUN})"), _let(free, parted)).otherwise(whole(text))
 
 
 def replace_personal_data(docs: DataFrame, key: str = "cubitgrid") -> DataFrame:
     """docs with pseudonyms in `text`; every other column as it is.
 
     E-mail addresses, IPv4 addresses, IBANs and card numbers with right check digits, social security and phone
-    numbers, and dates from 1900-01-01 on (270 * 271 days) are replaced; numbers that fail their check stay.
+    numbers, and dates from 1900-01-01 on (270 * 271 days) are replaced; numbers that fail their check stay. Where
+    groups of digits or letters follow or precede a card or IBAN, its own groups are found by their check.
     Null texts stay null and empty ones empty; rows, repeated ones too, are kept one for one. The key decides
     the pseudonyms: keep it secret, and the same for all data that has to stay linked.
     """

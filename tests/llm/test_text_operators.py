@@ -126,3 +126,18 @@ def test_permutations_are_one_to_one(spark):
     assert len({r.a for r in out}) == len({r.b for r in out}) == 1000 and sum(r.a == r.c for r in out) < 30
     days = spark.range(0, 73170, 73).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     assert len({r[0] for r in days.select(pii.pseudonym(F.col("d"), "key")).collect()}) == days.count()
+
+
+def test_card_or_iban_among_other_groups(spark):
+    from pyspark.sql import functions as F
+
+    from cubitgrid.llm.pii import protect
+
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [f"{card} 123", f"{card} 12/27", f"{card} 123 {card} 123 end", f"id 123 {card}", f"1234 5678 {card}", f"{iban} BIC", f"{iban} {card} 123", f"{card} 123-45-6789", f"﷐ {card} 123", "4111 1111 1111 1112 123"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", protect(F.col("text"), "k").alias("t")).orderBy("i").collect()]
+    one, other = (spark.createDataFrame([(t,)], "t string").select(protect(F.col("t"), "k").alias("t")).first().t for t in (card, iban))
+    assert one != card and other != iban
+    assert got[:7] == [t.replace(card, one).replace(iban, other) for t in texts[:7]]
+    assert got[7].startswith(one + " ") and not got[7].endswith("123-45-6789")
+    assert got[8] == f"﷐ {one} 123" and got[9] == texts[9]
