@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from cubitgrid.functions import geometry as G
 from cubitgrid.functions import kernels as K
-from cubitgrid.operators.components import components
+from cubitgrid.operators.components import CHUNK, components
 from cubitgrid.plans.shipping import ship
 from cubitgrid.plans.tables import Tables
 
@@ -49,7 +49,7 @@ def clusters(buildings: DataFrame, gap_mm: int) -> DataFrame:
     """buildings with `cluster`, the smallest building_id that is reached over links; ids are unique over scenarios."""
     tables = Tables(buildings.sparkSession, "clusters")
     block = [F.floor(F.col(c) / (32 * gap_mm)) for c in ("at_x", "at_y")]  # neighbouring links meet in a task
-    reached = components(linked_pairs(buildings, gap_mm).repartition("scenario_id", *block), tables)
+    reached = components(linked_pairs(buildings, gap_mm).repartition("scenario_id", *block), tables, in_task=CHUNK)
     return buildings.join(reached.select(F.col("node").alias("building_id"), "root"), "building_id", "left").withColumn("cluster", F.coalesce("root", "building_id")).drop("root")
 
 

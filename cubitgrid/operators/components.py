@@ -8,10 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubitgrid.plans.shipping import ship
 from cubitgrid.plans.tables import Tables
 
 #: Edges that a task holds at a time while it shortens paths.
 CHUNK = 200_000
+#: Nodes whose edges stay where they are, at most, and the fewest edges of such a node.
+HUBS, LEAST_HUB = 1_000, 256
 
 
 def shortened(edges: DataFrame) -> DataFrame:
@@ -48,6 +51,7 @@ def shortened(edges: DataFrame) -> DataFrame:
         if held:
             yield forest(held)
 
+    ship(edges.sparkSession)
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -57,24 +61,42 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
 
 
-def components(edges: DataFrame, tables: Tables, most_rounds: int = 60) -> DataFrame:
+def _hooked(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) with m of least (u, m, n) at u = a.
+
+    A node with more than `many` edges is broadcast with its m, so that its edges stay where they are: of n edges no
+    more than HUBS nodes can have so many. The rest are joined by a shuffle, in which no node has more than `many`.
+    """
+    many = max(LEAST_HUB, n // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > many).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+    rows = edges.join(hubs, F.col("a") == F.col("hub"), "left")
+    # a hub's edges are dealt by their other end; what they meet there doesn't matter
+    at = rows.withColumn("at", F.when(F.col("hub").isNull(), F.col("a")).otherwise(F.col("b")))
+    met = at.join(least.where(F.col("n") <= many).select("u", "m"), F.col("at") == F.col("u"), "left")
+    return met.select("a", "b", F.coalesce("hub_m", "m").alias("m"))
+
+
+def components(edges: DataFrame, tables: Tables, most_rounds: int = 60, in_task: int = 0) -> DataFrame:
     """(node, root) of every node of edges (a, b) with another end: root is the smallest node that it reaches.
 
     In turn, larger neighbours and smaller neighbours of each node are hooked to its smallest one, until nothing
     changes: rounds grow with the logarithm of the longest path. Smallest neighbours are pre-aggregated and joined
-    back, so a node with very many edges is split over tasks. Each round is a table that replaces its lineage.
+    back without dealing a node's many edges to one task. Each round is a table that replaces its lineage. A graph of
+    at most in_task edges after paths are shortened, CHUNK at most, is finished in one task, with the same result.
     """
     now = tables.cut(shortened(edges).distinct())
     before = _signature(now)
+    if before[0] <= min(in_task, CHUNK):
+        now, most_rounds = shortened(now.coalesce(1)), 0
     for _ in range(most_rounds):
         # larger neighbours of a node go to the smallest of its neighbourhood
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = tables.cut(both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
+        large = tables.cut(_hooked(both.where("b > a"), least, 2 * before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # smaller neighbours of a node, and itself, go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), "m", "n")
         ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        small = tables.cut(large.join(least, F.col("a") == F.col("u")).select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct())
+        small = tables.cut(_hooked(large, least, 2 * before[0]).select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct())
         after = _signature(small)
         tables.drop(now, large)
         now = small
@@ -82,5 +104,6 @@ def components(edges: DataFrame, tables: Tables, most_rounds: int = 60) -> DataF
             break
         before = after
     else:
-        raise RuntimeError("components did not settle")
+        if most_rounds:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

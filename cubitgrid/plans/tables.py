@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is set only where there is none."""
+    """The session's checkpoint folder. Where none is set, one in the warehouse, which a cluster's driver and executors
+    share; a local session, as in tests, takes a folder of this machine."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         got = known.get() if known.isDefined() else None
     if not got:
-        got = f"file://{tempfile.mkdtemp(prefix='cubitgrid-')}"
+        local = spark.sparkContext.master.startswith("local")
+        got = f"file://{tempfile.mkdtemp(prefix='cubitgrid-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_cubitgrid"
         spark.sparkContext.setCheckpointDir(got)
     return got
 
