@@ -2,7 +2,9 @@
 
 The last token of the encoding of a prefix is unique: a token t that ends at i is it exactly if t may follow
 the last token of the prefix before t. An automaton over all tokens yields the tokens that end at each place;
-whether two tokens may stand side by side follows from the merges alone and is remembered per pair.
+whether two tokens may stand side by side follows from the merges alone and is remembered per pair. The automaton is
+built over the tokens (as Aho and Corasick do): its links lead to the longest token that is a suffix of what was read,
+which is what a suffix automaton of the text would be asked for.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
 
-#: Characters that str.split() takes for white space and the tokenizer does not.
+#: Characters that str.split() takes for white space and the tokenizer does not; what the tokenizer takes for it.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 WHITE = r"[\t-\r\x20\x85\xa0  -     　]+"
 FAR = 1 << 62
@@ -59,6 +61,36 @@ class Remembered(dict):
         return got
 
 
+class Letters:
+    """Whether the library and the installed Unicode tables fold and cut a text alike.
+
+    Versions of these tables differ in some characters. Each character is asked for once: alone, between letters,
+    digits and blanks, and among accents whose order depends on it. `own` gives a text's pieces by the installed tables.
+    """
+
+    PROBES = ("{0}", "ab{0}c", "1{0}2 {0} .{0}.", "a\u0315{0}\u0300\u0316{0}\u05b0", "{0}\u0301\u0327x")
+
+    def __init__(self, lib: Tokenizer, own) -> None:
+        self.lib, self.own = lib, own
+        self.letters = byte_letters()
+        self.alike: set[str] = set()
+        self.other: set[str] = set()
+
+    def by_library(self, text: str) -> list[str]:
+        """Pieces in byte letters."""
+        return [p for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(text))]
+
+    def _same(self, c: str) -> bool:
+        texts = [p.format(c) for p in self.PROBES]
+        return unicodedata.category(c) != "Cn" and all(self.by_library(t) == ["".join([self.letters[b] for b in p.encode()]) for p in self.own(t)] for t in texts)
+
+    def agree(self, text: str) -> bool:
+        chars = set(text)
+        for c in chars - self.alike - self.other:
+            (self.alike if self._same(c) else self.other).add(c)
+        return self.other.isdisjoint(chars)
+
+
 class Bpe:
     """Encoder and decoder over one vocabulary file."""
 
@@ -81,6 +113,7 @@ class Bpe:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.longest = max(map(len, self.vocab))
         self.pieces = Remembered(self.piece)
+        self.tables = Letters(Tokenizer.from_file(path), lambda t: [p for c in self.cut(t) for p in self.splitter.findall(c)])
         self.inner, self.final = self._automaton(False), self._automaton(True)
 
     def _automaton(self, final: bool) -> ahocorasick.Automaton:
@@ -163,18 +196,23 @@ class Bpe:
         return [x for x in re.split(WHITE, low) if x] if ODD_SPACE.search(low) else low.split()
 
     def chunks(self, text: str) -> list[str]:
-        """The text cut at white space, with special tokens on their own, a blank before them."""
+        """The text cut at white space, with special tokens on their own, a blank before them; where the tables differ,
+        the library's pieces in byte letters, a tab before them."""
+        alike = text.isascii() or self.tables.agree(text)
+        cut = self.cut if alike else lambda t: ["\t" + p for p in self.tables.by_library(t)]
         if "<|" not in text or not self.specials:
-            return self.cut(text)
+            return cut(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += [*self.cut(text[at : m.start()]), " " + m.group()]
+            out += [*cut(text[at : m.start()]), " " + m.group()]
             at = m.end()
-        return out + self.cut(text[at:])
+        return out + cut(text[at:])
 
     def ids(self, chunk: str) -> list[int]:
         if chunk[0] == " ":
             return [self.special[chunk[1:]]]
+        if chunk[0] == "\t":
+            return [self.vocab[t] for t in self.word(chunk[1:])]
         return [self.vocab[t] for t in self.chunk(chunk)]
 
     def decode(self, ids: list[int]) -> str:
@@ -216,11 +254,10 @@ class LibraryIds:
 
     The library is asked once for each distinct piece: texts are cut as it cuts them, and all new pieces of some
     texts go to it in one call, which the ids of tokens that end a piece part again. Texts with special tokens or
-    with characters from U+2000 on, which versions of Unicode's tables may class otherwise, go to it whole.
+    with characters that its Unicode tables treat otherwise than the installed ones go to it whole.
     """
 
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
-    LATER = re.compile("[\u2000-\U0010ffff]").search
 
     def __init__(self, name: str, most: int = 500_000) -> None:
         self.lib = Tokenizer.from_file(public_tokenizers.path(name))
@@ -235,6 +272,7 @@ class LibraryIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith(END)]] = True
         self.any = regex.compile(SPLIT).findall
+        self.tables = Letters(self.lib, self.folded)
         self.most, self.known = most, {}
 
     def whole(self, text: str) -> bytes:
@@ -246,8 +284,9 @@ class LibraryIds:
             return None
         if text.isascii():
             return self.ASCII(text.lower())
-        if self.LATER(text):
-            return None
+        return self.folded(text) if self.tables.agree(text) else None
+
+    def folded(self, text: str) -> list[str]:
         return self.any(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def learn(self, pieces: set[str]) -> None:

@@ -19,7 +19,7 @@ def encode(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
 
     Null and empty texts have no ids and decode to the empty text. One row for each input row, repeated and
     null ids included; other columns don't matter. Texts of any length: a word is encoded in one pass.
-    Letters that were assigned after the installed Unicode tables may be cut otherwise than by the library.
+    Characters that the library's Unicode tables treat otherwise than the installed ones are cut as it cuts them.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

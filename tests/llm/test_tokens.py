@@ -79,3 +79,20 @@ def test_buckets_are_written(documents, spark, tmp_path):
     packing.write_buckets(packing.pack(documents([(1, "a b c"), (2, "d")])), str(tmp_path / "b"))
     back = spark.read.parquet(str(tmp_path / "b"))
     assert back.where("length <> pow(2, bucket)").count() == 0 and back.count() > 0
+
+
+def test_every_character_of_the_basic_plane():
+    """Cut and folded as the library does, whatever version of Unicode either has; U+10000 and on in steps."""
+    import numpy as np
+
+    lib = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    lib.no_padding()
+    lib.no_truncation()
+    chars = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x32000, 7), *range(0xE0000, 0xE0200)]]
+    texts = [f"ab{c}c {c}'s" for c in chars]
+    want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    whole, own = bpe.LibraryIds(bpe.VOCABULARY), bpe.load()
+    got = [x for at in range(0, len(texts), 256) for x in whole.encode(texts[at : at + 256])]
+    assert [c for c, a, b in zip(chars, got, want, strict=True) if a != b] == []
+    dynamic = [np.array([i for x in own.chunks(t) for i in own.ids(x)], "<u4").tobytes() for t in texts]
+    assert [c for c, a, b in zip(chars, dynamic, want, strict=True) if a != b] == []
