@@ -16,6 +16,24 @@ from pyspark.sql import functions as F
 from cubitgrid.llm.common import give_back
 
 
+#: Groups whose rows stay where they are when sizes are joined to them, at most, and the fewest rows of such a group.
+LARGE_GROUPS, LEAST_LARGE = 1_000, 256
+
+
+def with_size(rows: DataFrame, group: str, salt: str, n: int) -> DataFrame:
+    """rows of groups of more than one row, with `size`: their group's number of rows.
+
+    Sizes are partial sums. Of n rows at most LARGE_GROUPS groups can hold more than n / LARGE_GROUPS each: their
+    sizes are broadcast, and their rows dealt by `salt`, so that no task takes a large group.
+    """
+    sizes = rows.groupBy(F.col(group).alias("of_")).agg(F.count("*").alias("size_")).where("size_ > 1")
+    many = max(LEAST_LARGE, n // LARGE_GROUPS)
+    large = F.broadcast(sizes.where(F.col("size_") > many).select(F.col("of_").alias("large_"), F.col("size_").alias("large_size_")))
+    at = rows.join(large, F.col(group) == F.col("large_"), "left").withColumn("at_", F.when(F.col("large_").isNull(), F.col(group)).otherwise(F.xxhash64(salt)))
+    met = at.join(sizes.where(F.col("size_") <= many), F.col("at_") == F.col("of_"), "left")
+    return met.withColumn("size", F.coalesce("large_size_", "size_")).where("size is not null").select(*rows.columns, "size")
+
+
 def to_cells(rows: DataFrame, group: str, blocks: Column, salt: Column) -> DataFrame:
     """rows with `cell` and `own`: a row of block b of a group of n blocks goes to the n cells that block b is part
     of; own marks the cell that the block has for itself."""

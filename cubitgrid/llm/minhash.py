@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cubitgrid.llm.cells import each_cell, forest, to_cells
-from cubitgrid.llm.common import held, map_batches, ship, texts
+from cubitgrid.llm.cells import each_cell, forest, to_cells, with_size
+from cubitgrid.llm.common import held, map_batches, texts
 from cubitgrid.operators.components import components
+from cubitgrid.plans.shipping import ship
 from cubitgrid.plans.tables import Tables
 
 SHINGLE = 5
@@ -126,7 +127,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 def _nodes(docs: DataFrame) -> DataFrame:
     """(node, doc_id, text): a row's node is its id, or a hash of its text where it has none."""
     key = F.col("doc_id").cast("bigint")
-    return docs.select(F.coalesce(key, F.xxhash64("text")).alias("node"), key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.coalesce(key, F.xxhash64(F.lit("no id"), F.coalesce("text", F.lit("")))).alias("node"), key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _sketch_rows(docs: DataFrame) -> DataFrame:
@@ -198,7 +199,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     1. Each text gives its set of shingles, a digest of the whole set and a sketch. Rows with equal sets are one
        class, so that copies cost one row each from here on.
     2. Classes that share a band meet in cells; those whose sketches are alike span candidate groups.
-    3. The full sets of each candidate group meet in cells, which verify every pair exactly and span the links.
+    3. The full sets of each candidate group meet in cells, which verify pairs exactly and span the links. In a group
+       of several blocks, all are compared with one member first: those it is linked with need no more comparisons
+       among themselves, and only members within a distance (1 - similarity, a metric) of 0.5 of it can be linked with
+       any of them.
     Pairs are never written out, and no cell grows with its group. Links of similarity 0.75 are missed with a
     chance of about 1e-5 (no band in common, or an unlucky estimate); links found are exact.
 
@@ -212,8 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sk = tables.cut(_sketch_rows(_nodes(docs)))
     classes = tables.cut(sk.where("n > 0").groupBy("hi", "lo", "n").agg(F.min(F.struct("node", "bands", "coordinates")).alias("first"), F.min("doc_id").alias("least_id")).select("hi", "lo", "n", "first.*", "least_id"))
     keys = classes.select("node", F.explode("bands").alias("key"))
-    shared = keys.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    met = shared.join(classes.select("node", "coordinates"), "node")
+    met = with_size(keys, "key", "node", BANDS * classes.count()).join(classes.select("node", "coordinates"), "node")
     met = to_cells(met, "key", F.ceil(F.col("size") / BLOCK_ROWS), F.xxhash64("node", F.lit(1))).select("cell", "node", "coordinates")
     groups = tables.cut(components(each_cell(met, _alike, EDGE), tables))
     final = components(_verified(docs, sk, classes, groups, tables), tables)
@@ -225,20 +228,60 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _to_first(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of a cell's rows (node, group, first, shingles): how similar all are to the group's first member.
+
+    Where that id has several texts, the one with the smallest set of bytes is meant, in all cells of the group.
+    """
+    raw = batch.column("shingles").to_pylist()
+    first = min(np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False)), key=lambda k: raw[k])
+    sets = [np.frombuffer(b, "uint64") for b in raw]
+    one = sets[first]
+    both = np.array([int((one[np.minimum(np.searchsorted(one, s), len(one) - 1)] == s).sum()) for s in sets])
+    either = np.array(list(map(len, sets))) + len(one) - both
+    others = np.arange(len(sets)) != first
+    out = [batch.column(c).filter(pa.array(others)) for c in ("node", "group")]
+    return pa.record_batch([*out, pa.array((100 * both >= PERCENT * either)[others]), pa.array((2 * both >= either)[others])], names=["node", "group", "linked", "near"])
+
+
 def _verified(docs: DataFrame, sk: DataFrame, classes: DataFrame, groups: DataFrame, tables: Tables) -> DataFrame:
     """Edges between the classes whose full sets are linked, looked for inside candidate groups."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(texts(batch.column("text")))
-        return pa.record_batch([batch.column("node"), batch.column("group"), batch.column("blocks"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "group", "blocks", "shingles"])
-
-    sizes = groups.join(classes.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("rows"), F.sum(F.col("n") * 8).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    of = groups.join(sizes.select("root", blocks.alias("blocks")), "root").select("node", F.col("root").alias("group"), "blocks")
-    rows = _nodes(docs).join(of, "node")
-    full = map_batches(rows.select("node", "group", "blocks", "text"), run, "node bigint, group bigint, blocks int, shingles binary")
-    cells = to_cells(full, "group", F.col("blocks"), F.xxhash64("node", F.lit(2))).select("cell", "node", "shingles")
-    return each_cell(cells, _linked, EDGE)
+        kept = [c for c in batch.schema.names if c != "text"]
+        out = pa.record_batch([*[batch.column(c) for c in kept], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "shingles"])
+        return out.filter(pa.array([len(s) > 0 for s in sets]))  # an id may have an empty text beside another
+
+    n_blocks = lambda rows, size: F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
+    sized = groups.join(classes.select("node", (F.col("n") * 8).alias("bytes")), "node")
+    sizes = sized.groupBy("root").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    of = sized.join(sizes.select("root", n_blocks("rows", "bytes").alias("blocks")), "root").select("node", F.col("root").alias("group"), "blocks", "bytes")
+    rows = tables.cut(_nodes(docs).select("node", "text").join(of, "node"))
+    salt = F.xxhash64("node", F.lit(2))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c).cast("bigint") - 1))
+    few = map_batches(rows.where("blocks <= 2").select("node", "group", "blocks", "text"), run, "node bigint, group bigint, blocks int, shingles binary")
+    edges = each_cell(to_cells(few, "group", F.col("blocks"), salt).select("cell", "node", "shingles"), _linked, EDGE)
+    many = rows.where("blocks > 2")
+    # the group's first member goes to each of its blocks
+    dealt = many.where("node <> group").select("node", "group", F.lit(False).alias("first"), F.pmod(salt, F.col("blocks")).alias("block"), "text")
+    dealt = dealt.unionByName(many.where("node = group").select("node", "group", F.lit(True).alias("first"), each("blocks").alias("block"), "text"))
+    full = map_batches(dealt.select("node", "group", "first", "block", "text"), run, "node bigint, group bigint, first boolean, block bigint, shingles binary")
+    to_first = tables.cut(each_cell(full.select(F.xxhash64("group", "block").alias("cell"), "node", "group", "first", "shingles"), _to_first, "node bigint, group bigint, linked boolean, near boolean"))
+    # the others meet each other, and those that are near meet all that are linked
+    flags = to_first.groupBy("node", "group").agg(F.bool_and("linked").alias("linked"), F.bool_or("near").alias("near"))
+    left = many.drop("group", "blocks").join(flags, "node")
+    sums = lambda p: [F.count_if(p).alias("rows"), F.sum(F.when(p, F.col("bytes")).otherwise(0)).alias("bytes")]
+    part = {name: left.groupBy("group").agg(*sums(p)).select("group", n_blocks("rows", "bytes").alias(name), (F.col("rows") > 0).alias(f"any_{name}")) for name, p in (("others", ~F.col("linked")), ("nears", ~F.col("linked") & F.col("near")), ("ones", F.col("linked")))}
+    left = left.join(part["others"], "group").join(part["nears"], "group").join(part["ones"], "group")
+    own, across = F.pmod(salt, F.col("others")), F.lit(7)
+    among = left.where("not linked").select("node", "text", F.col("group").alias("g"), own.alias("b"), each("others").alias("w"))
+    among = among.select("node", "text", F.xxhash64("g", F.least("b", "w"), F.greatest("b", "w")).alias("cell"))
+    lines = left.where("not linked and near and any_ones").select("node", "text", "group", F.pmod(salt, F.col("nears")).alias("b"), each("ones").alias("w")).select("node", "text", F.xxhash64("group", across, "b", "w").alias("cell"))
+    columns = left.where("linked and any_nears").select("node", "text", "group", each("nears").alias("b"), F.pmod(salt, F.col("ones")).alias("w")).select("node", "text", F.xxhash64("group", across, "b", "w").alias("cell"))
+    cells = map_batches(among.unionByName(lines).unionByName(columns).select("cell", "node", "text"), run, "cell bigint, node bigint, shingles binary")
+    edges = edges.unionByName(to_first.where("linked").select(F.least("node", "group").alias("a"), F.greatest("node", "group").alias("b")))
+    return edges.unionByName(each_cell(cells, _linked, EDGE))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -246,5 +289,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     text. Rows without doc_id stay."""
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = docs.join(kept, "doc_id", "left_semi").select("*", first.alias("n_in_id_")).where("n_in_id_ = 1").select(*docs.columns)
+    mark = "n" + "_" * max(map(len, ["", *docs.columns]))  # longer than any column's name
+    one = docs.join(kept, "doc_id", "left_semi").withColumn(mark, first).where(F.col(mark) == 1).select(*docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
