@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cubitgrid.llm.cells import each_cell, forest, to_cells
-from cubitgrid.llm.common import map_batches, ship
+from cubitgrid.llm.cells import each_cell, forest, to_cells, with_size
+from cubitgrid.llm.common import map_batches
+from cubitgrid.llm.minhash import mix
 from cubitgrid.operators.components import components
+from cubitgrid.plans.shipping import ship
 from cubitgrid.plans.tables import Tables
-from cubitgrid.llm.minhash import mix
 
 COSINE = 0.93
 #: Chance that a pair at the threshold shares no key.
@@ -29,7 +29,7 @@ BLOCK_ROWS = 384
 def plan(rows: int, cosine: float) -> tuple[int, int]:
     """Bits of a key and number of keys: a random pair of `rows` vectors shares a given key about once, and a pair
     at the threshold misses all keys with a chance of MISS."""
-    bits = min(24, max(8, ceil(log2(max(rows, 2)))))
+    bits = min(32, max(8, ceil(log2(max(rows, 2)))))
     agree = 1 - np.arccos(cosine) / np.pi
     return bits, ceil(log(MISS) / log(1 - agree**bits))
 
@@ -84,13 +84,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     1. Equal vectors of a label are one class, with its number of members.
     2. Bits of rotated vectors make keys; classes that share a key meet in cells. Codes decide there whether a
        pair can reach the threshold; pairs that can span candidate groups.
-    3. The vectors of a candidate group meet in cells, which compute every cosine in double precision, count each
-       vector's links and span them. Pairs are never written out and no cell grows with its group.
+    3. The vectors of a candidate group meet in cells. Codes bound each cosine there too: those of pairs that may reach
+       the threshold are computed again in double precision, counted for both vectors and spanned. Pairs are never
+       written out and no cell grows with its group.
     A pair at the threshold is missed with a chance of about 1e-6; links that are found are exact.
 
     Null, zero and empty vectors, such with null or non-finite components, and null labels link with nothing;
-    vectors of different length don't either. Rows that repeat an id are one vector. component_id is the smallest
-    id of the group; an empty table gives no rows.
+    vectors of different length don't either. Rows that repeat an id are one vector and have one row; where their
+    vectors or labels differ, one that can link counts before one that can't, and of those the one with the smaller
+    hash. Each row without an id is a vector of its own. component_id is the smallest id of the group; an empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -100,8 +103,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), vec.alias("v"))
     rows = rows.select("vec_id", "label", "v", F.coalesce(good, F.lit(False)).alias("good"))
     rows = rows.withColumns({"hi": F.xxhash64("label", "v"), "lo": F.xxhash64(F.lit(1), "v", "label")})
-    counts = rows.where("good").groupBy("hi", "lo").agg(F.count("*").alias("members"), F.min(F.coalesce("vec_id", F.xxhash64("hi", "lo"))).alias("node"), F.min("vec_id").alias("least_id"), F.first("label").alias("label"), F.first("v").alias("v"))
-    grouped = counts.withColumn("kind", F.xxhash64("label", F.size("v")))
+    # one row for each vector, by its hashes alone; vectors themselves are shuffled once, one for each class
+    said = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct((~F.col("good")).alias("bad"), "hi", "lo")).alias("r")).select("vec_id", "r.hi", "r.lo", (~F.col("r.bad")).alias("good"))
+    ids = tables.cut(said.unionByName(rows.where("vec_id is null").select("vec_id", "hi", "lo", "good")))
+    members = ids.where("good").groupBy("hi", "lo").agg(F.count("*").alias("members"), F.min(F.coalesce("vec_id", F.xxhash64("hi", "lo"))).alias("node"), F.min("vec_id").alias("least_id"))
+    one = rows.where("good").groupBy("hi", "lo").agg(F.first("label").alias("label"), F.first("v").alias("v"))
+    grouped = one.join(members, ["hi", "lo"]).withColumn("kind", F.xxhash64("label", F.size("v")))
 
     def to_bytes(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [np.array(v, "float64").tobytes() for v in batch.column("v").to_pylist()]
@@ -129,28 +136,32 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
 
     sketched = tables.cut(map_batches(classes.select("node", "kind", "vector"), sketch, "node bigint, keys array<bigint>, codes binary, factors binary, coarse binary"))
-    shared = sketched.select("node", F.explode("keys").alias("key")).withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    shared = with_size(sketched.select("node", F.explode("keys").alias("key")), "key", "node", n_keys * sketched.count())
     met = shared.join(sketched.select("node", "codes", "factors", "coarse"), "node")
     met = to_cells(met, "key", F.ceil(F.col("size") / BLOCK_ROWS), F.xxhash64("node", F.lit(1))).select("cell", "node", "codes", "factors", "coarse")
 
-    def candidates(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def open_pairs(batch: pa.RecordBatch) -> np.ndarray:
         read = lambda name, kind: np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(batch.num_rows, -1)
-        member, root = forest(possible(read("codes", "uint8"), read("factors", "float32"), read("coarse", "int8"), cosine))
+        return possible(read("codes", "uint8"), read("factors", "float32"), read("coarse", "int8"), cosine)
+
+    def candidates(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        member, root = forest(open_pairs(batch))
         node = batch.column("node").to_numpy()
         return pa.record_batch([pa.array(node[member]), pa.array(node[root])], names=["a", "b"])
 
     groups = tables.cut(components(each_cell(met, candidates, "a bigint, b bigint"), tables))
     sizes = groups.groupBy("root").count()
-    full = groups.join(sizes, "root").join(classes.select("node", "members", "vector"), "node")
+    full = groups.join(sizes, "root").join(classes.select("node", "members", "vector"), "node").join(sketched.select("node", "codes", "factors", "coarse"), "node")
     half, blocks = F.xxhash64("node", F.lit(2)), F.ceil(F.col("count") / BLOCK_ROWS)
     full = full.withColumn("block", F.pmod(half, blocks.cast("int")).cast("int"))
-    cells = to_cells(full, "root", blocks, half).select("cell", "own", "node", "block", "members", "vector")
+    cells = to_cells(full, "root", blocks, half).select("cell", "own", "node", "block", "members", "vector", "codes", "factors", "coarse")
 
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = unit(batch)
         block, members = batch.column("block").to_numpy(), batch.column("members").to_numpy()
-        linked = x @ x.T >= cosine
-        np.fill_diagonal(linked, False)
+        linked = open_pairs(batch)
+        some = np.flatnonzero(linked.any(1))
+        linked[np.ix_(some, some)] &= x[some] @ x[some].T >= cosine
         if not batch.column("own")[0].as_py():  # pairs inside a block are counted in the cell that it has for itself
             linked &= block[:, None] != block[None, :]
         node = batch.column("node").to_numpy()
@@ -165,6 +176,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     named = classes.join(final, "node", "left").join(links, "node", "left").select("hi", "lo", "members", "least_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "root").select("hi", "lo", (F.col("links") + F.col("members") - 1).alias("n_links"), "component_id", F.lit(True).alias("good"))
-    out = rows.select("vec_id", "hi", "lo", "good").join(named, ["hi", "lo", "good"], "left")
+    out = ids.join(named, ["hi", "lo", "good"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

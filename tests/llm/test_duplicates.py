@@ -66,11 +66,25 @@ def test_minhash_against_brute_force(documents, odd):
     assert minhash.near_duplicates(documents([])).count() == 0
 
 
+def large_group():
+    """One group by sketches that holds copies of a template with edits from none to most of it, and ids with several texts."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(160):
+        words = list(base)
+        for at in rng.sample(range(0, 120, 5), rng.choice([0, 1, 1, 1, 2, 2, 3, 4])):
+            words[at] = f"x{rng.randrange(4)}"
+        rows.append((k, " ".join(words)))
+    return rows + [(0, " ".join(base[:110])), (0, ""), (7, " ".join(base[30:] + ["end"] * 5))]
+
+
 def test_minhash_in_many_blocks(documents, monkeypatch):
     """Groups cut into blocks of a few rows give the same result."""
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 5)
-    rows = near_rows()
-    check_documents(rows, minhash.near_duplicates(documents(rows)))
+    monkeypatch.setattr(cells, "LEAST_LARGE", 8)
+    for rows in (near_rows(), large_group()):
+        check_documents(rows, minhash.near_duplicates(documents(rows)))
 
 
 def test_keep_first(documents, odd):
@@ -138,6 +152,18 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_vector(spark):
+    a, b, c, d = [1.0, 0.0, 0.1], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.1]
+    schema = "vec_id bigint, embedding array<float>, label int"
+    equal = spark.createDataFrame([(1, a, 1), (1, a, 1), (2, b, 1), (2, [2.0, 0.0, 0.0], 1), (3, c, 1)], schema)
+    assert sorted(map(tuple, embeddings.near_duplicates(equal).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    # a vector that can't link gives way to one that can; one of two that can counts
+    other = spark.createDataFrame([(1, None, 1), (1, a, 1), (2, b, 1), (3, a, 2), (3, c, 2), (4, b, 2), (5, d, 2), (None, b, 1), (None, b, 1)], schema)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(other).where("vec_id is not null").collect()}
+    assert len(got) == 5 and got[1].n_links == got[2].n_links == 3 and got[3].n_links == 1 and got[4].n_links + got[5].n_links == 1
+    assert embeddings.near_duplicates(other).where("vec_id is null").count() == 2
+
+
 def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 64))
