@@ -29,13 +29,16 @@ _CONTROL = chat.CONTROL.replace("'", "''")
 def chat_windows(budget: int = 1024, history: int = 256) -> str:
     """Windows are not written out: what they hold is counted from the turns and their prefix sums."""
     return f"""with t0 as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-t1 as (select *, len(regexp_extract_all(text, '[^\\t\\n\\r\\f ]+')) + {chat.MARKS} as cost, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + case role when 'system' then 11 when 'user' then 13 when 'assistant' then 9 else 26 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) end as size,
+t1 as (select *, len(regexp_extract_all(text, '{chat.PIECE}')) + {chat.MARKS} as cost, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + case role when 'system' then 11 when 'user' then 13 when 'assistant' then 9 else 26 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) end as size,
   row_number() over w n from t0 window w as (partition by conv_id order by turn, role, text)),
-t2 as (select *, sum(cost) over (partition by conv_id order by n) as e from t1), t3 as (select *, floor((e - cost) / {budget // 2}) as span from t2),
-t4 as (select *, dense_rank() over (partition by conv_id order by span) as win, max(case when role = 'system' then -n end) over (partition by conv_id) as sysn from t3),
-t5 as (select *, max(e) over (partition by conv_id, win) as span_end, max(win) over (partition by conv_id) as last_win, max(case when n = -sysn then cost end) over (partition by conv_id) as sysc, max(case when n = -sysn then size end) over (partition by conv_id) as syss from t4),
+t2 as (select *, sum(cost) over (partition by conv_id order by n) as e, max(case when role = 'system' then -n end) over (partition by conv_id) as sysn from t1),
+t3 as (select *, greatest({budget} - coalesce(max(case when n = -sysn then cost end) over (partition by conv_id), 0), {budget // 2}) as room, max(case when n = -sysn then size end) over (partition by conv_id) as syss from t2),
+th as (select *, floor((e - cost) / floor(room / 2)) as span, cost > floor(room / 2) as alone from t3),
+tn as (select *, coalesce(span <> lag(span) over w or alone or lag(alone) over w, true) as fresh from th window w as (partition by conv_id order by n)),
+t4 as (select *, count(*) filter (fresh) over (partition by conv_id order by n) as win from tn),
+t5 as (select *, max(e) over (partition by conv_id, win) as span_end, max(win) over (partition by conv_id) as last_win from t4),
 ws as (select conv_id, win, sum(cost) c from t5 group by all),
-t6 as (select t5.*, win < last_win and span_end - (e - cost) <= least({history}, {budget} - coalesce(ws.c, 0) - coalesce(sysc, 0)) as again from t5 left join (select conv_id, win - 1 as win, c from ws) ws using (conv_id, win)),
+t6 as (select t5.*, win < last_win and span_end - (e - cost) <= least({history}, room - coalesce(ws.c, 0)) as again from t5 left join (select conv_id, win - 1 as win, c from ws) ws using (conv_id, win)),
 fw as (select conv_id, win, min(n) first_n from (select conv_id, win, n from t6 union all select conv_id, win + 1, n from t6 where again) group by all),
 sx as (select fw.conv_id, sum(case when sysn is not null and -sysn < first_n then syss else 0 end) extra from fw join (select distinct conv_id, sysn, syss from t6) using (conv_id) group by 1),
 g as (select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0) loss_chars,
