@@ -9,7 +9,6 @@ densely, how strongly and how variedly its sentences lie on the toxic side.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubitgrid.llm.common import held, held_out, labelled, map_batches, texts
+from cubitgrid.plans.tables import Tables
 
 MAX_TRAINING_ROWS = 4_000
 LANDMARKS = 64
@@ -179,9 +179,12 @@ def sentences(text: str) -> list[list[str]]:
     return [words_of(s) for s in SENTENCE.split(text)]
 
 
-def pooled(doc: list[list[str]], values: dict) -> list[float]:
-    """A document's features: density, strength and variety of what lies on the toxic side."""
-    n = sum(map(len, doc)) + 10
+def pooled(n_words: int, doc: list[list[str]], values: dict) -> list[float]:
+    """A document's features: density, strength and variety of what lies on the toxic side.
+
+    Words that resemble no landmark have no value, and may be missing from its sentences.
+    """
+    n = n_words + 10
     toxic, most, seen = 0.0, 0.0, {}
     for words in doc:
         if hit := [(w, v) for w in words if (v := values[w]) is not None]:
@@ -194,18 +197,21 @@ def pooled(doc: list[list[str]], values: dict) -> list[float]:
 
 
 class Machine:
-    """A linear machine over whitened sentence features, and a logistic curve over pooled sentence values."""
+    """A linear machine over whitened sentence features, and a logistic curve over pooled sentence values.
+
+    docs: of each training document its number of words and, sentence by sentence, those that resemble a landmark.
+    """
 
-    def __init__(self, docs: list[list[list[str]]], y: np.ndarray, landmarks: int = LANDMARKS) -> None:
+    def __init__(self, marks: Landmarks | None, docs: list[tuple[int, list[list[str]]]], y: np.ndarray) -> None:
         self.constant = None
         if len(y) < 4 or y.min() == y.max():
             self.constant = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
             return
-        self.marks = Landmarks(choose([Counter(w for s in d for w in s) for d in docs], y, landmarks))
-        words = sorted({w for d in docs for s in d for w in s})
+        self.marks = marks
+        words = sorted({w for _, d in docs for s in d for w in s})
         known = dict(zip(words, self.marks.features(words), strict=True))
         rows, of = [], []
-        for k, d in enumerate(docs):
+        for k, (_, d) in enumerate(docs):
             for s in d:
                 if hit := [f for w in s if (f := known[w]) is not None]:
                     rows.append(np.sum(hit, 0))
@@ -217,7 +223,7 @@ class Machine:
         w = squared_hinge(np.r_[np.c_[x, np.ones(len(x))], np.eye(1, x.shape[1] + 1, x.shape[1])], np.r_[sign, -1], np.r_[weight, 100.0])
         self.weights = self.marks.whiten @ w[:-1]
         values = {k: None if f is None else float(f @ self.weights) for k, f in known.items()}
-        x = np.array([pooled(d, values) for d in docs])
+        x = np.array([pooled(n, d, values) for n, d in docs])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         self.curve = logistic(np.c_[(x - self.mean) / self.scale, np.ones(len(x))], y)
 
@@ -256,23 +262,48 @@ def squared_hinge(x: np.ndarray, sign: np.ndarray, weight: np.ndarray, rounds: i
     return w
 
 
-def choose(docs: list[Counter], y: np.ndarray, most: int) -> list[str]:
-    """Landmarks: the words that toxic training documents hold far more often than clean ones."""
-    df = [Counter(), Counter()]
-    for d, label in zip(docs, y, strict=True):
-        df[int(label)].update({bare(w) for w in d})
-    n = [max(1, int((y == k).sum())) for k in (0, 1)]
-    rate = {w: (c / n[1], (df[0][w] + 0.5) / n[0]) for w, c in df[1].items() if 3 <= len(w) <= WINDOW // 2 and c >= 2}
-    good = sorted(((t * np.log(t / c), w) for w, (t, c) in rate.items() if t > 3 * c), key=lambda p: (-p[0], p[1]))[:most]
-    return [w for _, w in good] or [w for w, _ in sorted(df[1].items(), key=lambda p: (-p[1], p[0])) if len(w) >= 3][:most] or ["landmark"]
+def choose(words: DataFrame, n: dict[int, int], most: int) -> list[str]:
+    """Landmarks: the words that toxic training documents hold far more often than clean ones.
+
+    words: (word, label), a row for each distinct word of a document; n: documents of each label. They are counted
+    where they are; at most `most` words reach the driver.
+    """
+    each = words.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0"))
+    each = each.withColumns({"t": F.col("c1") / max(1, n.get(1, 0)), "c": (F.col("c0") + 0.5) / max(1, n.get(0, 0)), "n": F.char_length("word")})
+    good = each.where(F.col("n").between(3, WINDOW // 2) & (F.col("c1") >= 2) & (F.col("t") > 3 * F.col("c"))).orderBy(F.desc(F.col("t") * F.log(F.col("t") / F.col("c"))), "word").limit(most)
+    often = each.where("n >= 3 and c1 > 0").orderBy(F.desc("c1"), "word").limit(most)
+    return [r.word for r in good.select("word").collect()] or [r.word for r in often.select("word").collect()] or ["landmark"]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, landmarks: int = LANDMARKS) -> Machine:
-    """From at most max_rows labelled rows outside the held-out fold, half of either label where there are so many."""
+    """From at most max_rows labelled rows outside the held-out fold, half of either label where there are so many.
+
+    Their texts stay in the tasks: the driver gets the landmarks and, of each text, its words that resemble one.
+    """
+    tables = Tables(docs.sparkSession, "toxicity")
     half = [labelled(docs, labels.where(F.col("toxic") == k), "toxic", max_rows // 2) for k in (0, 1)]
-    rows = half[0].unionByName(half[1]).select("text", "label").toArrow()
-    got = sorted(zip(rows["text"].to_pylist(), rows["label"].to_pylist(), strict=True))
-    return Machine([sentences(t) for t, _ in got], np.array([label for _, label in got], "float64"), landmarks)
+    rows = tables.cut(half[0].unionByName(half[1]).select("text", "label"))
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if sum(n.values()) < 4 or len(n) < 2:
+        return Machine(None, [], np.repeat(list(n), list(n.values())).astype("float64"))
+
+    def distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [{b for s in sentences(t) for w in s if 3 <= len(b := bare(w)) <= WINDOW} for t in texts(batch.column("text"))]
+        return pa.record_batch([pa.array([w for h in held for w in h], pa.string()), pa.array(np.repeat(batch.column("label").to_numpy(), [len(h) for h in held]), pa.int32())], names=["word", "label"])
+
+    marks = Landmarks(choose(map_batches(rows, distinct, "word string, label int"), n, landmarks))
+
+    def resembling(batch: pa.RecordBatch) -> pa.RecordBatch:
+        docs = [sentences(t) for t in texts(batch.column("text"))]
+        words = sorted({w for d in docs for s in d for w in s})
+        known = {w for w, f in zip(words, marks.features(words), strict=True) if f is not None}
+        near = [[h for s in d if (h := [w for w in s if w in known])] for d in docs]
+        return pa.record_batch([batch.column("label"), pa.array([sum(map(len, d)) for d in docs], pa.int64()), pa.array(near, pa.list_(pa.list_(pa.string())))], names=["label", "n", "near"])
+
+    got = map_batches(rows, resembling, "label int, n bigint, near array<array<string>>").toArrow()
+    order = sorted(zip(got["n"].to_pylist(), got["near"].to_pylist(), got["label"].to_pylist(), strict=True))
+    tables.drop(rows)
+    return Machine(marks, [(k, d) for k, d, _ in order], np.array([label for _, _, label in order], "float64"))
 
 
 def scores(batch: list[str], model: Machine) -> np.ndarray:
@@ -281,7 +312,7 @@ def scores(batch: list[str], model: Machine) -> np.ndarray:
     values = held(model.weights.tobytes(), lambda: Values(model.marks, model.weights))
     docs = [sentences(t) for t in batch]
     values.learn({w for d in docs for s in d for w in s})
-    return model.score(np.array([pooled(d, values) for d in docs])) if docs else np.zeros(0)
+    return model.score(np.array([pooled(sum(map(len, d)), d, values) for d in docs])) if docs else np.zeros(0)
 
 
 def score(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame:
@@ -296,7 +327,10 @@ def score(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is under the threshold, with all their columns."""
+    """The rows of docs whose score is under the threshold, with all their columns; all of them where the model had no
+    labels of both kinds to learn from."""
+    if model.constant is not None:
+        return docs
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(scores(texts(batch.column("text")), model) < threshold))
