@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubitgrid.llm.spans import let as _let
 from cubitgrid.llm.spans import rewrite
 
 #: Fixed patterns of what is looked at; a match is replaced only if it is valid.
@@ -66,11 +67,6 @@ def permute_digits(d: Column, kind: str, key: str) -> Column:
     return _let(got, lambda g: F.concat(_pad(g["a"], left), _pad(g["b"], right)))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def permute_letters(s: Column, kind: str, key: str) -> Column:
     """A string permuted among those with a digit, lower-case or upper-case letter wherever it has one."""
     n = F.char_length(s)
@@ -260,13 +256,16 @@ def protect(text: Column, key: str) -> Column:
     return F.when(text.rlike(f"(?:{IBAN})|(?:{RUN})"), _let(free, parted)).otherwise(whole(text))
 
 
-def replace_personal_data(docs: DataFrame, key: str = "cubitgrid") -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """docs with pseudonyms in `text`; every other column as it is.
 
     E-mail addresses, IPv4 addresses, IBANs and card numbers with right check digits, social security and phone
     numbers, and dates from 1900-01-01 on (270 * 271 days) are replaced; numbers that fail their check stay. Where
     groups of digits or letters follow or precede a card or IBAN, its own groups are found by their check.
     Null texts stay null and empty ones empty; rows, repeated ones too, are kept one for one. The key decides
-    the pseudonyms: keep it secret, and the same for all data that has to stay linked.
+    the pseudonyms, and whoever has it can undo them: keep it secret, and the same for all data that has to stay
+    linked. It must not be empty.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     return docs.withColumn("text", protect(F.col("text"), key))
