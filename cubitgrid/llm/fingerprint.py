@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubitgrid.llm.common import SLICE_ROWS, map_batches, ship, texts
+from cubitgrid.llm.common import SLICE_ROWS, map_batches, texts
+from cubitgrid.plans.shipping import ship
 
 
 def canonical(text: str) -> str:
@@ -37,15 +38,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """(fingerprint, group_id, n_copies): group_id is the smallest doc_id with these canonical bytes.
 
-    Rows are grouped by the wide hash first; bytes are compared only inside hashes that more than one row has,
-    by grouping on hash and bytes, with partial sums before the shuffle, so that a hot text is one row a task.
-    Null ids count as copies and never name a group that has another id.
+    Rows are grouped by the wide hash and, inside equal hashes, by their bytes, with partial sums before the shuffle: a
+    hot text is one row a task. Null ids count as copies and never name a group that has another id.
     """
-    fp = fingerprints(docs)
-    counts = fp.groupBy("fingerprint").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("group_id"))
-    many = counts.where("n_copies > 1").select("fingerprint")
-    compared = fp.join(many, "fingerprint", "left_semi").groupBy("fingerprint", "canonical").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("group_id"))
-    return counts.where("n_copies = 1").select("fingerprint", "group_id", "n_copies").unionByName(compared.select("fingerprint", "group_id", "n_copies"))
+    each = fingerprints(docs).groupBy("fingerprint", "canonical").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("group_id"))
+    return each.select("fingerprint", "group_id", "n_copies")
 
 
 def edited_likeness(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int = 10_000) -> DataFrame:

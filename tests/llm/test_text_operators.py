@@ -60,6 +60,24 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def test_chat_windows_stay_within_the_budget(spark):
+    """In exact token counts of a column too; only what doesn't fit alone goes beyond."""
+    rng = random.Random(8)
+    rows = [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), "ab, " * rng.choice([1, 3, 10, 20, 24, 45]), rng.choice([1, 9, 20, 44])) for c in range(40) for t in range(25)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, k int")
+    pieces = lambda t: len(re.findall(r"[^\W\d_]{1,4}|\d|[^\s\w]|_", t)) + chat.MARKS
+    for w in chat.windows(df, budget=100, history=30).collect():
+        turns = re.findall(r"\[(SYS|INST|ANS)\](.*?)(?:\[/SYS\]|\[/INST\]|</s>)", w.formatted)
+        system = sum(pieces(t) for r, t in turns if r == "SYS")
+        own = [pieces(t) for r, t in turns if r != "SYS"]
+        room = max(100 - system, 50)
+        assert sum(own) <= room or len(own) == 1, own
+        assert sum(own[: max(0, w.n_repeated - (system > 0))]) <= 30
+    exact = {(r[0], r[1]): r[4] for r in rows}
+    for w in chat.windows(df, budget=100, history=0, tokens="k").where("conv_id % 2 = 0").groupBy("conv_id").agg({"n_repeated": "sum", "window": "max"}).collect():
+        assert w["sum(n_repeated)"] == 0 and w["max(window)"] >= sum(exact[w.conv_id, t] + chat.MARKS for t in range(25)) / 100
+
+
 BASE = (re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+"))
 
 
@@ -78,19 +96,117 @@ def test_secrets(documents, odd):
         said = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want)
         assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest(), i
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[1] == k for x in want) for k in range(3))
-    assert got[22].spans == "random:4:38"
+    assert got[22].spans == "random:4:38" and got[22].n_random == 1
+    assert got[21].n_confirmed == 1 and got[21].n_random == 0  # it lies in a base span, which stays
     assert secrets.report(secrets.find(documents([]))).count() == 0
 
 
+def coded(rng, code, n):
+    return "".join(rng.choice(secrets.LETTERS[code]) for _ in range(n))
+
+
+def plain_battery(s):
+    """encoding, length and p of a string, by the same tests in plain Python."""
+    from math import cbrt, erfc, exp, log, log2, sqrt
+
+    s = s.rstrip("=")
+    if re.fullmatch("[0-9]+|[A-Z]?[a-z]+|[A-Z]+", s):
+        return None
+    kinds = [("hex", "[0-9a-f]+|[0-9A-F]+"), ("base32", "[A-Z2-7]+"), ("base36", "[0-9a-z]+|[0-9A-Z]+")]
+    code = next((k for k, p in kinds if re.fullmatch(p, s)), None)
+    if code is None and re.fullmatch("[A-Za-z0-9]+", s):
+        code = "base62" if re.search("[0-9]|[a-z].*[A-Z]", s) else None
+    elif code is None:
+        code = "base64" if all(re.search(p, s) for p in ("[+/_-]", "[a-z]", "[A-Z]", "[0-9]")) else None
+    if code is None:
+        return None
+    letters, n = secrets.LETTERS[code], len(s)
+    k = len(letters)
+    if n * log2(k) < 80:
+        return None
+    x = [letters.index(c) for c in (s.lower() if code in ("hex", "base36") else s.replace("-", "+").replace("_", "/"))]
+    def two(z):  # the operator's approximation of erfc
+        v = abs(z) / sqrt(2)
+        t = 1 / (1 + 0.3275911 * v)
+        near = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-v * v)
+        assert abs(near - erfc(v)) < 2e-7
+        return max(near, 1e-15)
+
+    chi, df = sum(x.count(c) ** 2 for c in set(x)) * k / n - n, k - 1
+    z = (cbrt(max(chi, 1e-9) / df) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df))
+    p_chi = max(two(z) / 2 if z > 0 else 1 - two(z) / 2, 1e-15)
+    share = sum(c.isdigit() for c in letters) / k
+    p_digits = two((sum(c.isdigit() for c in s) - n * share) / sqrt(n * share * (1 - share)))
+    high = [c >= k / 2 for c in x]
+    n1, n0 = sum(high), n - sum(high)
+    mean = 2 * n1 * n0 / n + 1
+    p_runs = two((1 + sum(a != b for a, b in zip(high, high[1:])) - mean) / sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))) if n1 * n0 else 1e-15
+    mid = sum(x) / n
+    spread = sum((c - mid) ** 2 for c in x)
+    p_serial = two(sum((a - mid) * (b - mid) for a, b in zip(x, x[1:])) / spread * sqrt(n)) if spread else 1e-15
+    f = -(log(p_chi) + log(p_digits) + log(p_runs) + log(p_serial))
+    return code, n, exp(-f) * (1 + f + f * f / 2 + f**3 / 6)
+
+
 def test_randomness_battery(spark):
     from pyspark.sql import functions as F
 
     rng = random.Random(5)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    good = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(200)]
+    good = [coded(rng, "base62", 40) for _ in range(200)]
     bad = ["abcabcabcabcABC1" * 3, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaA1", "thisIsALongIdentifierNameWithoutNumbers1"]
-    p = [r.p for r in spark.createDataFrame([(s,) for s in good + bad], "s string").select(secrets.battery(F.col("s"))["p"].alias("p")).collect()]
+    more = [coded(rng, c, n) + "=" * (n % 3) for c in secrets.LETTERS for n in (12, 14, 16, 20, 33, 64)] + ["0" * 30, "Donaudampfschifffahrt", "UPPERCASEWORDSALONE", "a" * 30 + "1", "deadbeef" * 4, "ab-cd" * 8, "aB1-" * 12]
+    got = [(r.encoding, r.length, r.p) if r.p is not None else None for r in spark.createDataFrame([(k, s) for k, s in enumerate(good + bad + more)], "k int, s string").select("k", secrets.battery(F.col("s")).alias("t")).orderBy("k").select("t.*").collect()]
+    p = [t[2] for t in got[: len(good + bad)]]
     assert sum(x > 0.01 for x in p[:200]) > 185 and all(x < 0.01 for x in p[200:])
+    for s, t in zip(good + bad + more, got, strict=True):
+        want = plain_battery(s)
+        assert (t is None) == (want is None) and (t is None or t[:2] == want[:2] and abs(t[2] - want[2]) < 1e-6), s
+
+
+def test_limits_hold_the_share_of_false_ones():
+    """Random strings spread evenly over chances; others crowd near 0, some of them above the least chance."""
+    rng = random.Random(1)
+    bins = lambda chances: {b: sum(int(p**0.5 * 100) == b for p in chances) for b in range(100)}
+    true = [rng.random() for _ in range(4_000)]
+    for power in (60, 120):
+        false = [rng.random() ** power for _ in range(4_000)]
+        least, share = secrets.limit(bins(true + false), 0.05)
+        above = lambda ps: sum(p >= least for p in ps)
+        assert share <= 0.05 and above(false) <= 0.09 * (above(true) + above(false))
+    assert secrets.limit(bins(true), 0.05)[0] == 0.1**2
+    assert secrets.limit(bins([0.001] * 50 + [0.02]), 0.05)[0] > 1 and secrets.limit(bins([0.4]), 0.05)[0] == 0.1**2
+
+
+def test_planted_secrets(documents):
+    """Of six codes, whole, quoted, in parts and behind a prefix, among words, numbers, paths and names in camel case."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["lo", "rem", "ip", "sum", "do", "lor", "sit"]) for _ in range(rng.randint(1, 4)))
+    name = lambda: word() + "".join(w.capitalize() for w in (word(), word(), word()))
+    rows, planted = [], {}
+    for k in range(600):
+        code, n = rng.choice(list(secrets.LETTERS)), rng.randint(24, 48)
+        secret = coded(rng, code, n).upper() if code == "hex" else coded(rng, code, n)
+        said = rng.choice(["{}", '"{}"', "Bearer {}", "eyJhbGciOiJIUzI1NiJ9.{}.x", "sk_live_{}"]).format(secret) if k % 3 else rng.choice([name(), "/".join([word(), word(), word(), word()]), "20240101123456789012", word().upper() * 3, name() + "2024"])
+        text = f"{word()} {word()} {said} {word()}"
+        rows.append((k, text))
+        if k % 3:
+            planted[k] = secret
+    got = {r.doc_id: r for r in secrets.report(secrets.find(documents(rows))).collect()}
+    caught = sum(any(text[int(a) : int(b)] in secret or secret in text[int(a) : int(b)] for _, a, b in (s.split(":") for s in got[k].spans.split(",") if s)) for (k, text), secret in ((r, planted[r[0]]) for r in rows if r[0] in planted))
+    false = sum(got[k].n_random > 0 for k, _ in rows if k not in planted)
+    assert caught > 0.9 * len(planted) and false <= 0.02 * caught, (caught, len(planted), false)
+    print("planted", len(planted), "caught", caught, "false", false)
+
+
+def test_many_matches_in_a_text(spark):
+    from pyspark.sql import functions as F
+
+    from cubitgrid.llm.spans import matches
+
+    text = "".join(f"{'é' * (k % 3)}{k} " for k in range(5_000))
+    got = spark.createDataFrame([(text,), ("",), ("7",), (None,)], "t string").select(matches(F.col("t"), "[0-9]+").alias("m")).collect()
+    assert [(m.start, m.end, m.text) for m in got[0].m] == [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", text)]
+    assert got[1].m == [] and [(m.start, m.end) for m in got[2].m] == [(0, 1)] and not got[3].m
 
 
 def luhn(s):
@@ -101,7 +217,7 @@ def test_personal_data(documents, odd):
     text = "a.b@x.org und.34@mail7.example.com 97.51.17.173. 300.1.1.1 card 4845168114407329, 4845-1681-1440-7329 9807915762804490 ssn 123-45-6789 000-12-3456 DE89370400440532013000 GB82 WEST 1234 5698 7654 32 2024-02-29 2023-02-29 12/31/1999 31.12.1999 1850-01-01 +1 (017) 555-7713"
     rows = [*odd, (30, text), (31, "again und.34@mail7.example.com and 4845168114407329")]
     docs = documents(rows)
-    got = {r.doc_id: r for r in pii.replace_personal_data(docs).collect()}
+    got = {r.doc_id: r for r in pii.replace_personal_data(docs, "k").collect()}
     new = got[30].text
     shape = lambda t: re.sub("[a-z]", "x", re.sub("[A-Z]", "X", re.sub(r"\d", "9", t.replace(t.split()[2], ""))))
     assert shape(new) == shape(text)  # but for addresses, whose parts have one to three digits
@@ -114,8 +230,8 @@ def test_personal_data(documents, odd):
     iban = re.search("DE[0-9]{20}", new).group()
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert max(int(x) for x in new.split()[2].rstrip(".").split(".")) < 256
-    assert all(got[i].text == t for i, t in odd) and pii.replace_personal_data(docs).columns == docs.columns
-    assert pii.replace_personal_data(documents([])).count() == 0
+    assert all(got[i].text == t for i, t in odd) and pii.replace_personal_data(docs, "k").columns == docs.columns
+    assert pii.replace_personal_data(documents([]), "k").count() == 0
 
 
 def test_permutations_are_one_to_one(spark):
