@@ -10,25 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cubitgrid.llm import minhash, packing, pii, quality, toxicity
 from cubitgrid.llm.common import read
+from cubitgrid.llm.queries import PUBLIC_KEY
 from cubitgrid.plans.tables import Tables
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trained on the labelled ones of these documents; keeps those under a score of 0.5."""
+    """Trained on the labelled ones of these documents; keeps those under a score of 0.5.
+
+    Null and empty texts have a score too. Without labels of both kinds none is rejected.
+    """
     return toxicity.keep(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trained on the labelled ones of these documents; keeps those with a score of 0.3 or more."""
+    """Trained on the labelled ones of these documents; keeps those with a score of 0.3 or more.
+
+    Null and empty texts have a score too. Labels of one kind give all their smoothed share as score; without labels
+    it is 0.5, so none is rejected.
+    """
     return quality.keep(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates.
+
+    Of rows that repeat an id the first by text stays; rows without an id, and null and empty texts, stay. An empty
+    table stays empty.
+    """
     return minhash.keep_first(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace_personal_data(docs)
+    """Pseudonyms under the key of the session's setting spark.cubitgrid.key; every row stays, null texts stay null."""
+    return pii.replace_personal_data(docs, spark.conf.get("spark.cubitgrid.key", PUBLIC_KEY))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
