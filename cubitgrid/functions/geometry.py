@@ -31,6 +31,14 @@ def rotate(x: Column, y: Column, angle: Column) -> tuple[Column, Column]:
     return x * F.cos(angle) - y * F.sin(angle), x * F.sin(angle) + y * F.cos(angle)
 
 
+def turned_box(x0: Column, y0: Column, x1: Column, y1: Column, angle: Column) -> tuple[Column, Column, Column, Column]:
+    """The axis-aligned box around a box that is turned by an angle about the origin."""
+    x, y = rotate((x0 + x1) / 2, (y0 + y1) / 2, angle)
+    c, s = F.abs(F.cos(angle)), F.abs(F.sin(angle))
+    w, h = ((x1 - x0) * c + (y1 - y0) * s) / 2, ((x1 - x0) * s + (y1 - y0) * c) / 2
+    return x - w, y - h, x + w, y + h
+
+
 def normal_angle(angle: Column) -> Column:
     """The direction of a rectangle's sides within [-45, 45) degrees, in radians."""
     turned = angle % (pi / 2)

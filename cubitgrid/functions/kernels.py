@@ -166,3 +166,26 @@ def simplify(ring: np.ndarray, tolerance: float = 0.02) -> np.ndarray:
             else:
                 i += 1
     return np.array(pts)
+
+
+def inside_and_distance(points: np.ndarray, rings: list[np.ndarray], rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point, whether it is inside the rings (even-odd) and how far it is from their sides."""
+    a = np.concatenate(rings)
+    b = np.concatenate([np.roll(r, -1, 0) for r in rings])
+    d, size = b - a, ((b - a) ** 2).sum(1)
+    inside, far = np.zeros(len(points), bool), np.zeros(len(points))
+    for at in range(0, len(points), rows):
+        p = points[at : at + rows, None]
+        up = (a[:, 1] > p[..., 1]) != (b[:, 1] > p[..., 1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = a[:, 0] + (p[..., 1] - a[:, 1]) * d[:, 0] / d[:, 1]
+            t = np.clip(np.nan_to_num(((p - a) * d).sum(-1) / size), 0, 1)
+        inside[at : at + rows] = (up & (p[..., 0] < x)).sum(1) % 2 == 1
+        far[at : at + rows] = np.sqrt(((p - a - t[..., None] * d) ** 2).sum(-1)).min(1)
+    return inside, far
+
+
+def box_sum(convex: np.ndarray, west: float, east: float, south: float, north: float) -> np.ndarray:
+    """A convex ring moved over [-west, east] x [-south, north]."""
+    box = np.array([[-west, -south], [east, -south], [east, north], [-west, north]])
+    return hull((np.asarray(convex)[:, None] + box[None]).reshape(-1, 2))

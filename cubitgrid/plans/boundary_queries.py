@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -324,7 +326,7 @@ def keshet_cut(spark, sf_dir):
 
     outlines = C.outlines(_cities(spark, sf_dir)[0], GAP / 2)
     squared = Q.squarings(outlines, _hull(spark, sf_dir), NOW)
-    return Q.keshet_cuts(outlines, squared, NOW, home_only=False, scale=0.03)
+    return Q.keshet_cuts(Q.bows(outlines, squared, replace(NOW, keshetExclusion="entire"), scale=0.03))
 
 
 @query()

@@ -63,7 +63,7 @@ class Settings:
     triangleWideMiddle: str = "noMerge"
     chazonIshStraightSide: bool = False
     keshetCondition: str = "mouthAndDepth"
-    keshetExclusion: str = "entire"
+    keshetExclusion: str = "past4000"
     remaExtra: bool = False
     fourAmotMode: str = "each"
     unequalLines: str = "extend"

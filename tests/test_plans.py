@@ -27,7 +27,14 @@ def test_lengths_are_exact_for_presets():
     assert S.Settings(amahPreset="custom", customAmahCm=50.0).mm(2000) == 1_000_000
 
 
-@pytest.mark.parametrize(("key", "value", "stage"), [(k, v, S.FIRST_STAGE[k]) for k, v in {"amahPreset": "moshe", "customAmahCm": 50.0, "triangleAbsorbsThird": False, "triangleWideMiddle": "merge", "chazonIshStraightSide": True, "keshetCondition": "mouthOnly", "keshetExclusion": "past4000", "remaExtra": True, "fourAmotMode": "total", "unequalLines": "diagonal", "havlaahWidth": "rema", "havlaahLength": "fullWidth", "havlaahEruvStartCity": False, "eruvCityTechum": False, "fetchRadiusM": 2000.0, "language": "he"}.items()])
+def test_defaults():
+    """The sixteen settings as the survey lists them."""
+    want = {"amahPreset": "naeh", "customAmahCm": 48.0, "triangleAbsorbsThird": True, "triangleWideMiddle": "noMerge", "chazonIshStraightSide": False, "keshetCondition": "mouthAndDepth", "keshetExclusion": "past4000", "remaExtra": False}
+    want |= {"fourAmotMode": "each", "unequalLines": "extend", "havlaahWidth": "magenAvraham", "havlaahLength": "parallel", "havlaahEruvStartCity": True, "eruvCityTechum": True, "fetchRadiusM": 3000.0, "language": "en"}
+    assert S.Settings().__dict__ == want
+
+
+@pytest.mark.parametrize(("key", "value", "stage"), [(k, v, S.FIRST_STAGE[k]) for k, v in {"amahPreset": "moshe", "customAmahCm": 50.0, "triangleAbsorbsThird": False, "triangleWideMiddle": "merge", "chazonIshStraightSide": True, "keshetCondition": "mouthOnly", "keshetExclusion": "entire", "remaExtra": True, "fourAmotMode": "total", "unequalLines": "diagonal", "havlaahWidth": "rema", "havlaahLength": "fullWidth", "havlaahEruvStartCity": False, "eruvCityTechum": False, "fetchRadiusM": 2000.0, "language": "he"}.items()])
 def test_first_stage_of_each_setting(key, value, stage):
     old = S.Settings()
     assert old.first_stage(S.Settings.load({key: value})) == stage and old.first_stage(old) == S.NEVER
@@ -250,6 +257,87 @@ def test_registered_runs_measure_all_points(spark, sf_dir):
     assert run.homes.count() == run.eruvs.count() == points.count() and run.settings == S.Settings()
 
 
+def measure(spark, rows, points, **settings):
+    """What is measured from each of some points of one scenario, and the run."""
+    homes = spark.createDataFrame([(1, k, x, y) for k, (x, y) in enumerate(points)], "scenario_id bigint, point_id bigint, x bigint, y bigint")
+    run = Run(spark, spark.createDataFrame(rows, BOX), homes, settings=S.Settings(fetchRadiusM=2000.0, **settings))
+    return {r.area_id: r for r in run.result().collect()}, run
+
+
+def test_city_bounds(spark):
+    """A point 15 m outside the last house is beyond the built-up city, though within half a gap of it; the Rema's strip
+    reaches half a gap beyond the outline; open space that the city encloses is the city."""
+    square = [(1, 100 + k, x, y, x + 10_000, y + 10_000) for k, (x, y) in enumerate([(a, b) for a in range(300_000, 480_000, 25_000) for b in range(0, 180_000, 25_000) if a in (300_000, 475_000) or b in (0, 175_000)])]
+    rows = row_of_houses(8) + square
+    outside, enclosed, far, strip = (-15_000, 5_000), (390_000, 90_000), (-60_000, 5_000), (-30_000, 5_000)
+    points = [(5_000, 5_000), outside, enclosed, far, strip]
+    got, _ = measure(spark, rows, points)
+    assert [got[k].source for k in range(5)] == ["city", "point", "city", "point", "point"] and not any(r.ribua for r in got.values())
+    assert (got[0].minx, got[0].maxx) == (-960_000, 150_000 + 960_000)
+    grown, _ = measure(spark, rows, points, remaExtra=True)
+    assert [grown[k].source for k in range(5)] == ["city", "city", "city", "point", "city"]
+    # each side has moved by 70 2/3 amot
+    extra = 33_920
+    assert [grown[0][c] - got[0][c] for c in ("minx", "miny", "maxx", "maxy")] == [-extra, -extra, extra, extra]
+
+
+def test_boundary_of_a_city_with_a_bow(spark):
+    """A U of 1.5 km, measured in amot of 30 cm: the bow is cut from the squaring, and the boundary is indented past it."""
+    at = [(x, 0) for x in range(-750_000, 750_001, 25_000)] + [(s, y) for s in (-750_000, 750_000) for y in range(25_000, 900_001, 25_000)]
+    rows = [(1, k + 1, x, y, x + 10_000, y + 10_000) for k, (x, y) in enumerate(at)]
+    middle, arm = (5_000, 850_000), (-740_000, 850_000)
+    inside = lambda r, p: spark.createDataFrame([(r.pieces,)], "pieces array<array<struct<x:double,y:double>>>").select(T.in_pieces(F.lit(p[0]), F.lit(p[1]), F.col("pieces"))).first()[0]
+    small = {"amahPreset": "custom", "customAmahCm": 30.0}
+    got, run = measure(spark, rows, [(0, 5_000), (5_000, 500_000)], keshetExclusion="entire", **small)
+    assert got[0].source == "city" and got[0].indented and (got[0].minx, got[0].maxy) == (-750_000 - 600_000, 910_000 + 600_000)
+    assert inside(got[0], arm) and not inside(got[0], middle) and inside(got[0], (5_000, 500_000))
+    assert got[1].source == "point" and not got[1].ribua  # the bow is no part of the squaring
+    assert {(r.step, r.kind) for r in run.diagnostics().collect()} >= {(4, "log"), (6, "warning")}
+    area = {r.area_id: r.area_m2 for r in T.outlines_of(run.result(), ["area_id"]).groupBy("area_id").agg(F.sum("area_m2").alias("area_m2")).collect()}
+    full = (1.51 + 1.2) * (0.91 + 1.2) * 1e6
+    assert full * 0.9 < area[0] < full - 1e4 and area[1] == pytest.approx((1.2024) ** 2 * 1e6, rel=1e-3)
+    run.change(unequalLines="diagonal")
+    assert not inside(run.result().where("area_id = 0").first(), middle)
+    # wider than 4000 amot only near its mouth: the arms close in below
+    run.change(unequalLines="extend", keshetExclusion="past4000")
+    assert run.result().where("area_id = 0").first().indented
+    run.change(keshetCondition="mouthAndDepth", customAmahCm=60.0)
+    whole = run.result().where("area_id = 0").first()
+    assert not whole.indented and inside(whole, middle)
+
+
+def test_boundary_of_a_turned_city(spark):
+    import math
+
+    turn = math.radians(30)
+    rows = [(1, k + 1, *[round(v) for v in (x - 6_000, y - 6_000, x + 6_000, y + 6_000)]) for k, (x, y) in enumerate([(t * math.cos(turn) - s * math.sin(turn), t * math.sin(turn) + s * math.cos(turn)) for t in range(0, 300_000, 15_000) for s in range(0, 90_000, 15_000)])]
+    got, run = measure(spark, rows, [(0, 0)])
+    r = got[0]
+    assert r.source == "city" and abs(math.degrees(r.angle) - 30) < 1.5
+    assert r.maxx - r.minx == pytest.approx(285_000 + 2 * 960_000 + 16_000, abs=8_000)
+    far = [max(p.x for q in r.pieces for p in q), max(p.y for q in r.pieces for p in q)]
+    assert far[0] == pytest.approx(r.maxx * math.cos(r.angle) - r.miny * math.sin(r.angle), rel=1e-9) and far[1] == pytest.approx(r.maxx * math.sin(r.angle) + r.maxy * math.cos(r.angle), rel=1e-9)
+
+
+def test_rays_read_elevation_tiles(spark):
+    """A slope to the east, known on two tiles: eastward rays pay for it, and heights are missing to the north."""
+    homes = spark.createDataFrame([(1, 1, 0, 0)], "scenario_id bigint, point_id bigint, x bigint, y bigint")
+    frames = spark.createDataFrame([(1, 31.7, 35.2)], "scenario_id bigint, lat0 double, lon0 double")
+    from cubitgrid.operators import techum
+
+    flat = Run(spark, spark.createDataFrame([], BOX), homes)
+    areas = flat.stage(5)["shvita"].withColumnRenamed("point_id", "area_id")
+    at = techum.ray_points(areas, 24_000).join(frames, "scenario_id")
+    lat, lon = G.from_local(F.col("x") / 1000, F.col("y") / 1000, F.col("lat0"), F.col("lon0"))
+    keys = ["tile_x", "tile_y", "px", "py"]
+    seen = at.select("y", *[c.alias(n) for n, c in zip(keys, G.tile(lat, lon), strict=True)]).where("y < 100000").select(*keys).distinct()
+    raster = seen.select("*", (F.lit(128) + F.floor((F.col("tile_x") * 256 + F.col("px")) % 1000 / 20)).alias("red"), F.lit(0).alias("green"), F.lit(0).alias("blue")).selectExpr(*keys, "cast(128 as int) red", "cast((tile_x * 256 + px) % 100 * 2 as int) green", "cast(0 as int) blue")
+    run = Run(spark, flat.source, homes, raster=raster, frames=frames)
+    got, level = run.result().first(), flat.result().first()
+    assert got.no_heights and not level.no_heights
+    assert got.maxx < level.maxx and got.maxy == level.maxy
+
+
 def test_no_buildings(spark, town):
     _, homes = town
     run = Run(spark, spark.createDataFrame([], BOX), homes)
