@@ -62,39 +62,58 @@ def min_area_rectangle(convex: np.ndarray) -> tuple[float, float, float, float]:
     return best
 
 
+def snapped(piece: np.ndarray, snap: float) -> np.ndarray:
+    """A convex piece on a grid; fewer than three points if it has no area there."""
+    return hull(np.floor(piece / snap + 0.5) * snap)
+
+
+def open_sides(piece: np.ndarray, others: list[np.ndarray], snap: float) -> list[tuple[int, int, int, int]]:
+    """The parts of a snapped piece's sides whose middle is strictly inside none of the others, in steps of the grid."""
+    out = []
+    for a, b in zip(piece, np.roll(piece, -1, 0), strict=True):
+        cuts = [0.0, 1.0]
+        for q in others:
+            cuts += _cuts(a, b, q, np.roll(q, -1, 0))
+        t = np.unique(np.clip(cuts, 0, 1))
+        ends = a + t[:, None] * (b - a)
+        start, end = ends[:-1], ends[1:]
+        long = np.hypot(*(end - start).T) >= snap / 2
+        middle = (start + end) / 2
+        covered = np.zeros(len(middle), bool)
+        for q in others:
+            if covered.all():
+                break
+            covered |= _inside(middle, q, snap / 10)
+        free = long & ~covered
+        out += [tuple(x) for x in np.c_[np.round(start[free] / snap), np.round(end[free] / snap)].astype("int64").tolist()]
+    return out
+
+
+def joined(sides: list[tuple[int, int, int, int]], snap: float) -> list[np.ndarray]:
+    """Outer rings (open, counter-clockwise) of directed sides. Of sides that coincide in the same direction one stays,
+    in opposite directions none; rings that run clockwise are holes and left out."""
+    found = dict.fromkeys(sides)
+    return [r for r in _rings([k for k in found if (k[2], k[3], k[0], k[1]) not in found], snap) if area(r) > 0]
+
+
 def union_outline(pieces: list[np.ndarray], snap: float = 1e-3) -> list[np.ndarray]:
-    """Outer rings (open, counter-clockwise) of a union of convex pieces, holes filled.
+    """Outer rings of a union of convex pieces, holes filled: what is open of each piece's sides, joined to rings.
 
-    Every edge is cut where it meets another piece; a fragment is on the outline if no piece has its middle
-    strictly inside. Of fragments that coincide in the same direction one stays, in opposite directions none.
-    The fragments are then joined to rings, and rings that run clockwise are holes.
+    Pieces that may meet a piece are looked for among those that begin at most the widest piece's width before it.
     """
-    pieces = [np.floor(p / snap + 0.5) * snap for p in pieces]
-    pieces = [h for p in pieces if len(h := hull(p)) > 2]
-    fragments: dict[tuple, int] = {}
-    boxes = np.array([[*p.min(0), *p.max(0)] for p in pieces]).reshape(-1, 4)
-    for i, p in enumerate(pieces):
-        near = np.flatnonzero((boxes[:, 0] <= boxes[i, 2]) & (boxes[:, 2] >= boxes[i, 0]) & (boxes[:, 1] <= boxes[i, 3]) & (boxes[:, 3] >= boxes[i, 1]))
-        near = near[near != i]
-        for a, b in zip(p, np.roll(p, -1, 0), strict=True):
-            cuts = [0.0, 1.0]
-            for j in near:
-                q = pieces[j]
-                cuts += _cuts(a, b, q, np.roll(q, -1, 0))
-            t = np.unique(np.clip(cuts, 0, 1))
-            ends = a + t[:, None] * (b - a)
-            start, end = ends[:-1], ends[1:]
-            long = np.hypot(*(end - start).T) >= snap / 2
-            middle = (start + end) / 2
-            covered = np.zeros(len(middle), bool)
-            for j in near:
-                if covered.all():
-                    break
-                covered |= _inside(middle, pieces[j], snap / 10)
-            for s, e in zip(start[long & ~covered], end[long & ~covered], strict=True):
-                fragments[*np.round(s / snap).astype(int), *np.round(e / snap).astype(int)] = 1
-    kept = [k for k in fragments if (k[2], k[3], k[0], k[1]) not in fragments]
-    return [r for r in _rings(kept, snap) if area(r) > 0]
+    pieces = [h for p in pieces if len(h := snapped(p, snap)) > 2]
+    if not pieces:
+        return []
+    boxes = np.array([[*p.min(0), *p.max(0)] for p in pieces])
+    order = np.argsort(boxes[:, 0], kind="stable")
+    begin, widest = boxes[order, 0], (boxes[:, 2] - boxes[:, 0]).max()
+    sides: list[tuple] = []
+    for i, (x0, y0, x1, y1) in enumerate(boxes):
+        near = order[np.searchsorted(begin, x0 - widest) : np.searchsorted(begin, x1, side="right")]
+        b = boxes[near]
+        near = near[(b[:, 2] >= x0) & (b[:, 1] <= y1) & (b[:, 3] >= y0) & (near != i)]
+        sides += open_sides(pieces[i], [pieces[j] for j in near], snap)
+    return joined(sides, snap)
 
 
 def _cuts(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[float]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -88,20 +89,20 @@ def _hull(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([[{"x": x, "y": y} for x, y in K.hull(np.stack([a, b], 1)).tolist()] for a, b in zip(xs, ys, strict=True)])
 
 
-def hulls(points: DataFrame, keys: list[str], parts: int = 16) -> DataFrame:
+def hulls(points: DataFrame, keys: list[str], cell: int = 512_000) -> DataFrame:
     """(keys, i, x, y): corners of each group's convex hull, counter-clockwise from i = 0.
 
-    A hull of hulls is the hull: parts of a group are reduced first, so no task takes a group whole.
+    A hull of hulls is the hull: the points of a group are reduced cell by cell first, so what a task takes of a group
+    depends on how dense its points are, and what is left is a few corners a cell.
     """
     ship(points.sparkSession)
     at = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    part = F.pmod(F.xxhash64("x", "y"), F.lit(parts))
 
     def reduced(rows: DataFrame, by: list[str]) -> DataFrame:
         lists = rows.groupBy(*by).agg(F.array_sort(F.collect_set("at")).alias("p"))
         return lists.select(*by, _hull(F.transform("p", lambda p: p["x"]), F.transform("p", lambda p: p["y"])).alias("h"))
 
-    some = reduced(points.select(*keys, at.alias("at"), part.alias("part")), [*keys, "part"])
+    some = reduced(points.select(*keys, at.alias("at"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")), [*keys, "cx", "cy"])
     whole = reduced(some.select(*keys, F.explode("h").alias("at")), keys)
     return whole.select(*keys, F.posexplode("h").alias("i", "p")).select(*keys, F.col("i").cast("bigint").alias("i"), "p.x", "p.y")
 
@@ -124,11 +125,32 @@ def min_area_rectangles(hull: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def outlines(clustered: DataFrame, radius_mm: float) -> DataFrame:
-    """(scenario_id, cluster, ring, i, x, y, area): outer outline of each cluster's grown footprints, holes filled."""
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = [K.grown(np.array([[r.x0, r.y0], [r.x1, r.y0], [r.x1, r.y1], [r.x0, r.y1]], "float64"), radius_mm) for r in pdf.itertuples()]
-        rows = [(pdf.scenario_id.iloc[0], pdf.cluster.iloc[0], k, i, *p, K.area(ring)) for k, ring in enumerate(K.union_outline(pieces, snap=1.0)) for i, p in enumerate(ring)]
+    """(scenario_id, cluster, ring, i, x, y, area): outer outline of each cluster's grown footprints, holes filled.
+
+    What is open of a grown footprint's sides depends on its neighbours alone, which a range join finds; only these
+    open sides of a cluster, not its footprints, meet in one task, which joins them to rings.
+    """
+    snap, far = 1.0, radius_mm / G.COS_OCTAGON + 1
+    # equal footprints cover the same ground
+    rows = clustered.groupBy("scenario_id", "cluster", "x0", "y0", "x1", "y1").agg(F.min("building_id").alias("building_id"))
+    dx, dy = gaps()
+    met = cell_pairs(rows, rows, max(64_000, int(4 * far)), far).where((F.col("a_cluster") == F.col("b_cluster")) & (F.col("a_building_id") != F.col("b_building_id")) & (F.greatest(dx, dy) <= 2 * far))
+    near = met.groupBy(F.col("a_building_id").alias("building_id")).agg(F.collect_list(F.array(*[F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])).alias("near"))
+    each = rows.join(near, "building_id", "left").select("scenario_id", "cluster", F.array("x0", "y0", "x1", "y1").alias("own"), F.coalesce("near", F.array().cast("array<array<bigint>>")).alias("near"))
+    grown = lambda b: K.snapped(K.grown(np.array([[b[0], b[1]], [b[2], b[1]], [b[2], b[3]], [b[0], b[3]]], "float64"), radius_mm), snap)
+
+    def sides(batches):
+        for batch in batches:
+            out = []
+            for s, c, own, near in zip(*[batch.column(n).to_pylist() for n in ("scenario_id", "cluster", "own", "near")], strict=True):
+                out += [(s, c, *side) for side in K.open_sides(grown(own), [grown(b) for b in near], snap)]
+            yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], names=["scenario_id", "cluster", "ax", "ay", "bx", "by"])
+
+    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = sorted(K.joined(list(map(tuple, pdf[["ax", "ay", "bx", "by"]].sort_values(["ax", "ay", "bx", "by"]).to_numpy().tolist())), snap), key=lambda r: tuple(r.min(0)))
+        rows = [(pdf.scenario_id.iloc[0], pdf.cluster.iloc[0], k, i, *p, K.area(ring)) for k, ring in enumerate(found) for i, p in enumerate(ring)]
         return pd.DataFrame(rows, columns=["scenario_id", "cluster", "ring", "i", "x", "y", "area"])
 
     ship(clustered.sparkSession)
-    return clustered.groupBy("scenario_id", "cluster").applyInPandas(work, "scenario_id bigint, cluster bigint, ring bigint, i bigint, x double, y double, area double")
+    open_ = each.mapInArrow(sides, "scenario_id bigint, cluster bigint, ax bigint, ay bigint, bx bigint, by bigint")
+    return open_.groupBy("scenario_id", "cluster").applyInPandas(rings, "scenario_id bigint, cluster bigint, ring bigint, i bigint, x double, y double, area double")

@@ -13,10 +13,15 @@ COUNTRY = ", Israel"
 def geocode(places: DataFrame, queries: DataFrame, most: int = 5) -> DataFrame:
     """(q, place_id, display_name, r): the best `most` places for each query, by rank, then id.
 
-    queries is a small table of what users typed; places are scanned once. A place matches if its name contains
-    the query, whatever the case.
+    A place matches if its name contains the query, whatever the case. Both meet on the query's first three letters,
+    or fewer if it has no more: names are looked up under all of theirs, so no query is compared with every name.
     """
-    met = places.join(queries, F.contains(F.lower("full_name"), F.lower("q")))
+    name, begin = F.lower("full_name"), F.lower(F.substring("q", 1, 3))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(name), F.lit(1)))
+    of = lambda n: F.transform(starts, lambda i: F.substring(name, i, F.lit(n)))
+    parts = F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+    met = places.withColumn("part_", F.explode(parts)).join(queries.distinct().withColumn("begin_", begin), F.col("part_") == F.col("begin_"))
+    met = met.where(F.contains(name, F.lower("q"))).drop("part_", "begin_")
     r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rank"), "place_id"))
     return met.withColumn("r", r.cast("bigint")).where(F.col("r") <= most).select("q", "place_id", F.replace("full_name", F.lit(COUNTRY), F.lit("")).alias("display_name"), "r")
 

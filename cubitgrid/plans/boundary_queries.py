@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from math import cos, pi, sin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from cubitgrid.operators import rings as R
 from cubitgrid.operators import techum as T
 from cubitgrid.plans import settings as S
 from cubitgrid.plans.spatial_queries import B, GAP, HULLS, KEYS, PT, SC, SUMMARY, _cities, _hull, m, milli
+from cubitgrid.plans.tables import Tables
 from cubitgrid.sources import fixtures as X
 
 NOW = S.Settings()
@@ -58,25 +60,68 @@ def point_boundary_gap(spark, sf_dir):
     return P.nearest(X.points(spark, sf_dir), X.buildings(spark, sf_dir), "building_id", 100_000).select("point_id", "building_id", F.col("square").cast("bigint").alias("square"))
 
 
-_SHVITA = f"""gr as (select pt.point_id, min(number) number from pt join (select c.*, number from c join ci using (scenario_id, cluster)) g on g.scenario_id = pt.scenario_id
-  and x between x0 - {GAP // 2} and x1 + {GAP // 2} and y between y0 - {GAP // 2} and y1 + {GAP // 2} group by pt.point_id),
+_FAR = GAP / 2 / G.COS_OCTAGON
+#: Corners of a grown rectangle, counter-clockwise: the octagon's vertex and the rectangle's corner that it stands at.
+_RIM = [(0, 1, 0), (0, 1, 1), (1, 1, 1), (2, 1, 1), (2, 0, 1), (3, 0, 1), (4, 0, 1), (4, 0, 0), (5, 0, 0), (6, 0, 0), (6, 1, 0), (7, 1, 0)]
+_RIM_X = ", ".join(f"x{i} + {round(_FAR * cos(k * pi / 4), 6)!r}::double" for k, i, _ in _RIM)
+_RIM_Y = ", ".join(f"y{j} + {round(_FAR * sin(k * pi / 4), 6)!r}::double" for k, _, j in _RIM)
+#: Its sides as half planes nx * x + ny * y < ox * x0 + px * x1 + oy * y0 + py * y1 + c: the octagon's eight and the axes' four.
+_PLANES = ", ".join(f"({nx!r}::double, {ny!r}::double, {min(nx, 0)!r}::double, {max(nx, 0)!r}::double, {min(ny, 0)!r}::double, {max(ny, 0)!r}::double, {c!r}::double)" for nx, ny, c in [(round(cos(pi / 8 + k * pi / 4), 15), round(sin(pi / 8 + k * pi / 4), 15), GAP / 2) for k in range(8)] + [(1.0, 0.0, _FAR), (-1.0, 0.0, _FAR), (0.0, 1.0, _FAR), (0.0, -1.0, _FAR)])
+_REACH = 2 * round(_FAR) + 2
+
+
+def _shvita_sql(strip: bool) -> str:
+    """The rule itself: sides of grown footprints, less what lies inside other ones, are outlines, which run clockwise
+    around holes; a point is in the city if it is inside the outer ones and half a gap from them."""
+    grow = REMA if strip else 0
+    return f"""cb as (select c.*, number from c join ci using (scenario_id, cluster)),
+vt as (select cluster, building_id, unnest(range(12)) i, unnest([{_RIM_X}]) x, unnest([{_RIM_Y}]) y from cb),
+sg as (select a.cluster, a.building_id, a.i, a.x ax, a.y ay, b.x - a.x ex, b.y - a.y ey from vt a join vt b on a.building_id = b.building_id and b.i = (a.i + 1) % 12),
+nb as (select a.building_id a, b.* from cb a join cb b on a.cluster = b.cluster and a.building_id <> b.building_id and b.x0 <= a.x1 + {_REACH} and a.x0 <= b.x1 + {_REACH} and b.y0 <= a.y1 + {_REACH} and a.y0 <= b.y1 + {_REACH}),
+pl(nx, ny, ox, px, oy, py, c) as (values {_PLANES}),
+hp as (select sg.building_id, i, nb.building_id other, nx * ex + ny * ey dn, ox * x0 + px * x1 + oy * y0 + py * y1 + c - nx * ax - ny * ay rest from sg join nb on nb.a = sg.building_id, pl),
+iv as (select building_id, i, greatest(0, coalesce(max(case when dn < 0 then rest / dn end), 0)) lo, least(1, coalesce(min(case when dn > 0 then rest / dn end), 1)) hi from hp group by building_id, i, other having count(*) filter (dn = 0 and rest <= 0) = 0),
+cv as (select * from iv where lo < hi union all select building_id, i, 1, 1 from sg),
+gp as (select building_id, i, greatest(0, coalesce(max(hi) over (partition by building_id, i order by lo, hi rows between unbounded preceding and 1 preceding), 0)) lo, lo hi from cv),
+f0 as (select row_number() over (order by building_id, i, lo) id, sg.cluster, ax + lo * ex ax, ay + lo * ey ay, (hi - lo) * ex ex, (hi - lo) * ey ey from gp join sg using (building_id, i) where hi - lo > 1e-9),
+nx as (select a.id a, b.id b from f0 a join f0 b on a.cluster = b.cluster and abs(a.ax + a.ex - b.ax) < 0.01 and abs(a.ay + a.ey - b.ay) < 0.01),
+rr(id, root) as (select id, id from f0 union select nx.b, rr.root from rr join nx on nx.a = rr.id),
+rt as (select id, min(root) root from rr group by id), oc as (select root from rt join f0 using (id) group by root having sum(ax * ey - ay * ex) > 0),
+fr as (select f0.* from f0 join rt using (id) join oc using (root)),
+cd as (select point_id, x, y, ci.cluster, number from pt join ci on ci.scenario_id = pt.scenario_id and x between minx - {GAP} and maxx + {GAP} and y between miny - {GAP} and maxy + {GAP}),
+ds as (select point_id, cd.x, cd.y, cd.cluster, number, min(sqrt(pow(x - ax - greatest(0, least(1, ((x - ax) * ex + (y - ay) * ey) / (ex * ex + ey * ey))) * ex, 2) + pow(y - ay - greatest(0, least(1, ((x - ax) * ex + (y - ay) * ey) / (ex * ex + ey * ey))) * ey, 2))) far, count(*) filter ((ay > y) <> (ay + ey > y) and x < ax + (y - ay) / ey * ex) % 2 = 1 inside from cd join fr using (cluster) group by all),
+gr as (select point_id, min(number) number from ds where {f"inside or far <= {GAP // 2}" if strip else f"inside and far >= {GAP // 2}"} group by point_id),
+sq as (select scenario_id, cluster, number, minx - {grow} minx, miny - {grow} miny, maxx + {grow} maxx, maxy + {grow} maxy from ci),
+ri as (select distinct point_id from pt join sq using (scenario_id) where x between minx and maxx and y between miny and maxy),
 bu as (select point_id, min(building_id) building_id from pt join b using (scenario_id) where x between x0 and x1 and y between y0 and y1 group by point_id),
-sh as (select pt.point_id, case when gr.number is not null then 'city' when bu.building_id is not null then 'building' else 'point' end source,
-  cast(case when gr.number is not null then ci.minx when bu.building_id is not null then b.x0 else x - {AMOT4} end as bigint) minx, cast(case when gr.number is not null then ci.miny when bu.building_id is not null then b.y0 else y - {AMOT4} end as bigint) miny,
-  cast(case when gr.number is not null then ci.maxx when bu.building_id is not null then b.x1 else x + {AMOT4} end as bigint) maxx, cast(case when gr.number is not null then ci.maxy when bu.building_id is not null then b.y1 else y + {AMOT4} end as bigint) maxy
-  from pt left join gr using (point_id) left join ci on ci.scenario_id = pt.scenario_id and ci.number = gr.number left join bu on bu.point_id = pt.point_id left join b on b.building_id = bu.building_id)"""
+sh as (select pt.point_id, case when gr.number is not null then 'city' when bu.building_id is not null then 'building' else 'point' end source, gr.number is null and ri.point_id is not null ribua,
+  cast(case when gr.number is not null then sq.minx when bu.building_id is not null then b.x0 else x - {AMOT4} end as bigint) minx, cast(case when gr.number is not null then sq.miny when bu.building_id is not null then b.y0 else y - {AMOT4} end as bigint) miny,
+  cast(case when gr.number is not null then sq.maxx when bu.building_id is not null then b.x1 else x + {AMOT4} end as bigint) maxx, cast(case when gr.number is not null then sq.maxy when bu.building_id is not null then b.y1 else y + {AMOT4} end as bigint) maxy
+  from pt left join gr using (point_id) left join sq on sq.scenario_id = pt.scenario_id and sq.number = gr.number left join bu on bu.point_id = pt.point_id left join b on b.building_id = bu.building_id left join ri on ri.point_id = pt.point_id)"""
 
 
-def _areas(spark, sf_dir) -> DataFrame:
-    buildings, _ = _cities(spark, sf_dir)
-    return P.shvita(X.points(spark, sf_dir), buildings, X.buildings(spark, sf_dir), GAP // 2, AMOT4)
+def _areas(spark, sf_dir, strip: bool = False) -> DataFrame:
+    """The areas of all points, cities squared to the world's axes."""
+    from cubitgrid.operators import square as Q
+
+    buildings, cities = _cities(spark, sf_dir)
+    squared = cities.select("scenario_id", "cluster", "number", F.lit(0.0).alias("angle"), *[F.col(c).cast("double").alias(n) for n, c in (("minu", "minx"), ("minv", "miny"), ("maxu", "maxx"), ("maxv", "maxy"))], F.lit(None).cast(f"array<{Q.RING}>").alias("pieces"))
+    outlines = Tables(spark, "outlines").cut(C.outlines(buildings, GAP / 2))
+    got = P.shvita(X.points(spark, sf_dir), Q.with_extra(squared, REMA if strip else 0), outlines, X.buildings(spark, sf_dir), GAP // 2, AMOT4, strip)
+    return got.select("point_id", "source", "ribua", *[F.col(c).cast("bigint").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
 
 
-@query(f"with recursive {SUMMARY}, {PT}, {_SHVITA} select point_id, source, minx, miny, maxx, maxy from sh")
+@query(f"with recursive {SUMMARY}, {PT}, {_shvita_sql(False)} select point_id, source, ribua, minx, miny, maxx, maxy from sh")
 def shvita_priority(spark, sf_dir):
     return _areas(spark, sf_dir)
 
 
+@query(f"with recursive {SUMMARY}, {PT}, {_shvita_sql(True)} select point_id, source, ribua, minx, miny, maxx, maxy from sh")
+def shvita_rema(spark, sf_dir):
+    """With the Rema's strip around each city and its squaring."""
+    return _areas(spark, sf_dir, strip=True)
+
+
 # merging
 
 _CITY_PAIRS = f"""bb as (select c.* from c join ci using (scenario_id, cluster)),
@@ -141,9 +186,16 @@ def label_concat(spark, sf_dir):
     return M.labels(M.merged(cities, M.plain_links(buildings, GAP, MERGE)))
 
 
-@query(f"""with recursive {SUMMARY}, nr as (select a.scenario_id, a.cluster a, b.cluster b, a.maxx ax1, b.minx bx0, b.maxx bx1, greatest(0, b.minx - a.maxx, a.minx - b.maxx) dx, greatest(0, b.miny - a.maxy, a.miny - b.maxy) dy from ci a join ci b on a.scenario_id = b.scenario_id and a.cluster <> b.cluster),
-ok as (select * from nr where dx * dx + dy * dy <= {SIDE}::bigint * {SIDE})
-select ac.scenario_id, ac.a, ac.b c, ab.b from ok ac join ok ab on ab.a = ac.a join ok cb on cb.a = ac.b and cb.b = ab.b where ac.dy = 0 and ac.ax1 < ac.bx0 and ab.bx1 >= ac.ax1 and ab.bx0 <= ac.bx0""")
+@query(f"""with recursive {SUMMARY}, nr as (select a.scenario_id, a.cluster a, b.cluster b, greatest(0, b.minx - a.maxx, a.minx - b.maxx) dx, greatest(0, b.miny - a.maxy, a.miny - b.maxy) dy,
+  a.minx ax0, a.miny ay0, a.maxx ax1, a.maxy ay1, b.minx bx0, b.miny by0, b.maxx bx1, b.maxy by1 from ci a join ci b on a.scenario_id = b.scenario_id and a.cluster <> b.cluster),
+ok as (select * from nr where dx * dx + dy * dy <= {SIDE}::bigint * {SIDE}),
+g0 as (select *, case when dx * dy = 0 or ay1 < by0 then 1 else -1 end sg, sqrt((dx * dx + dy * dy)::double) len from ok where (dx > 0 and ax1 < bx0) or (dx = 0 and dy > 0 and ay1 < by0)),
+g1 as (select scenario_id, a, b c, dx, dy, sg, ax0, ax1, bx0, bx1, dx / len ux, dy / len uy, case when sg > 0 then ay0 else -ay1 end ay0, case when sg > 0 then ay1 else -ay0 end ay1, case when sg > 0 then by0 else -by1 end by0, case when sg > 0 then by1 else -by0 end by1 from g0),
+g2 as (select *, greatest(-ax1 * uy + ay0 * ux, -bx1 * uy + by0 * ux) v0, least(-ax0 * uy + ay1 * ux, -bx0 * uy + by1 * ux) v1 from g1),
+g3 as (select *, case when dy = 0 then ax1::double when dx = 0 then ay1::double else least((ax1 + v0 * uy) / ux, (ay1 - v0 * ux) / uy, (ax1 + v1 * uy) / ux, (ay1 - v1 * ux) / uy) end lo,
+  case when dy = 0 then bx0::double when dx = 0 then by0::double else greatest((bx0 + v0 * uy) / ux, (by0 - v0 * ux) / uy, (bx0 + v1 * uy) / ux, (by0 - v1 * ux) / uy) end hi from g2)
+select g.scenario_id, g.a, g.c, ab.b from g3 g join ok ab on ab.a = g.a join ok cb on cb.a = g.c and cb.b = ab.b
+where ab.bx1 * ux + case when sg > 0 then ab.by1 else -ab.by0 end * uy >= lo and ab.bx0 * ux + case when sg > 0 then ab.by0 else -ab.by1 end * uy <= hi""")
 def corridor_filter(spark, sf_dir):
     return M.corridors(_cities(spark, sf_dir)[1], SIDE)
 
@@ -229,12 +281,25 @@ def techum_diagonal(spark, sf_dir):
     return T.diagonal(_with_rays(spark, sf_dir)).select("area_id", F.floor(-G.ring_area(F.col("ring")) / 1e6 + 0.5).cast("bigint").alias("area_m2"))
 
 
+@query(f"""with {_AREAS}, bx as (select area_id, (area_id % 7 - 3) * 0.2::double g, minx - greatest(sw_w, nw_w) x0, miny - greatest(sw_s, se_s) y0, maxx + greatest(se_e, ne_e) x1, maxy + greatest(nw_n, ne_n) y1 from ra),
+co as (select area_id, g, unnest(range(4)) i, unnest([x0, x1, x1, x0]) x, unnest([y0, y0, y1, y1]) y from bx)
+select area_id, i corner, {m('x * cos(g) - y * sin(g)')} x_um, {m('x * sin(g) + y * cos(g)')} y_um from co""")
+def boundary_rotated(spark, sf_dir):
+    """Corners of the boundaries of rectangles that are turned, in the world's frame."""
+    areas = _with_rays(spark, sf_dir).withColumns({"angle": (F.col("area_id") % 7 - 3) * 0.2, "pieces": F.lit(None).cast("array<array<struct<x:double,y:double>>>")})
+    sides = {"n": ("nw_n", "ne_n"), "s": ("sw_s", "se_s"), "e": ("se_e", "ne_e"), "w": ("sw_w", "nw_w")}
+    areas = areas.withColumns({f"reach_{k}": F.greatest(*v) for k, v in sides.items()})
+    got = T.boundary_pieces(areas).select("area_id", F.explode(T.to_world(F.col("boundary"), F.col("angle"))).alias("p"))
+    each = got.select("area_id", F.posexplode("p").alias("corner", "q"))
+    return each.select("area_id", F.col("corner").cast("bigint").alias("corner"), milli(F.col("q.x")).alias("x_um"), milli(F.col("q.y")).alias("y_um"))
+
+
 def _side_sql(k: int, edge: str, near: str, far: str, c: str) -> str:
     """One side's row for each area and city; no join with a table of sides, which the engine's dictionaries break on."""
     return f"select ar.area_id, ci.cluster, {k} sd, {1 - 2 * (k % 2)} sg, {edge} edge, {near} near, {far} far, min{c} c0, max{c} c1, s_min{c} s0, s_max{c} s1 from ar join ci using (scenario_id) where not (minx < s_maxx and s_minx < maxx and miny < s_maxy and s_miny < maxy)"
 
 
-_HAVLAAH = f"""ar as (select scenario_id, cluster as area_id, minx s_minx, miny s_miny, maxx s_maxx, maxy s_maxy from ci where number <= 3),
+_HAVLAAH = f"""ar as (select scenario_id, cluster as area_id, minx s_minx, miny s_miny, maxx s_maxx, maxy s_maxy from ci),
 sw as ({" union all ".join([_side_sql(0, "s_maxy", "miny", "maxy", "x"), _side_sql(1, "s_miny", "maxy", "miny", "x"), _side_sql(2, "s_maxx", "minx", "maxx", "y"), _side_sql(3, "s_minx", "maxx", "minx", "y")])}),
 ok as (select *, greatest(0, abs(far - near) - {AMOT4}) delta, edge + sg * {TECHUM} o, greatest(c0, s0 - {TECHUM}) e0, least(c1, s1 + {TECHUM}) e1 from sw where sg * (near - edge) > 0 and c0 < s1 and s0 < c1 and sg * (far - edge) <= {TECHUM}),
 pa as (select area_id, cluster, sd, 1 part, c0 lo, c1 hi, least(near, far) d0, greatest(near, far) d1 from ok union all select area_id, cluster, sd, 2, e0, e1, least(o, o + sg * delta), greatest(o, o + sg * delta) from ok)"""
@@ -243,7 +308,7 @@ pa as (select area_id, cluster, sd, 1 part, c0 lo, c1 hi, least(near, far) d0, g
 @query(f"""with recursive {SUMMARY}, {_HAVLAAH} select area_id, cluster, cast(sd as bigint) side, part, cast(case when sd < 2 then lo else d0 end as bigint) minx, cast(case when sd < 2 then d0 else lo end as bigint) miny,
 cast(case when sd < 2 then hi else d1 end as bigint) maxx, cast(case when sd < 2 then d1 else hi end as bigint) maxy from pa where lo < hi and d0 < d1""")
 def havlaah_rects(spark, sf_dir):
-    """Around every city, over flat ground. The SQL still takes the first three of each scenario."""
+    """Around every city, over flat ground."""
     _, cities = _cities(spark, sf_dir)
     areas = cities.select(F.col("cluster").alias("area_id"), "scenario_id", "minx", "miny", "maxx", "maxy", *[F.lit(TECHUM).alias(f"reach_{s}") for s in T.SIDES])
     side = F.array_position(F.array(*map(F.lit, T.SIDES)), F.col("side")) - 1

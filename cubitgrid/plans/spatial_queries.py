@@ -125,8 +125,9 @@ def haversine_measure(spark, sf_dir):
 
 @query(f"with {B} select scenario_id, building_id from b where x1 >= -{HALF} and x0 <= {HALF} and y1 >= -{HALF} and y0 <= {HALF}")
 def bbox_scan(spark, sf_dir):
-    e = X.extents(spark, sf_dir, HALF)
-    return X.buildings(spark, sf_dir).join(e, "scenario_id").where("x1 >= minx and x0 <= maxx and y1 >= miny and y0 <= maxy").select("scenario_id", "building_id")
+    from cubitgrid.operators.scan import scan
+
+    return scan(X.buildings(spark, sf_dir), X.extents(spark, sf_dir, HALF), prune=True).select("scenario_id", "building_id")
 
 
 @query(f"""with {B} select scenario_id, building_id from b where x1 >= -{HALF} and x0 <= {HALF} and y1 >= -{HALF} and y0 <= {HALF + STRIP}
