@@ -40,6 +40,13 @@ def grown(convex: np.ndarray, r: float) -> np.ndarray:
     return hull((np.asarray(convex)[:, None] + corners[None]).reshape(-1, 2))
 
 
+def rounded(convex: np.ndarray, r: float, sides: int = 32) -> np.ndarray:
+    """Hull of the points grown by a regular polygon around radius r, which a circle of that radius lies in."""
+    turn = np.arange(sides) * 2 * pi / sides
+    corners = np.stack([np.cos(turn), np.sin(turn)], 1) * r / np.cos(pi / sides)
+    return hull((np.asarray(convex)[:, None] + corners[None]).reshape(-1, 2))
+
+
 def plus_rectangle(ring: np.ndarray, west: float, east: float, south: float, north: float) -> list[np.ndarray]:
     """Convex pieces whose union is the ring's outline moved over [-west, east] x [-south, north]: one for each edge."""
     box = np.array([[-west, -south], [east, -south], [east, north], [-west, north]])
@@ -208,3 +215,68 @@ def box_sum(convex: np.ndarray, west: float, east: float, south: float, north: f
     """A convex ring moved over [-west, east] x [-south, north]."""
     box = np.array([[-west, -south], [east, -south], [east, north], [-west, north]])
     return hull((np.asarray(convex)[:, None] + box[None]).reshape(-1, 2))
+
+
+# convex hulls against each other (open rings, counter-clockwise)
+
+
+def hulls_overlap(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two hulls have a point in common: no side's normal separates them; touching is overlap."""
+    for one, two in ((a, b), (b, a)):
+        side = np.roll(one, -1, 0) - one
+        normal = np.stack([side[:, 1], -side[:, 0]], 1)
+        if ((one @ normal.T).max(0) < (two @ normal.T).min(0)).any():
+            return False
+    return True
+
+
+def hull_line(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends on a and on b of the shortest line between the sides of two hulls: one of them is a corner."""
+    def from_corners(p: np.ndarray, q: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        d = np.roll(q, -1, 0) - q
+        size = (d**2).sum(1)
+        t = np.clip(((p[:, None] - q) * d).sum(-1) / np.where(size > 0, size, 1), 0, 1)
+        at = q + t[..., None] * d
+        far = ((p[:, None] - at) ** 2).sum(-1)
+        i, j = np.unravel_index(far.argmin(), far.shape)
+        return float(far[i, j]), p[i], at[i, j]
+
+    one, two = from_corners(a, b), from_corners(b, a)
+    return (one[1], one[2]) if one[0] <= two[0] else (two[2], two[1])
+
+
+def hulls_within(a: np.ndarray, b: np.ndarray, limit: float) -> bool:
+    """Whether two hulls overlap, or their sides come within a distance."""
+    if len(a) > 2 and len(b) > 2 and hulls_overlap(a, b):
+        return True
+    p, q = hull_line(a, b)
+    return bool(np.hypot(*(q - p)) <= limit)
+
+
+def slice_range(h: np.ndarray, u: np.ndarray, v: np.ndarray, at: float) -> tuple[float, float]:
+    """Where along u a hull is met by the line v = at; the corner nearest to the line, if it misses by rounding."""
+    s, along = h @ v - at, h @ u
+    nxt, ahead = np.roll(s, -1), np.roll(along, -1)
+    cross = (s < 0) != (nxt < 0)
+    met = np.r_[along[s == 0], along[cross] + s[cross] / (s[cross] - nxt[cross]) * (ahead[cross] - along[cross])]
+    if not len(met):
+        met = along[[np.abs(s).argmin()]]
+    return float(met.min()), float(met.max())
+
+
+def corridor(a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float, float] | None:
+    """(u, start, end): the direction of the shortest line from a to c, and from where to where along it the gap between
+    their facing sides reaches, over all of their lateral overlap; None if they have no gap.
+
+    a's facing side bulges towards c and c's towards a, so their ends over the overlap are the farthest.
+    """
+    if hulls_overlap(a, c):
+        return None
+    p, q = hull_line(a, c)
+    length = np.hypot(*(q - p))
+    if length < 1e-9:
+        return None
+    u = (q - p) / length
+    v = np.array([-u[1], u[0]])
+    ends = max((a @ v).min(), (c @ v).min()), min((a @ v).max(), (c @ v).max())
+    return u, min(slice_range(a, u, v, e)[1] for e in ends), max(slice_range(c, u, v, e)[0] for e in ends)

@@ -124,20 +124,24 @@ def min_area_rectangles(hull: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "r.angle", "r.width", "r.height", "area")
 
 
-def outlines(clustered: DataFrame, radius_mm: float) -> DataFrame:
-    """(scenario_id, cluster, ring, i, x, y, area): outer outline of each cluster's grown footprints, holes filled.
+def outlines(clustered: DataFrame, radius_mm: float, more_mm: float = 0.0) -> DataFrame:
+    """(scenario_id, cluster, ring, i, x, y, area): outer outline of each cluster's footprints, grown by the octagon
+    around radius_mm and, if more_mm is given, by a circle of this radius besides; holes filled.
 
     What is open of a grown footprint's sides depends on its neighbours alone, which a range join finds; only these
     open sides of a cluster, not its footprints, meet in one task, which joins them to rings.
     """
-    snap, far = 1.0, radius_mm / G.COS_OCTAGON + 1
+    snap, far = 1.0, radius_mm / G.COS_OCTAGON + 1.01 * more_mm + 1
     # equal footprints cover the same ground
     rows = clustered.groupBy("scenario_id", "cluster", "x0", "y0", "x1", "y1").agg(F.min("building_id").alias("building_id"))
     dx, dy = gaps()
     met = cell_pairs(rows, rows, max(64_000, int(4 * far)), far).where((F.col("a_cluster") == F.col("b_cluster")) & (F.col("a_building_id") != F.col("b_building_id")) & (F.greatest(dx, dy) <= 2 * far))
     near = met.groupBy(F.col("a_building_id").alias("building_id")).agg(F.collect_list(F.array(*[F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])).alias("near"))
     each = rows.join(near, "building_id", "left").select("scenario_id", "cluster", F.array("x0", "y0", "x1", "y1").alias("own"), F.coalesce("near", F.array().cast("array<array<bigint>>")).alias("near"))
-    grown = lambda b: K.snapped(K.grown(np.array([[b[0], b[1]], [b[2], b[1]], [b[2], b[3]], [b[0], b[3]]], "float64"), radius_mm), snap)
+
+    def grown(b: list[int]) -> np.ndarray:
+        near = K.grown(np.array([[b[0], b[1]], [b[2], b[1]], [b[2], b[3]], [b[0], b[3]]], "float64"), radius_mm)
+        return K.snapped(K.rounded(near, more_mm) if more_mm else near, snap)
 
     def sides(batches):
         for batch in batches:

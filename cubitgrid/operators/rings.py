@@ -37,3 +37,21 @@ def cross_section(edges: DataFrame, depths: DataFrame, keys: list[str]) -> DataF
     x = F.col("x1") + (F.col("d") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     r = F.row_number().over(Window.partitionBy(*keys, "d").orderBy("x"))
     return at.select(*keys, "d", x.alias("x")).withColumn("r", r).groupBy(*keys, "d").agg(F.sum(F.when(F.col("r") % 2 == 0, F.col("x")).otherwise(-F.col("x"))).alias("width"))
+
+
+def outward_sides(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """edges (keys, i, x1, y1, x2, y2) of closed rings with `side`: n, e, s or w, which a side's outward normal is
+    nearest to; of equals north or south. Rings run either way round."""
+    area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).over(Window.partitionBy(*keys))
+    sign = F.when(area >= 0, 1).otherwise(-1)
+    nx, ny = sign * (F.col("y2") - F.col("y1")), -sign * (F.col("x2") - F.col("x1"))
+    side = F.when(F.abs(nx) > F.abs(ny), F.when(nx > 0, "e").otherwise("w")).otherwise(F.when(ny > 0, "n").otherwise("s"))
+    return edges.withColumn("side", side)
+
+
+def strokes(edges: DataFrame, cut_off: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, run, dotted, points): the strokes that rings are drawn in: dotted where the side that a stretch faces is one
+    on which the loaded data ends. cut_off: (keys, n, e, s, w)."""
+    faced = outward_sides(edges, keys).join(cut_off, keys)
+    faced = faced.withColumn("dotted", F.when(F.col("side") == "n", F.col("n")).when(F.col("side") == "e", F.col("e")).when(F.col("side") == "s", F.col("s")).otherwise(F.col("w")))
+    return split_stroke(faced, keys, "i", "dotted").groupBy(*keys, "run").agg(F.first("dotted").alias("dotted"), F.count("*").alias("points"))

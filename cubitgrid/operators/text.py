@@ -30,6 +30,11 @@ def scenario_url(lat: Column, lon: Column, base: str = "https://example.org/") -
     return F.format_string(f"{base}?lat=%.6f&lon=%.6f", lat, lon)
 
 
+def edit_url(zoom: Column, lat: Column, lon: Column, base: str = "https://www.openstreetmap.org/edit") -> Column:
+    """Where the map around a place is edited: the zoom to whole steps, halves up."""
+    return F.format_string(f"{base}#map=%d/%.5f/%.5f", F.floor(zoom + 0.5), lat, lon)
+
+
 def from_url(url: Column) -> tuple[Column, Column]:
     """Latitude and longitude of a URL; null where they are missing or no numbers."""
     return tuple(F.try_parse_url(url, F.lit("QUERY"), F.lit(k)).try_cast("double") for k in ("lat", "lon"))

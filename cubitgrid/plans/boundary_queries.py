@@ -362,6 +362,48 @@ def scenario_url(spark, sf_dir):
     return p.select("point_id", url(lat, lon).alias("url"))
 
 
+@query(f"with {SC}, {PT} select point_id, printf('https://www.openstreetmap.org/edit#map=%d/%.5f/%.5f', cast(floor(12 + point_id % 40 / 8.0::double + 0.5) as bigint), lat0 + floor(y / 1000.0::double) / 100003.0::double, lon0 + floor(x / 1000.0::double) / 100003.0::double) url from pt join sc using (scenario_id)")
+def edit_url(spark, sf_dir):
+    from cubitgrid.operators.text import edit_url as url
+
+    p = X.points(spark, sf_dir).join(X.scenarios(spark, sf_dir), "scenario_id")
+    lat, lon = F.col("lat0") + F.floor(F.col("y") / 1000) / 100003.0, F.col("lon0") + F.floor(F.col("x") / 1000) / 100003.0
+    return p.select("point_id", url(12 + F.col("point_id") % 40 / 8.0, lat, lon).alias("url"))
+
+
+@query(f"""with recursive {HULLS}, sd as (select scenario_id, cluster, x1, y1, case when abs(y2 - y1) > abs(x2 - x1) then case when y2 > y1 then 'e' else 'w' end else case when x1 > x2 then 'n' else 's' end end side from he)
+select scenario_id, cluster, cast(x1 as bigint) x1, cast(y1 as bigint) y1, side from sd""")
+def outward_sides(spark, sf_dir):
+    """Which side of the world each side of a city's hull faces."""
+    edges = R.outward_sides(C.hull_edges(_hull(spark, sf_dir), KEYS), KEYS)
+    return edges.select(*KEYS, F.col("x1").cast("bigint").alias("x1"), F.col("y1").cast("bigint").alias("y1"), "side")
+
+
+_SET = "st as (select cast(o_orderkey as bigint) id, case o_orderkey % 4 when 0 then 'naeh' when 1 then 'moshe' when 2 then 'chazonIsh' else 'custom' end preset, o_custkey % 2 = 0 rema, cast(1000 + o_custkey % 51 * 100 as double) radius from orders)"
+
+
+def _settings(spark, sf_dir) -> DataFrame:
+    o = X.table(spark, sf_dir, "orders")
+    names = F.array(*map(F.lit, S.PRESET_CM), F.lit("custom"))
+    given = {"amahPreset": F.element_at(names, (F.col("o_orderkey") % 4 + 1).cast("int")), "remaExtra": F.col("o_custkey") % 2 == 0, "fetchRadiusM": (1000 + F.col("o_custkey") % 51 * 100).cast("double")}
+    rest = {k: F.lit(v) for k, v in NOW.__dict__.items() if k not in given}
+    return o.select(F.col("o_orderkey").cast("bigint").alias("id"), *[c.alias(k) for k, c in (given | rest).items()])
+
+
+@query(f"""with {_SET} select id, 'amahPreset' setting, preset as "value" from st union all select id, 'remaExtra', case when rema then 'Yes' else 'No' end from st
+union all select id, 'fetchRadiusM', printf('%.1f km', radius / 1000) from st union all select id, 'customAmahCm', '48.0 cm' from st""")
+def settings_report(spark, sf_dir):
+    """Four settings of each row as a report shows them."""
+    return S.report_rows(_settings(spark, sf_dir), ["id"]).where(F.col("setting").isin("amahPreset", "remaExtra", "fetchRadiusM", "customAmahCm"))
+
+
+@query(f"with {_SET} select id, preset, rema, radius from st")
+def settings_saved(spark, sf_dir):
+    """Settings written as JSON and read again."""
+    got = S.from_json(S.to_json(_settings(spark, sf_dir), "saved"), "saved")
+    return got.select("id", F.col("amahPreset").alias("preset"), F.col("remaExtra").cast("boolean").alias("rema"), F.col("fetchRadiusM").cast("double").alias("radius"))
+
+
 # whole runs and kernels that SQL can't express
 
 

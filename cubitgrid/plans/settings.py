@@ -20,6 +20,7 @@ KESHET_WIDTH = 4000
 REMA_EXTRA = 70 + 2 / 3
 FOUR_AMOT = 4
 DESCENT_LIMIT = 2000
+MAX_AMAH_M = max(PRESET_CM.values()) / 100
 MIN_BUILDINGS = 6
 GRADIENT = 1 / 3.6
 ROPE = 50
@@ -124,6 +125,27 @@ def from_json(rows: DataFrame, column: str) -> DataFrame:
     return out
 
 
+def to_json(rows: DataFrame, column: str) -> DataFrame:
+    """rows with their settings, columns of these names, as JSON text: what from_json() reads."""
+    typed = {k: "double" if isinstance(a[0], float) else "boolean" if isinstance(a[0], bool) else "string" for k, a in ALLOWED.items()}
+    return rows.withColumn(column, F.to_json(F.struct(*[F.col(k).cast(t).alias(k) for k, t in typed.items() if k in rows.columns]))).drop(*typed)
+
+
+def shown(key: str, value: Column) -> Column:
+    """A setting's value for a report: yes or no, centimetres, kilometres, or the value itself."""
+    if key == "customAmahCm":
+        return F.format_string("%s cm", value.cast("string"))
+    if key == "fetchRadiusM":
+        return F.format_string("%.1f km", value.cast("double") / 1000)
+    return F.when(value.cast("boolean"), "Yes").otherwise("No") if isinstance(ALLOWED[key][0], bool) else value.cast("string")
+
+
+def report_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, setting, value): a row for each setting of each row, as reports show it."""
+    each = F.array(*[F.struct(F.lit(k).alias("setting"), shown(k, F.col(k)).alias("value")) for k in ALLOWED])
+    return rows.select(*keys, F.explode(each).alias("s")).select(*keys, "s.*")
+
+
 def first_stage_rows(changes: DataFrame) -> DataFrame:
     """(change_id, stage) of rows (change_id, setting, old, new): the smallest first stage among what differs."""
     steps = F.create_map(*[F.lit(x) for kv in FIRST_STAGE.items() for x in kv])

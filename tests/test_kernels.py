@@ -108,3 +108,48 @@ def test_nearly_square_and_straight_side():
     assert Y.nearly_square([box(0, 0, 200_000, 5_000)], 0.0) is None
     triangle = np.array([[0, 0], [300, 0], [150, 200]], "float64") * 1000
     assert Y.straight_side(Y.turn(triangle, 0.2)) == pytest.approx(0.2, abs=1e-6)
+
+
+def test_hulls_against_each_other():
+    """Distances, overlap and slices of random hulls against dense points on their sides."""
+    rng = np.random.default_rng(3)
+    dense = lambda h: np.concatenate([h + t * (np.roll(h, -1, 0) - h) for t in np.linspace(0, 1, 400)])
+    for _ in range(40):
+        a = K.hull(rng.uniform(0, 10, (12, 2)))
+        c = K.hull(rng.uniform(0, 10, (9, 2)) + rng.uniform(-14, 14, 2))
+        pa, pc = dense(a), dense(c)
+        least = np.sqrt(((pa[:, None] - pc) ** 2).sum(-1)).min()
+        p, q = K.hull_line(a, c)
+        inside = any(K._inside(pc, a, 0.0)) or any(K._inside(pa, c, 0.0))
+        assert inside == K.hulls_overlap(a, c)
+        if inside:
+            assert K.corridor(a, c) is None and K.hulls_within(a, c, 0.0)
+            continue
+        assert abs(np.hypot(*(q - p)) - least) < 0.05
+        assert K.hulls_within(a, c, least + 0.05) and not K.hulls_within(a, c, least - 0.05)
+        u, start, end = K.corridor(a, c)
+        v = np.array([-u[1], u[0]])
+        lo, hi = max((pa @ v).min(), (pc @ v).min()), min((pa @ v).max(), (pc @ v).max())
+
+        def met(h, at):  # side by side
+            out = []
+            for p, q in zip(h.tolist(), np.roll(h, -1, 0).tolist(), strict=True):
+                s, t = np.dot(p, v) - at, np.dot(q, v) - at
+                if s * t <= 0 and s != t:
+                    out.append(np.dot(p, u) + s / (s - t) * (np.dot(q, u) - np.dot(p, u)))
+            return out
+
+        at = np.linspace(lo, hi, 60)[1:-1]
+        assert start <= min(max(met(a, x)) for x in at) + 1e-9 and end >= max(min(met(c, x)) for x in at) - 1e-9
+        near = lo + (hi - lo) * 1e-7, hi - (hi - lo) * 1e-7
+        assert abs(start - min(max(met(a, x)) for x in near)) < 1e-3 and abs(end - max(min(met(c, x)) for x in near)) < 1e-3
+
+
+def test_corridor_reaches_into_recesses():
+    """b stands beyond the ends of the shortest line, where the facing sides draw back."""
+    a = np.array([[0.0, 0], [10, 50], [0, 100]])
+    c = np.array([[30.0, 0], [30, 100], [20, 50]])[[0, 1, 2]]
+    u, start, end = K.corridor(a, K.hull(c))
+    assert np.allclose(u, [1, 0]) and (start, end) == (0.0, 30.0)
+    assert K.slice_range(a, u, np.array([0.0, 1.0]), 50.0) == (0.0, 10.0)
+    assert K.hulls_overlap(a, a + [10, 0]) and not K.hulls_overlap(a, a + [10.1, 0])

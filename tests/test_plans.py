@@ -281,6 +281,15 @@ def test_city_bounds(spark):
     assert [grown[0][c] - got[0][c] for c in ("minx", "miny", "maxx", "maxy")] == [-extra, -extra, extra, extra]
 
 
+def test_ground_between_merged_parts_is_the_city(spark):
+    """Two towns of 200 m that face each other over 60 m: what lies between them is sealed, but not beside it."""
+    block = lambda x0, first: [(1, first + k, x0 + a * 25_000, b * 25_000, x0 + a * 25_000 + 10_000, b * 25_000 + 10_000) for k, (a, b) in enumerate((a, b) for a in range(6) for b in range(8))]
+    rows = block(0, 1) + block(135_000 + 60_000, 1000)
+    got, run = measure(spark, rows, [(5_000, 5_000), (165_000, 92_000), (165_000, -30_000), (165_000, 400_000)])
+    assert [got[k].source for k in range(4)] == ["city", "city", "point", "point"]
+    assert run.stage(3)["cities"].first().n_cities == 2 and got[0].minx == got[1].minx == -960_000
+
+
 def test_boundary_of_a_city_with_a_bow(spark):
     """A U of 1.5 km, measured in amot of 30 cm: the bow is cut from the squaring, and the boundary is indented past it."""
     at = [(x, 0) for x in range(-750_000, 750_001, 25_000)] + [(s, y) for s in (-750_000, 750_000) for y in range(25_000, 900_001, 25_000)]
