@@ -20,18 +20,25 @@ from cubitgrid.llm.common import give_back
 LARGE_GROUPS, LEAST_LARGE = 1_000, 256
 
 
-def with_size(rows: DataFrame, group: str, salt: str, n: int) -> DataFrame:
-    """rows of groups of more than one row, with `size`: their group's number of rows.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, salt: str, n: int) -> DataFrame:
+    """rows with the columns of their group, inner; groups: a row for each key, with `size`, its number of rows.
 
-    Sizes are partial sums. Of n rows at most LARGE_GROUPS groups can hold more than n / LARGE_GROUPS each: their
-    sizes are broadcast, and their rows dealt by `salt`, so that no task takes a large group.
+    Of n rows at most LARGE_GROUPS groups can hold more than n / LARGE_GROUPS each: these groups are broadcast, and their
+    rows dealt by `salt`, so that no task takes a large group.
     """
-    sizes = rows.groupBy(F.col(group).alias("of_")).agg(F.count("*").alias("size_")).where("size_ > 1")
+    more = [c for c in groups.columns if c != key]
     many = max(LEAST_LARGE, n // LARGE_GROUPS)
-    large = F.broadcast(sizes.where(F.col("size_") > many).select(F.col("of_").alias("large_"), F.col("size_").alias("large_size_")))
-    at = rows.join(large, F.col(group) == F.col("large_"), "left").withColumn("at_", F.when(F.col("large_").isNull(), F.col(group)).otherwise(F.xxhash64(salt)))
-    met = at.join(sizes.where(F.col("size_") <= many), F.col("at_") == F.col("of_"), "left")
-    return met.withColumn("size", F.coalesce("large_size_", "size_")).where("size is not null").select(*rows.columns, "size")
+    named = lambda p, test: groups.where(test).select(F.col(key).alias(f"{p}_key_"), *[F.col(c).alias(f"{p}_{c}_") for c in more])
+    large = rows.join(F.broadcast(named("large", F.col("size") > many)), F.col(key) == F.col("large_key_"), "left")
+    large = large.withColumn("at_", F.when(F.col("large_key_").isNull(), F.col(key)).otherwise(F.xxhash64(salt)))
+    met = large.join(named("small", F.col("size") <= many), F.col("at_") == F.col("small_key_"), "left")
+    pick = [F.when(F.col("large_key_").isNotNull(), F.col(f"large_{c}_")).otherwise(F.col(f"small_{c}_")).alias(c) for c in more]
+    return met.where("large_key_ is not null or small_key_ is not null").select(*rows.columns, *pick)
+
+
+def with_size(rows: DataFrame, key: str, salt: str, n: int) -> DataFrame:
+    """rows of groups of more than one row, with `size`: their group's number of rows, by partial sums."""
+    return join_groups(rows, rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1"), key, salt, n)
 
 
 def to_cells(rows: DataFrame, group: str, blocks: Column, salt: Column) -> DataFrame:

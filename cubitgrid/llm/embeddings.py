@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubitgrid.llm.cells import each_cell, forest, to_cells, with_size
+from cubitgrid.llm.cells import each_cell, forest, join_groups, to_cells, with_size
 from cubitgrid.llm.common import map_batches
 from cubitgrid.llm.minhash import mix
 from cubitgrid.operators.components import components
@@ -136,7 +136,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
 
     sketched = tables.cut(map_batches(classes.select("node", "kind", "vector"), sketch, "node bigint, keys array<bigint>, codes binary, factors binary, coarse binary"))
-    shared = with_size(sketched.select("node", F.explode("keys").alias("key")), "key", "node", n_keys * sketched.count())
+    n_classes = sketched.count()
+    shared = with_size(sketched.select("node", F.explode("keys").alias("key")), "key", "node", n_keys * n_classes)
     met = shared.join(sketched.select("node", "codes", "factors", "coarse"), "node")
     met = to_cells(met, "key", F.ceil(F.col("size") / BLOCK_ROWS), F.xxhash64("node", F.lit(1))).select("cell", "node", "codes", "factors", "coarse")
 
@@ -150,9 +151,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return pa.record_batch([pa.array(node[member]), pa.array(node[root])], names=["a", "b"])
 
     groups = tables.cut(components(each_cell(met, candidates, "a bigint, b bigint"), tables))
-    sizes = groups.groupBy("root").count()
-    full = groups.join(sizes, "root").join(classes.select("node", "members", "vector"), "node").join(sketched.select("node", "codes", "factors", "coarse"), "node")
-    half, blocks = F.xxhash64("node", F.lit(2)), F.ceil(F.col("count") / BLOCK_ROWS)
+    full = join_groups(groups, groups.groupBy("root").agg(F.count("*").alias("size")), "root", "node", n_classes).join(classes.select("node", "members", "vector"), "node").join(sketched.select("node", "codes", "factors", "coarse"), "node")
+    half, blocks = F.xxhash64("node", F.lit(2)), F.ceil(F.col("size") / BLOCK_ROWS)
     full = full.withColumn("block", F.pmod(half, blocks.cast("int")).cast("int"))
     cells = to_cells(full, "root", blocks, half).select("cell", "own", "node", "block", "members", "vector", "codes", "factors", "coarse")
 
@@ -173,9 +173,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = tables.cut(each_cell(cells, exact, "a bigint, b bigint, links bigint"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     final = components(found.select("a", "b"), tables)
-    named = classes.join(final, "node", "left").join(links, "node", "left").select("hi", "lo", "members", "least_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("hi", "lo", (F.col("links") + F.col("members") - 1).alias("n_links"), "component_id", F.lit(True).alias("good"))
+    named = classes.join(final, "node", "left").join(links, "node", "left").select("node", "hi", "lo", "members", "least_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    least = named.groupBy("root").agg(F.count("*").alias("size"), F.min("least_id").alias("component_id"))
+    named = join_groups(named, least, "root", "node", n_classes).select("hi", "lo", (F.col("links") + F.col("members") - 1).alias("n_links"), "component_id", F.lit(True).alias("good"))
     out = ids.join(named, ["hi", "lo", "good"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

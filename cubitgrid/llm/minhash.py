@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cubitgrid.llm.cells import each_cell, forest, to_cells, with_size
+from cubitgrid.llm.cells import each_cell, forest, join_groups, to_cells, with_size
 from cubitgrid.llm.common import held, map_batches, texts
 from cubitgrid.operators.components import components
 from cubitgrid.plans.shipping import ship
@@ -215,15 +215,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tables = Tables(spark, "minhash")
     sk = tables.cut(_sketch_rows(_nodes(docs)))
     classes = tables.cut(sk.where("n > 0").groupBy("hi", "lo", "n").agg(F.min(F.struct("node", "bands", "coordinates")).alias("first"), F.min("doc_id").alias("least_id")).select("hi", "lo", "n", "first.*", "least_id"))
+    n_classes = classes.count()
     keys = classes.select("node", F.explode("bands").alias("key"))
-    met = with_size(keys, "key", "node", BANDS * classes.count()).join(classes.select("node", "coordinates"), "node")
+    met = with_size(keys, "key", "node", BANDS * n_classes).join(classes.select("node", "coordinates"), "node")
     met = to_cells(met, "key", F.ceil(F.col("size") / BLOCK_ROWS), F.xxhash64("node", F.lit(1))).select("cell", "node", "coordinates")
     groups = tables.cut(components(each_cell(met, _alike, EDGE), tables))
-    final = components(_verified(docs, sk, classes, groups, tables), tables)
-    named = classes.join(final, "node", "left").select("hi", "lo", "n", F.coalesce("root", "node").alias("root"), "least_id")
+    final = components(_verified(docs, classes, n_classes, groups, tables), tables)
+    named = classes.join(final, "node", "left").select("node", "hi", "lo", "n", F.coalesce("root", "node").alias("root"), "least_id")
     # the smallest doc_id of each group, joined back on its root
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("hi", "lo", "n", "component_id")
+    least = named.groupBy("root").agg(F.count("*").alias("size"), F.min("least_id").alias("component_id"))
+    named = join_groups(named, least, "root", "node", n_classes).select("hi", "lo", "n", "component_id")
     out = sk.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -244,7 +245,7 @@ def _to_first(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([*out, pa.array((100 * both >= PERCENT * either)[others]), pa.array((2 * both >= either)[others])], names=["node", "group", "linked", "near"])
 
 
-def _verified(docs: DataFrame, sk: DataFrame, classes: DataFrame, groups: DataFrame, tables: Tables) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, n: int, groups: DataFrame, tables: Tables) -> DataFrame:
     """Edges between the classes whose full sets are linked, looked for inside candidate groups."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -255,8 +256,8 @@ def _verified(docs: DataFrame, sk: DataFrame, classes: DataFrame, groups: DataFr
 
     n_blocks = lambda rows, size: F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
     sized = groups.join(classes.select("node", (F.col("n") * 8).alias("bytes")), "node")
-    sizes = sized.groupBy("root").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
-    of = sized.join(sizes.select("root", n_blocks("rows", "bytes").alias("blocks")), "root").select("node", F.col("root").alias("group"), "blocks", "bytes")
+    sizes = sized.groupBy("root").agg(F.count("*").alias("size"), F.sum("bytes").alias("all_bytes"))
+    of = join_groups(sized, sizes.select("root", "size", n_blocks("size", "all_bytes").alias("blocks")), "root", "node", n).select("node", F.col("root").alias("group"), "blocks", "bytes")
     rows = tables.cut(_nodes(docs).select("node", "text").join(of, "node"))
     salt = F.xxhash64("node", F.lit(2))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c).cast("bigint") - 1))

@@ -98,3 +98,88 @@ def test_discriminant_scores_are_log_density_differences():
         e = z - d.means[k]
         dens.append(-0.5 * np.einsum("ni,ij,nj->n", e, np.linalg.inv(cov), e) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(0.5))
     assert np.allclose(np.sinh(d.difference(x)), dens[1] - dens[0])
+
+
+def plain_statistics(text):
+    """The statistics of a text, character by character."""
+    from math import log, log1p
+    from statistics import fmean, pstdev
+
+    kinds = {k: 0 for k in ("upper", "digit", "line", "stop", "bang", "bar", "symbol", "other")}
+    for c in text:
+        if ord(c) >= 0x250:
+            kind = "other"
+        elif c == "\n":
+            kind = "line"
+        elif c.isspace():
+            continue
+        elif c.isalpha() and not c.isupper():
+            continue
+        else:
+            kind = {"!": "bang", "|": "bar"}.get(c) or ("stop" if c in ".,;:?" else "upper" if c.isupper() else "digit" if c.isdigit() else "symbol")
+        kinds[kind] += 1
+    words, lines = text.split(), text.split("\n")
+    odds = lambda part, whole: log((part + 0.5) / (whole - part + 0.5))
+    lengths = [len(w) for w in words] or [0]
+    return [
+        log1p(len(text)), log1p(len(words)), *(odds(v, len(text)) for v in kinds.values()), odds(len(set(words)), len(words)), odds(sum(a == b for a, b in zip(words, words[1:])), len(words)),
+        odds(len(set(lines)), len(lines)), odds(sum(len(w) <= 3 for w in words), len(words)), log1p(fmean(lengths)), log1p(pstdev(lengths)), log1p(len(words) / (1 + kinds["stop"])), log1p(len(text) / len(lines)),
+    ]
+
+
+def test_quality_query_against_plain_densities(labelled, documents, odd):
+    """Statistics, shrunk covariances and densities from the texts alone; the logistic curve is the model's."""
+    docs, frame, labels = labelled
+    model = quality.train(frame, labels)
+    truth = {i: q for i, q, _ in make()[1]}
+    rows = [(plain_statistics(t), truth[i]) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    scaled = lambda v: np.clip((np.array(v) - mean) / scale, -8, 8)
+    own = [np.cov(scaled(x[y == k]).T, bias=True) for k in (0, 1)]
+    pooled = sum(c * (y == k).mean() for k, c in enumerate(own))
+    logs = []
+    texts = docs + [(i, t or "") for i, t in odd]
+    z = scaled([plain_statistics(t) for _, t in texts])
+    for k, c in enumerate(own):
+        c = 0.7 * c + 0.3 * pooled
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 1e-3 * np.eye(len(c))
+        e = z - scaled(x[y == k]).mean(0)
+        logs.append(-0.5 * np.einsum("ni,ij,nj->n", e, np.linalg.inv(c), e) - 0.5 * np.linalg.slogdet(c)[1] + np.log((y == k).mean()))
+    want = 1 / (1 + np.exp(-np.clip(model.slope * np.arcsinh(logs[1] - logs[0]) + model.shift, -30, 30)))
+    got = [r.score for f in (frame, documents(odd)) for r in quality.score(f, model).collect()]
+    assert np.allclose(sorted(got), sorted(want), atol=1e-6)
+
+
+def test_toxicity_query_against_enumerated_kernels(labelled, documents):
+    """Every word against every landmark by the enumerated kernel, without masks, memory or batches. Masks may leave out
+    a pair that is barely above the floor, which moves a score by less than 0.001."""
+    docs, frame, labels = labelled
+    model = toxicity.train(frame, labels)
+    marks = [toxicity.START + w for w in model.marks.words]
+    own = {m: brute_ssk(m, m) for m in marks}
+    values = {}
+
+    def value(word):
+        if word not in values:
+            w = toxicity.bare(word)
+            f = np.zeros(len(marks))
+            if 3 <= len(w) <= toxicity.WINDOW:
+                w = toxicity.START + w
+                norm = brute_ssk(w, w)
+                f = np.array([max(0.0, (brute_ssk(w, m) / (norm * own[m]) ** 0.5 - toxicity.FLOOR) / (1 - toxicity.FLOOR)) for m in marks])
+            values[word] = float(f @ model.weights)
+        return values[word]
+
+    some = docs[:60] + [(900, "B l o r g u s is a blxorgus! snarvik? No."), (901, ""), (902, None)]
+    want = {}
+    for i, t in some:
+        sentences = [toxicity.words_of(s) for s in toxicity.SENTENCE.split(t or "")]
+        n = sum(map(len, sentences)) + 10
+        each = [sum(map(value, s)) for s in sentences]
+        toxic, most = sum(max(0.0, v) for v in each), max([0.0, *each])
+        kinds = sum(max(0.0, value(w)) for w in {w for s in sentences for w in s})
+        x = np.array([np.log(1e-3 + toxic / n), np.log(1e-3 + kinds / n), np.log1p(most), np.log1p(kinds), np.log(n)])
+        want[i] = 1 / (1 + np.exp(-np.clip(np.r_[(x - model.mean) / model.scale, 1] @ model.curve, -30, 30)))
+    got = {r.doc_id: r.score for r in toxicity.score(documents(some), model).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-3 for i in want), max((abs(got[i] - want[i]), i) for i in want)
