@@ -77,10 +77,10 @@ def snapped(piece: np.ndarray, snap: float) -> np.ndarray:
 def open_sides(piece: np.ndarray, others: list[np.ndarray], snap: float) -> list[tuple[int, int, int, int]]:
     """The parts of a snapped piece's sides whose middle is strictly inside none of the others, in steps of the grid."""
     out = []
+    corners = np.concatenate(others) if others else np.zeros((0, 2))
+    following = np.concatenate([np.roll(q, -1, 0) for q in others]) if others else corners
     for a, b in zip(piece, np.roll(piece, -1, 0), strict=True):
-        cuts = [0.0, 1.0]
-        for q in others:
-            cuts += _cuts(a, b, q, np.roll(q, -1, 0))
+        cuts = [0.0, 1.0, *(_cuts(a, b, corners, following) if others else [])]
         t = np.unique(np.clip(cuts, 0, 1))
         ends = a + t[:, None] * (b - a)
         start, end = ends[:-1], ends[1:]

@@ -156,5 +156,7 @@ def outlines(clustered: DataFrame, radius_mm: float, more_mm: float = 0.0) -> Da
         return pd.DataFrame(rows, columns=["scenario_id", "cluster", "ring", "i", "x", "y", "area"])
 
     ship(clustered.sparkSession)
-    open_ = each.mapInArrow(sides, "scenario_id bigint, cluster bigint, ax bigint, ay bigint, bx bigint, by bigint")
+    # few bytes, much work: by number, so that they aren't gathered in few tasks
+    spread = each.repartition(int(clustered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    open_ = spread.mapInArrow(sides, "scenario_id bigint, cluster bigint, ax bigint, ay bigint, bx bigint, by bigint")
     return open_.groupBy("scenario_id", "cluster").applyInPandas(rings, "scenario_id bigint, cluster bigint, ring bigint, i bigint, x double, y double, area double")

@@ -70,11 +70,7 @@ _PLANES = ", ".join(f"({nx!r}::double, {ny!r}::double, {min(nx, 0)!r}::double, {
 _REACH = 2 * round(_FAR) + 2
 
 
-def _shvita_sql(strip: bool) -> str:
-    """The rule itself: sides of grown footprints, less what lies inside other ones, are outlines, which run clockwise
-    around holes; a point is in the city if it is inside the outer ones and half a gap from them."""
-    grow = REMA if strip else 0
-    return f"""cb as (select c.*, number from c join ci using (scenario_id, cluster)),
+_RINGS = f"""cb as (select c.*, number from c join ci using (scenario_id, cluster)),
 vt as (select cluster, building_id, unnest(range(12)) i, unnest([{_RIM_X}]) x, unnest([{_RIM_Y}]) y from cb),
 sg as (select a.cluster, a.building_id, a.i, a.x ax, a.y ay, b.x - a.x ex, b.y - a.y ey from vt a join vt b on a.building_id = b.building_id and b.i = (a.i + 1) % 12),
 nb as (select a.building_id a, b.* from cb a join cb b on a.cluster = b.cluster and a.building_id <> b.building_id and b.x0 <= a.x1 + {_REACH} and a.x0 <= b.x1 + {_REACH} and b.y0 <= a.y1 + {_REACH} and a.y0 <= b.y1 + {_REACH}),
@@ -87,7 +83,14 @@ f0 as (select row_number() over (order by building_id, i, lo) id, sg.cluster, ax
 nx as (select a.id a, b.id b from f0 a join f0 b on a.cluster = b.cluster and abs(a.ax + a.ex - b.ax) < 0.01 and abs(a.ay + a.ey - b.ay) < 0.01),
 rr(id, root) as (select id, id from f0 union select nx.b, rr.root from rr join nx on nx.a = rr.id),
 rt as (select id, min(root) root from rr group by id), oc as (select root from rt join f0 using (id) group by root having sum(ax * ey - ay * ex) > 0),
-fr as (select f0.* from f0 join rt using (id) join oc using (root)),
+fr as (select f0.* from f0 join rt using (id) join oc using (root))"""
+
+
+def _shvita_sql(strip: bool) -> str:
+    """The rule itself: sides of grown footprints, less what lies inside other ones, are outlines, which run clockwise
+    around holes; a point is in the city if it is inside the outer ones and half a gap from them."""
+    grow = REMA if strip else 0
+    return f"""{_RINGS},
 cd as (select point_id, x, y, ci.cluster, number from pt join ci on ci.scenario_id = pt.scenario_id and x between minx - {GAP} and maxx + {GAP} and y between miny - {GAP} and maxy + {GAP}),
 ds as (select point_id, cd.x, cd.y, cd.cluster, number, min(sqrt(pow(x - ax - greatest(0, least(1, ((x - ax) * ex + (y - ay) * ey) / (ex * ex + ey * ey))) * ex, 2) + pow(y - ay - greatest(0, least(1, ((x - ax) * ex + (y - ay) * ey) / (ex * ex + ey * ey))) * ey, 2))) far, count(*) filter ((ay > y) <> (ay + ey > y) and x < ax + (y - ay) / ey * ex) % 2 = 1 inside from cd join fr using (cluster) group by all),
 gr as (select point_id, min(number) number from ds where {f"inside or far <= {GAP // 2}" if strip else f"inside and far >= {GAP // 2}"} group by point_id),
@@ -416,9 +419,11 @@ def _run(spark, sf_dir):
     return Run(spark, X.buildings(spark, sf_dir), homes, eruvs, S.Settings())
 
 
-@query()
+@query(f"with recursive {SUMMARY}, {_RINGS}, ra as (select scenario_id, root, sum(ax * ey - ay * ex) / 2 area from f0 join rt using (id) join oc using (root) join ci using (cluster) group by all) select scenario_id, cast(floor(area / 100000000 + 0.5) as bigint) ares from ra")
 def city_outline_union(spark, sf_dir):
-    return C.outlines(_cities(spark, sf_dir)[0], GAP / 2).groupBy(*KEYS, "ring").agg(F.floor(F.max("area") / 1e6 + 0.5).cast("bigint").alias("area_m2"), F.count("*").alias("points"))
+    """Areas of the outer rings of all cities in hundreds of square metres."""
+    rings = C.outlines(_cities(spark, sf_dir)[0], GAP / 2).groupBy(*KEYS, "ring").agg(F.max("area").alias("area"))
+    return rings.select("scenario_id", F.floor(F.col("area") / 1e8 + 0.5).cast("bigint").alias("ares"))
 
 
 @query()
