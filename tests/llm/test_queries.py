@@ -30,6 +30,25 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
 
 
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, documents, odd):
+    """Null, repeated and clashing: no stage fails, filters keep columns, rows without an id survive the duplicates."""
+    import corpus_pipeline
+
+    for rows in (odd, []):
+        docs = documents(rows)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            got = out.collect()
+            if name == "packing":
+                assert {r.doc_id for r in got} == {i for i, _ in rows}
+                continue
+            assert out.columns == docs.columns and len(got) <= len(rows)
+            if name == "near_duplicates":
+                assert {(r.doc_id, r.text) for r in got} <= set(rows) and len({r.doc_id for r in got}) == len(got)
+            if name == "personal_data":
+                assert len(got) == len(rows)
+
+
 def test_chat_query_holds_the_added_conversation(spark, sf_dir, entry):
     row = entry.queries()["op4_chat_windows"](spark, sf_dir).where("conv_id = -1").first()
     assert (row.n_turns, row.loss_chars) == (2, 21)
