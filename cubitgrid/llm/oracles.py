@@ -44,3 +44,28 @@ sx as (select fw.conv_id, sum(case when sysn is not null and -sysn < first_n the
 g as (select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0) loss_chars,
   sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) loss_sha256, sum(size * case when again then 2 else 1 end) own from t6 group by conv_id)
 select conv_id, n_turns, turns_sha256, cast(loss_chars as bigint) loss_chars, loss_sha256, cast(own + extra as bigint) formatted_chars from g join sx using (conv_id)"""
+
+
+DIVERGENCE = f"""with d as (select row_number() over () doc, coalesce(lang, '') lang, coalesce(source, '') source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') w from documents),
+t as (select doc, lang, source, unnest(w) term from d),
+kept as (select lang, term, count(*) in_lang from t group by all having count(distinct doc) >= 3),
+v as (select lang, count(*) v, sum(in_lang) n from kept group by lang),
+c as (select t.lang, t.source, t.term, count(*) n from t join kept using (lang, term) group by all),
+g as (select d.lang, d.source, coalesce(any_value(v.v), 0) v from d left join v using (lang) group by all),
+s as (select lang, source, sum(n) n from c group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (coalesce(s.n, 0) + g.v)::hugeint p
+  from g join kept k on k.lang = g.lang left join s on s.lang = g.lang and s.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (select lang, term, 1 + 1000000000::hugeint * (in_lang + 1) // (n + v)::hugeint q from kept join v using (lang)),
+x as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' part, b.source item, coalesce(x.f, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select p.lang, p.source, 'term', p.term, ((p - q) * (p - q) // q)::bigint from p join q on q.lang = p.lang and q.term = p.term where p.n > 0 and p > q)
+select * from (select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from r) where part = 'pair' or rank <= 200"""
+
+FILL_IN_MIDDLE = """with d as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(doc_id::varchar, '')) h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u from documents),
+n as (select doc_id, t, u, len(u) n, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b from n),
+f as (select doc_id, n, t, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form,
+  array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:], '') s from c)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(p) end::bigint prefix_chars, case when form <> 'plain' then length(m) end::bigint middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from f"""

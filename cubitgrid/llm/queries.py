@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubitgrid.llm import chat, embeddings, encode, fingerprint, minhash, oracles, packing, pii, quality, secrets, toxicity
+from cubitgrid.llm import chat, divergence, embeddings, encode, fingerprint, infilling, minhash, mixing, oracles, packing, pii, quality, secrets, toxicity
 from cubitgrid.llm.common import read
 
 
@@ -59,7 +59,25 @@ def op10_embedding_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op2_minhash_near_duplicates, op3_quality_discriminant, op4_chat_windows, op5_pii_feistel, op6_exact_digest, op7_bpe_prefixes, op8_secret_battery, op9_toxicity_kernel, op10_embedding_codes)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(read(spark, sf_dir, "documents")).taken()
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(infilling.examples(read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_binary, op2_minhash_near_duplicates, op3_quality_discriminant, op4_chat_windows, op5_pii_feistel, op6_exact_digest, op7_bpe_prefixes, op8_secret_battery, op9_toxicity_kernel, op10_embedding_codes, op11_source_divergence, op12_source_mix, op13_fill_in_middle)}
 
 #: The others rest on tokenizers, trained models, hashes or ciphers that SQL doesn't have; tests hold them to brute force.
-ORACLE_SQL: dict[str, str] = {"op2_minhash_near_duplicates": oracles.NEAR_DUPLICATES, "op4_chat_windows": oracles.chat_windows(), "op10_embedding_codes": oracles.EMBEDDINGS}
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op4_chat_windows": oracles.chat_windows(),
+    "op10_embedding_codes": oracles.EMBEDDINGS,
+    "op11_source_divergence": oracles.DIVERGENCE,
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
+}

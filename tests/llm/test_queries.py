@@ -12,7 +12,7 @@ def entry():
 
 def test_one_query_for_each_operator(entry):
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_pipeline_stages(spark, sf_dir, tmp_path):
