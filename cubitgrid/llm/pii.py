@@ -27,8 +27,9 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Groups of digits that may hold cards among other numbers, however many.
 RUN = r"(?<![\d.])\d(?:[ -]?\d){12,}(?!\d|\.\d)"
 ANY_RUN = "|".join(f"(?:{RUN if k == 'card' else p})" for k, p in KINDS.items())
-#: Noncharacters that stand at the ends of accepted parts while a text is worked on; the first that it doesn't hold.
-MARKS = ("\ufdd0", "\ufdd1", "\ufdd2")
+#: A noncharacter that stands at the ends of accepted parts while a text is worked on. No pattern matches or looks for it,
+#: so a text that holds it is worked on in the parts between.
+MARK = "\ufdd0"
 
 ROUNDS = 10
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -250,10 +251,10 @@ def _parted(text: Column, mark: Column) -> Column:
 
 
 def protect(text: Column, key: str) -> Column:
-    free = F.coalesce(*[F.when(~text.contains(m), m) for m in MARKS], F.lit(""))
     whole = lambda t: rewrite(t, ANY, lambda m: pseudonym(m, key))
-    parted = lambda mark: F.replace(_let(_parted(text, mark), whole), mark, F.lit(""))
-    return F.when(text.rlike(f"(?:{IBAN})|(?:{RUN})"), _let(free, parted)).otherwise(whole(text))
+    parted = lambda t: F.replace(_let(_parted(t, F.lit(MARK)), whole), F.lit(MARK), F.lit(""))
+    part = lambda t: F.when(t.rlike(f"(?:{IBAN})|(?:{RUN})"), parted(t)).otherwise(whole(t))
+    return F.array_join(F.transform(F.split(text, MARK, -1), part), MARK)
 
 
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:

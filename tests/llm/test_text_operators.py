@@ -244,6 +244,22 @@ def test_permutations_are_one_to_one(spark):
     assert len({r[0] for r in days.select(pii.pseudonym(F.col("d"), "key")).collect()}) == days.count()
 
 
+def test_no_character_turns_the_search_off(spark):
+    """Every text with noncharacters before, behind and between its parts, all of them too: the same pseudonyms."""
+    from pyspark.sql import functions as F
+
+    marks = ["\ufdd0", "\ufdd1", "\ufdd2"]
+    texts = ["no 12 4111 1111 1111 1111 now", "BE68 5390 0754 7034 BIC", "a.b@x.org", "ssn 123-45-6789, 97.51.17.173", "2024-02-29 +1 (017) 555-7713", "plain", ""]
+    made = lambda rows: [r.t for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", pii.protect(F.col("t"), "k").alias("t")).orderBy("i").collect()]
+    clean = made(texts)
+    assert "4111 1111 1111 1111" not in clean[0] and clean[0].startswith("no 12 ")
+    for some in (*([m] for m in marks), marks, marks * 3):
+        noise = "".join(some)
+        assert made([f"{t}{noise}" for t in texts]) == [f"{t}{noise}" for t in clean]
+        assert made([f"{noise}{t}{noise}{t}" for t in texts]) == [f"{noise}{t}{noise}{t}" for t in clean]
+    assert made([None]) == [None]
+
+
 def test_card_or_iban_among_other_groups(spark):
     from pyspark.sql import functions as F
 
