@@ -9,6 +9,8 @@ densely, how strongly and how variedly its sentences lie on the toxic side.
 from __future__ import annotations
 
 import re
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ ORDER, DECAY = 3, 0.7
 WINDOW = 24
 #: Kernels below this are the resemblance of any two words and count as none.
 FLOOR = 0.35
+#: Subsequences that are looked up at a time.
+HELD_SUBSEQUENCES = 400_000
 SENTENCE = re.compile(r"[.!?\n]+")
 
 
@@ -61,94 +65,106 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def ssk(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Subsequence kernels of the rows' pairs: common subsequences of ORDER letters, each letter spanned costs DECAY."""
-    n, la, lb = len(a), a.shape[1], b.shape[1]
-    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
-    inner = np.ones((la + 1, lb + 1, n), "float32")
-    square = np.float32(DECAY * DECAY)
-    for _ in range(ORDER - 1):
-        nxt = np.zeros((la + 1, lb + 1, n), "float32")
-        for i in range(1, la):
-            run = np.zeros(n, "float32")
-            for j in range(1, lb):
-                run = np.float32(DECAY) * run + same[:, i - 1, j - 1] * (square * inner[i - 1, j - 1])
-                nxt[i, j] = np.float32(DECAY) * nxt[i - 1, j] + run
-        inner = nxt
-    return square * np.einsum("nij,ijn->n", same.astype("float32"), inner[:-1, :-1])
-
-
-def ssk_chunked(a: np.ndarray, b: np.ndarray, rows: int = 2048) -> np.ndarray:
-    if not len(a):
-        return np.zeros(0, "float32")
-    order = np.argsort((a > 0).sum(1), kind="stable")
-    out = np.empty(len(a), "float32")
-    for at in range(0, len(a), rows):
-        k = order[at : at + rows]
-        out[k] = ssk(a[k][:, : max(1, int((a[k] > 0).sum(1).max()))], b[k][:, : max(1, int((b[k] > 0).sum(1).max()))])
-    return out
-
-
-def bigram_masks(c: np.ndarray, gaps: int) -> np.ndarray:
-    """256-bit sets of the letter pairs that stand at most `gaps` letters apart."""
-    out = np.zeros((len(c), 4), "uint64")
-    for g in range(1, gaps + 2):
-        if c.shape[1] <= g:
-            break
-        x, y = c[:, :-g].astype("uint32"), c[:, g:].astype("uint32")
-        h = ((x * np.uint32(2654435761)) ^ (y * np.uint32(2246822519))) * np.uint32(3266489917) >> np.uint32(24)
-        bit = np.where((x > 0) & (y > 0), np.uint64(1) << (h & np.uint32(63)).astype("uint64"), np.uint64(0))
-        for k in range(4):
-            out[:, k] |= np.bitwise_or.reduce(np.where(h >> np.uint32(6) == k, bit, np.uint64(0)), axis=1)
-    return out
+def enumerated(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words of one length, a row each: every subsequence of ORDER letters as one number, and what each weighs, by the
+    letters that it spans. Code points have 21 bits, so different subsequences have different numbers."""
+    places = np.array(list(combinations(range(c.shape[1]), ORDER)), "int64").reshape(-1, ORDER)
+    keys = np.zeros((len(c), len(places)), "int64")
+    for k in range(ORDER):
+        keys = (keys << 21) | c[:, places[:, k]]
+    return keys, DECAY ** (places[:, -1] - places[:, 0] + 1)
+
+
+def own_kernels(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each word's kernel with itself: squares of what its equal subsequences weigh together."""
+    order = np.argsort(keys, axis=1, kind="stable")
+    sorted_keys, w = np.take_along_axis(keys, order, 1), weight[order]
+    sums = np.zeros(len(keys))
+    fresh = np.ones(keys.shape, bool)
+    fresh[:, 1:] = sorted_keys[:, 1:] != sorted_keys[:, :-1]
+    starts = np.flatnonzero(fresh.ravel())
+    if len(starts):
+        squares = np.add.reduceat(w.ravel(), starts) ** 2
+        np.add.at(sums, starts // keys.shape[1], squares)
+    return sums
 
 
 class Landmarks:
-    """Landmark words and the features of other words against them."""
+    """Landmark words and the kernels of other words against them.
+
+    A kernel is a product of sparse vectors, one number for each subsequence. Those of the landmarks are a table, in
+    which another word's subsequences are looked up; so every kernel is exact, and none is left out.
+    """
 
     def __init__(self, words: list[str]) -> None:
         self.words = words
-        self.codes, self.n = codes([START + w for w in words])
-        self.masks = bigram_masks(self.codes, 0)
-        self.least = np.ceil(0.5 * np.bitwise_count(self.masks).sum(1)).astype("int64")
-        self.own = ssk_chunked(self.codes, self.codes)
-        i, j = np.divmod(np.arange(len(words) ** 2), len(words))
-        gram = ssk_chunked(self.codes[i], self.codes[j]).reshape(len(words), -1) / np.sqrt(np.outer(self.own, self.own))
-        value, vector = np.linalg.eigh(gram.astype("float64"))
+        found: dict[int, np.ndarray] = {}
+        for k, w in enumerate(words):
+            c, _ = codes([START + w])
+            keys, weight = enumerated(c)
+            for key, x in zip(keys[0].tolist(), weight.tolist(), strict=True):
+                found.setdefault(key, np.zeros(len(words)))[k] += x
+        self.keys = np.array(sorted(found), "int64")
+        self.table = np.array([found[k] for k in self.keys.tolist()]).reshape(-1, len(words))
+        self.known = np.zeros(1 << 16, bool)
+        self.known[self._slot(self.keys)] = True
+        gram = self.table.T @ self.table
+        self.own = np.diag(gram).copy()
+        value, vector = np.linalg.eigh(gram / np.sqrt(np.outer(self.own, self.own)))
         self.whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+    def likeness(self, c: np.ndarray) -> np.ndarray:
+        """Normalised kernels (words, landmarks) of words of one length; those that can't reach FLOOR are 0."""
+        out = np.zeros((len(c), len(self.words)))
+        if c.shape[1] < ORDER or not len(self.keys):
+            return out
+        keys, weight = enumerated(c)
+        row, col = np.divmod(np.flatnonzero(self.known[self._slot(keys.ravel())]), keys.shape[1])
+        at = np.minimum(np.searchsorted(self.keys, keys[row, col]), len(self.keys) - 1)
+        same = self.keys[at] == keys[row, col]
+        row, col, at = row[same], col[same], at[same]
+        if not len(row):
+            return out
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        out[row[starts]] = np.add.reduceat(self.table[at] * weight[col, None], starts) / np.sqrt(self.own)
+        # a word's own kernel is at least the sum of its squared weights, so these words alone can reach the floor
+        near = np.flatnonzero(out.max(1) > FLOOR * np.sqrt((weight**2).sum()) * (1 - 1e-9))
+        exact = out[near] / np.sqrt(own_kernels(keys[near], weight))[:, None]
+        out[:] = 0
+        out[near] = exact
+        return out
+
     def features(self, words: list[str]) -> list[np.ndarray | None]:
         """For each word the kernels to the landmarks above FLOOR, rescaled; None if there is none.
 
         A word of over WINDOW letters counts as the largest of its overlapping windows.
         """
-        parts, of = [], []
+        parts: dict[int, tuple[list[str], list[int]]] = {}
+
+        def add(part: str, k: int) -> None:
+            some, of = parts.setdefault(len(part), ([], []))
+            some.append(part)
+            of.append(k)
+
         for k, w in enumerate(words):
             b = bare(w)
             if 3 <= len(b) <= WINDOW:
-                parts.append(START + b)
-                of.append(k)
+                add(START + b, k)
             elif len(b) > WINDOW:
                 for at in range(0, len(b) - WINDOW // 2, WINDOW // 2):
-                    parts.append(START * (at == 0) + b[at : at + WINDOW])
-                    of.append(k)
+                    add(START * (at == 0) + b[at : at + WINDOW], k)
         out: list[np.ndarray | None] = [None] * len(words)
-        for at in range(0, len(parts), 8192):
-            c, _ = codes(parts[at : at + 8192])
-            masks = bigram_masks(c, 2)
-            shared = sum(np.bitwise_count(masks[:, None, k] & self.masks[None, :, k]).astype("int64") for k in range(4))
-            row, mark = np.nonzero(shared >= self.least)
-            if not len(row):
-                continue
-            near, at_row = np.unique(row, return_inverse=True)
-            own = ssk_chunked(c[near], c[near])[at_row]
-            s = ssk_chunked(c[row], self.codes[mark]) / np.sqrt(np.maximum(own * self.own[mark], 1e-12))
-            s = np.maximum(0, (s - FLOOR) / (1 - FLOOR))
-            for k in np.flatnonzero(s > 0):
-                w = of[at + row[k]]
-                if out[w] is None:
-                    out[w] = np.zeros(len(self.words), "float32")
-                out[w][mark[k]] = max(out[w][mark[k]], s[k])
+        for length, (some, of) in parts.items():
+            step = max(1, HELD_SUBSEQUENCES // max(1, comb(length, ORDER)))
+            for at in range(0, len(some), step):
+                s = np.maximum(0, (self.likeness(codes(some[at : at + step])[0]) - FLOOR) / (1 - FLOOR)).astype("float32")
+                for r in np.flatnonzero(s.any(1)):
+                    k = of[at + r]
+                    out[k] = s[r] if out[k] is None else np.maximum(out[k], s[r])
         return out
 
 

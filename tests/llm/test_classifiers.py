@@ -80,10 +80,17 @@ def brute_ssk(s, t, n=toxicity.ORDER, decay=toxicity.DECAY):
 
 def test_kernel_against_enumeration():
     words = ["^idiot", "^idxiot", "^abcabc", "^aab", "^"]
-    c, _ = toxicity.codes(words)
+
+    def kernel(s, t):
+        """From the subsequences that the module enumerates; of a word with itself by its own sums."""
+        (a, wa), (b, wb) = (toxicity.enumerated(toxicity.codes([w])[0]) for w in (s, t))
+        both = float(((a[0][:, None] == b[0][None]) * wa[:, None] * wb[None]).sum())
+        assert s != t or abs(toxicity.own_kernels(a, wa)[0] - both) < 1e-9
+        return both
+
     for i, s in enumerate(words):
         for j, t in enumerate(words):
-            assert abs(toxicity.ssk(c[[i]], c[[j]])[0] - brute_ssk(s, t)) < 1e-5
+            assert abs(kernel(s, t) - brute_ssk(s, t)) < 1e-9
 
 
 def test_discriminant_scores_are_log_density_differences():
@@ -152,8 +159,7 @@ def test_quality_query_against_plain_densities(labelled, documents, odd):
 
 
 def test_toxicity_query_against_enumerated_kernels(labelled, documents):
-    """Every word against every landmark by the enumerated kernel, without masks, memory or batches. Masks may leave out
-    a pair that is barely above the floor, which moves a score by less than 0.001."""
+    """Every word against every landmark by the enumerated kernel, without tables, memory or batches."""
     docs, frame, labels = labelled
     model = toxicity.train(frame, labels)
     marks = [toxicity.START + w for w in model.marks.words]
@@ -182,4 +188,32 @@ def test_toxicity_query_against_enumerated_kernels(labelled, documents):
         x = np.array([np.log(1e-3 + toxic / n), np.log(1e-3 + kinds / n), np.log1p(most), np.log1p(kinds), np.log(n)])
         want[i] = 1 / (1 + np.exp(-np.clip(np.r_[(x - model.mean) / model.scale, 1] @ model.curve, -30, 30)))
     got = {r.doc_id: r.score for r in toxicity.score(documents(some), model).collect()}
-    assert all(abs(got[i] - want[i]) < 1e-3 for i in want), max((abs(got[i] - want[i]), i) for i in want)
+    assert all(abs(got[i] - want[i]) < 1e-5 for i in want), max((abs(got[i] - want[i]), i) for i in want)
+
+
+def test_no_kernel_over_the_floor_is_lost(spark, sf_dir):
+    """All words of the table, of every length, against landmarks of all kinds; windows of long words too."""
+    from itertools import combinations
+
+    def spans(x):
+        out = {}
+        for i, j, k in combinations(range(len(x)), 3):
+            out[x[i] + x[j] + x[k]] = out.get(x[i] + x[j] + x[k], 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()
+    words = sorted({toxicity.bare(w) for r in docs for s in toxicity.sentences(r.text) for w in s})[:: 3] + ["x" * 70, "abc" * 20, "a", "", "😀😀😀"]
+    marks = toxicity.Landmarks([*[w for w in words if 3 <= len(w) <= 12][::97][:40], "idiot", "aaaa", "ananre"])
+    table = [spans(toxicity.START + m) for m in marks.words]
+    own = [sum(v * v for v in t.values()) for t in table]
+    n = 0
+    for w, f in zip(words, marks.features(words), strict=True):
+        parts = [toxicity.START + w] if len(w) <= toxicity.WINDOW else [toxicity.START * (at == 0) + w[at : at + toxicity.WINDOW] for at in range(0, len(w) - toxicity.WINDOW // 2, toxicity.WINDOW // 2)]
+        want = np.zeros(len(table))
+        for p in parts if len(w) >= 3 else []:
+            mine = spans(p)
+            norm = sum(v * v for v in mine.values())
+            want = np.maximum(want, [max(0.0, sum(v * t[k] for k, v in mine.items() if k in t) / (norm * o) ** 0.5 - toxicity.FLOOR) / (1 - toxicity.FLOOR) for t, o in zip(table, own, strict=True)])
+        n += int((want > 0).sum())
+        assert np.allclose(want, 0 if f is None else f, atol=1e-6), w
+    assert n > 1_000
