@@ -6,6 +6,8 @@ become pseudonyms, and what is left is packed. Each stage works on all that the
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cubitgrid.llm import minhash, packing, pii, quality, toxicity
@@ -41,8 +43,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms under the key of the session's setting spark.cubitgrid.key; every row stays, null texts stay null."""
-    return pii.replace_personal_data(docs, spark.conf.get("spark.cubitgrid.key", PUBLIC_KEY))
+    """Pseudonyms under the key of the session's setting spark.cubitgrid.key; every row stays, null texts stay null.
+
+    Without the setting the public key of the made-up tables is taken, which protects nothing: a warning says so.
+    """
+    key = spark.conf.get("spark.cubitgrid.key", "")
+    if not key:
+        warnings.warn("spark.cubitgrid.key is not set: pseudonyms are made with a public key and can be undone", stacklevel=2)
+    return pii.replace_personal_data(docs, key or PUBLIC_KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
