@@ -25,7 +25,7 @@ LANDMARKS = 64
 ORDER, DECAY = 3, 0.7
 WINDOW = 24
 #: Kernels below this are the resemblance of any two words and count as none.
-FLOOR = 0.35
+FLOOR = 0.5
 #: Subsequences that are looked up at a time.
 HELD_SUBSEQUENCES = 400_000
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -96,8 +96,8 @@ class Landmarks:
     which another word's subsequences are looked up; so every kernel is exact, and none is left out.
     """
 
-    def __init__(self, words: list[str]) -> None:
-        self.words = words
+    def __init__(self, words: list[str], floor: float = FLOOR) -> None:
+        self.words, self.floor = words, floor
         found: dict[int, np.ndarray] = {}
         for k, w in enumerate(words):
             c, _ = codes([START + w])
@@ -118,7 +118,7 @@ class Landmarks:
         return (keys.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
     def likeness(self, c: np.ndarray) -> np.ndarray:
-        """Normalised kernels (words, landmarks) of words of one length; those that can't reach FLOOR are 0."""
+        """Normalised kernels (words, landmarks) of words of one length; those that can't reach the floor are 0."""
         out = np.zeros((len(c), len(self.words)))
         if c.shape[1] < ORDER or not len(self.keys):
             return out
@@ -132,14 +132,14 @@ class Landmarks:
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         out[row[starts]] = np.add.reduceat(self.table[at] * weight[col, None], starts) / np.sqrt(self.own)
         # a word's own kernel is at least the sum of its squared weights, so these words alone can reach the floor
-        near = np.flatnonzero(out.max(1) > FLOOR * np.sqrt((weight**2).sum()) * (1 - 1e-9))
+        near = np.flatnonzero(out.max(1) > self.floor * np.sqrt((weight**2).sum()) * (1 - 1e-9))
         exact = out[near] / np.sqrt(own_kernels(keys[near], weight))[:, None]
         out[:] = 0
         out[near] = exact
         return out
 
     def features(self, words: list[str]) -> list[np.ndarray | None]:
-        """For each word the kernels to the landmarks above FLOOR, rescaled; None if there is none.
+        """For each word the kernels to the landmarks above the floor, rescaled; None if there is none.
 
         A word of over WINDOW letters counts as the largest of its overlapping windows.
         """
@@ -161,7 +161,7 @@ class Landmarks:
         for length, (some, of) in parts.items():
             step = max(1, HELD_SUBSEQUENCES // max(1, comb(length, ORDER)))
             for at in range(0, len(some), step):
-                s = np.maximum(0, (self.likeness(codes(some[at : at + step])[0]) - FLOOR) / (1 - FLOOR)).astype("float32")
+                s = np.maximum(0, (self.likeness(codes(some[at : at + step])[0]) - self.floor) / (1 - self.floor)).astype("float32")
                 for r in np.flatnonzero(s.any(1)):
                     k = of[at + r]
                     out[k] = s[r] if out[k] is None else np.maximum(out[k], s[r])
@@ -291,7 +291,7 @@ def choose(words: DataFrame, n: dict[int, int], most: int) -> list[str]:
     return [r.word for r in good.select("word").collect()] or [r.word for r in often.select("word").collect()] or ["landmark"]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, landmarks: int = LANDMARKS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, landmarks: int = LANDMARKS, floor: float = FLOOR) -> Machine:
     """From at most max_rows labelled rows outside the held-out fold, half of either label where there are so many.
 
     Their texts stay in the tasks: the driver gets the landmarks and, of each text, its words that resemble one.
@@ -307,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
         held = [{b for s in sentences(t) for w in s if 3 <= len(b := bare(w)) <= WINDOW} for t in texts(batch.column("text"))]
         return pa.record_batch([pa.array([w for h in held for w in h], pa.string()), pa.array(np.repeat(batch.column("label").to_numpy(), [len(h) for h in held]), pa.int32())], names=["word", "label"])
 
-    marks = Landmarks(choose(map_batches(rows, distinct, "word string, label int"), n, landmarks))
+    marks = Landmarks(choose(map_batches(rows, distinct, "word string, label int"), n, landmarks), floor)
 
     def resembling(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs = [sentences(t) for t in texts(batch.column("text"))]

@@ -203,7 +203,7 @@ def test_no_kernel_over_the_floor_is_lost(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()
     words = sorted({toxicity.bare(w) for r in docs for s in toxicity.sentences(r.text) for w in s})[:: 3] + ["x" * 70, "abc" * 20, "a", "", "😀😀😀"]
-    marks = toxicity.Landmarks([*[w for w in words if 3 <= len(w) <= 12][::97][:40], "idiot", "aaaa", "ananre"])
+    marks = toxicity.Landmarks([*[w for w in words if 3 <= len(w) <= 12][::97][:40], "idiot", "aaaa", "ananre"], 0.3)
     table = [spans(toxicity.START + m) for m in marks.words]
     own = [sum(v * v for v in t.values()) for t in table]
     n = 0
@@ -213,7 +213,7 @@ def test_no_kernel_over_the_floor_is_lost(spark, sf_dir):
         for p in parts if len(w) >= 3 else []:
             mine = spans(p)
             norm = sum(v * v for v in mine.values())
-            want = np.maximum(want, [max(0.0, sum(v * t[k] for k, v in mine.items() if k in t) / (norm * o) ** 0.5 - toxicity.FLOOR) / (1 - toxicity.FLOOR) for t, o in zip(table, own, strict=True)])
+            want = np.maximum(want, [max(0.0, sum(v * t[k] for k, v in mine.items() if k in t) / (norm * o) ** 0.5 - 0.3) / 0.7 for t, o in zip(table, own, strict=True)])
         n += int((want > 0).sum())
         assert np.allclose(want, 0 if f is None else f, atol=1e-6), w
     assert n > 1_000
