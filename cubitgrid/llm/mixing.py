@@ -26,7 +26,7 @@ BLOCK_WORDS, SHARD_SLOTS = 256, 1_024
 #: The plan has a few numbers a source, which the driver and each task hold; more sources than this are refused.
 MAX_SOURCES = 100_000
 #: Documents whose places in a source's stream one task works out together, about.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space behind it, the first one with that before it too: these add up to the text.
 SPELLED = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
