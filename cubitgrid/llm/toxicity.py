@@ -105,12 +105,16 @@ class Landmarks:
             for key, x in zip(keys[0].tolist(), weight.tolist(), strict=True):
                 found.setdefault(key, np.zeros(len(words)))[k] += x
         self.keys = np.array(sorted(found), "int64")
-        self.table = np.array([found[k] for k in self.keys.tolist()]).reshape(-1, len(words))
+        table = np.array([found[k] for k in self.keys.tolist()]).reshape(-1, len(words))
         self.known = np.zeros(1 << 16, bool)
         self.known[self._slot(self.keys)] = True
-        gram = self.table.T @ self.table
-        self.own = np.diag(gram).copy()
-        value, vector = np.linalg.eigh(gram / np.sqrt(np.outer(self.own, self.own)))
+        gram = table.T @ table
+        table = table / np.sqrt(np.diag(gram))
+        # of each subsequence the landmarks that have it and their shares, one after another
+        key, self.mark = np.nonzero(table)
+        self.share, self.ends = table[key, self.mark], np.r_[0, np.cumsum(np.bincount(key, minlength=len(table)))]
+        self.most = table.max(1, initial=0)
+        value, vector = np.linalg.eigh(table.T @ table)
         self.whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
 
     @staticmethod
@@ -129,10 +133,18 @@ class Landmarks:
         row, col, at = row[same], col[same], at[same]
         if not len(row):
             return out
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        out[row[starts]] = np.add.reduceat(self.table[at] * weight[col, None], starts) / np.sqrt(self.own)
-        # a word's own kernel is at least the sum of its squared weights, so these words alone can reach the floor
-        near = np.flatnonzero(out.max(1) > self.floor * np.sqrt((weight**2).sum()) * (1 - 1e-9))
+        # a word's own kernel is at least the sum of its squared weights, and no landmark takes more of a subsequence than the
+        # one that takes most of it: words that stay below the floor even so need no kernels
+        least = self.floor * np.sqrt((weight**2).sum()) * (1 - 1e-9)
+        hopeful = np.bincount(row, weight[col] * self.most[at], len(c)) > least
+        some = hopeful[row]
+        row, col, at = row[some], col[some], at[some]
+        n = self.ends[at + 1] - self.ends[at]
+        each = np.repeat(np.arange(len(at)), n)
+        place = np.repeat(self.ends[at], n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        share = weight[col][each] * self.share[place]
+        out = np.bincount(row[each] * len(self.words) + self.mark[place], share, out.size).reshape(out.shape)
+        near = np.flatnonzero(out.max(1) > least)
         exact = out[near] / np.sqrt(own_kernels(keys[near], weight))[:, None]
         out[:] = 0
         out[near] = exact
