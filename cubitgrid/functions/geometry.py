@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, pi, sin
+from math import cos, pi, sin, sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,6 +142,47 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(h))
 
 
+# convex hulls (open, counter-clockwise arrays of points) against each other
+
+
+def turned_on(ring: Column) -> Column:
+    """An open ring begun one point later."""
+    return F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+
+
+def _axes(hull: Column) -> Column:
+    """Outward normals of a hull's sides."""
+    return F.zip_with(hull, turned_on(hull), lambda p, q: F.struct((q["y"] - p["y"]).cast("double").alias("x"), (p["x"] - q["x"]).cast("double").alias("y")))
+
+
+def octagon_reach(nx: Column, ny: Column, gap: float) -> Column:
+    """How far the octagon around a gap reaches along an axis, times the axis's length."""
+    x, y = F.abs(nx), F.abs(ny)
+    return F.greatest(x, y, (x + y) * sqrt(0.5)) * (gap / COS_OCTAGON)
+
+
+def hulls_near(a: Column, b: Column, gap: float) -> Column:
+    """Whether two hulls touch once each is grown by the octagon around half a gap: no normal of a side of either, or of
+    the octagon, separates them. With a gap of 0, whether the hulls themselves have a point in common."""
+    octagon = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((COS_OCTAGON, SIN_OCTAGON), (SIN_OCTAGON, COS_OCTAGON), (COS_OCTAGON, -SIN_OCTAGON), (SIN_OCTAGON, -COS_OCTAGON))])
+    along = lambda hull, n: F.transform(hull, lambda p: p["x"] * n["x"] + p["y"] * n["y"])
+
+    def apart(n: Column) -> Column:
+        one, other = along(a, n), along(b, n)
+        return F.greatest(F.array_min(other) - F.array_max(one), F.array_min(one) - F.array_max(other)) > octagon_reach(n["x"], n["y"], gap)
+
+    return ~F.exists(F.concat(_axes(a), _axes(b), octagon), apart)
+
+
+def hulls_within(a: Column, b: Column, limit: float) -> Column:
+    """Whether two hulls have a point in common or their sides come within a distance: a corner of the one is nearest then."""
+    def from_corners(hull: Column, other: Column) -> Column:
+        sides = F.zip_with(other, turned_on(other), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        return F.exists(hull, lambda c: F.exists(sides, lambda s: point_segment(c["x"], c["y"], s["p"]["x"], s["p"]["y"], s["q"]["x"], s["q"]["y"]) <= limit))
+
+    return from_corners(a, b) | from_corners(b, a) | hulls_near(a, b, 0.0)
+
+
 # predicates and measures over rings
 
 

@@ -96,6 +96,95 @@ def open_sides(piece: np.ndarray, others: list[np.ndarray], snap: float) -> list
     return out
 
 
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(of, at) for counts of items: which owner each item has, and its number among the owner's."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def following(points: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The next corner of each corner of rings that stand one after another."""
+    of, at = spread(counts)
+    start = np.cumsum(counts) - counts
+    return points[start[of] + (at + 1) % counts[of]]
+
+
+def open_parts(own: np.ndarray, own_n: np.ndarray, near: np.ndarray, near_n: np.ndarray, neighbours: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(of, ends): the parts of rings' sides that no neighbour covers, all rings of a batch at once.
+
+    own, near: corners of convex rings in whole numbers, one ring after another, own_n and near_n their corners, neighbours
+    how many rings of `near` each own ring has. A side along a neighbour's own is covered if that runs the other way or
+    the neighbour goes `first`. A side and a neighbour's half planes give one covered interval; its ends are kept as
+    fractions num / den of the side, and rounded to whole numbers from these.
+    """
+    of_side, _ = spread(own_n)
+    d = following(own, own_n) - own
+    e = following(near, near_n) - near if len(near) else near
+    ring_start, edge_start = np.cumsum(neighbours) - neighbours, np.cumsum(near_n) - near_n
+    pair_side, at = spread(neighbours[of_side])
+    pair_ring = ring_start[of_side[pair_side]] + at
+    if len(pair_side):  # only neighbours whose box a side's box meets can cover it
+        lo, hi = np.minimum(own, own + d), np.maximum(own, own + d)
+        ring_lo, ring_hi = np.minimum.reduceat(near, edge_start), np.maximum.reduceat(near, edge_start)
+        meet = ((lo[pair_side] <= ring_hi[pair_ring]) & (hi[pair_side] >= ring_lo[pair_ring])).all(1)
+        pair_side, pair_ring = pair_side[meet], pair_ring[meet]
+    side, lo_t, hi_t, lo_f, hi_f = _covered(own, d, near, e, pair_side, pair_ring, near_n, edge_start, first)
+    # one interval of no length at either end of each side, then sort and look for what lies between
+    n = len(own)
+    one = np.ones(n, "int64")
+    side = np.r_[np.arange(n), side, np.arange(n)]
+    lo_t, hi_t = np.r_[np.zeros(n), lo_t, np.ones(n)], np.r_[np.zeros(n), hi_t, np.ones(n)]
+    lo_f = np.concatenate([np.c_[0 * one, one], lo_f, np.c_[one, one]])
+    hi_f = np.concatenate([np.c_[0 * one, one], hi_f, np.c_[one, one]])
+    order = np.lexsort((hi_t, lo_t, side))
+    side, lo_t, hi_t, lo_f, hi_f = (x[order] for x in (side, lo_t, hi_t, lo_f, hi_f))
+    reach = np.maximum.accumulate(hi_t + 2.0 * side)  # a side's values lie above those of the sides before it
+    who = np.maximum.accumulate(np.where(hi_t + 2.0 * side >= reach, np.arange(len(side)), 0))
+    free = np.flatnonzero((side[1:] == side[:-1]) & (lo_t[1:] + 2.0 * side[1:] > reach[:-1]))
+    s = side[free]
+    start, end = _at(own[s], d[s], hi_f[who[free]]), _at(own[s], d[s], lo_f[free + 1])
+    long = (start != end).any(1)
+    return of_side[s[long]], np.c_[start, end][long]
+
+
+def _covered(own, d, near, e, pair_side, pair_ring, near_n, edge_start, first) -> tuple[np.ndarray, ...]:
+    """(side, lo_t, hi_t, lo, hi): where each side runs inside each ring that it is paired with, ends as (num, den)."""
+    of, at = spread(near_n[pair_ring])
+    edge, s = edge_start[pair_ring[of]] + at, pair_side[of]
+    w = own[s] - near[edge] if len(near) else np.zeros((0, 2), "int64")
+    ex, ey = (e[edge, k] for k in (0, 1))
+    c0, c1 = ex * w[:, 1] - ey * w[:, 0], ex * d[s, 1] - ey * d[s, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = -c0 / c1
+    along = (c1 == 0) & (c0 == 0)
+    same_way = ex * d[s, 0] + ey * d[s, 1] > 0
+    out = (c1 == 0) & (c0 < 0) | along & same_way & ~first[pair_ring[of]]
+    low, high = np.where(c1 > 0, t, 0.0), np.where(c1 < 0, t, 1.0)
+    cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, "int64")
+    if not len(cut):
+        none = np.zeros((0, 2), "int64")
+        return np.zeros(0, "int64"), np.zeros(0), np.zeros(0), none, none
+    lo_t, hi_t = np.maximum(np.maximum.reduceat(low, cut), 0.0), np.minimum(np.minimum.reduceat(high, cut), 1.0)
+    good = ~np.logical_or.reduceat(out, cut) & (lo_t < hi_t)
+    fraction = np.c_[-c0 * np.sign(c1), np.abs(c1)]
+
+    def ends(each: np.ndarray, best: np.ndarray, edge_of: np.ndarray, plain: int) -> np.ndarray:
+        """The fraction of an edge that gives the bound; 0 or 1 where none does."""
+        got = np.tile(np.array([plain, 1]), (len(cut), 1))
+        hit = np.flatnonzero((each == best[of]) & edge_of)
+        got[of[hit[::-1]]] = fraction[hit[::-1]]
+        return got
+
+    lo_f, hi_f = ends(low, lo_t, (c1 > 0) & (low > 0), 0), ends(high, hi_t, (c1 < 0) & (high < 1), 1)
+    return pair_side[good], lo_t[good], hi_t[good], lo_f[good], hi_f[good]
+
+
+def _at(start: np.ndarray, d: np.ndarray, fraction: np.ndarray) -> np.ndarray:
+    """start + d * num / den, rounded half up from the exact value."""
+    num, den = fraction[:, :1], fraction[:, 1:]
+    return start + (2 * d * num + den) // (2 * den)
+
+
 def joined(sides: list[tuple[int, int, int, int]], snap: float) -> list[np.ndarray]:
     """Outer rings (open, counter-clockwise) of directed sides. Of sides that coincide in the same direction one stays,
     in opposite directions none; rings that run clockwise are holes and left out."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -38,11 +37,17 @@ def gaps() -> tuple[Column, Column]:
 
 
 def linked_pairs(buildings: DataFrame, gap_mm: int) -> DataFrame:
-    """(scenario_id, a, b, at_x, at_y) with a < b: footprints whose outlines, grown by the octagon around half the gap, touch."""
-    rows = buildings.select("scenario_id", "building_id", "x0", "y0", "x1", "y1")
+    """(scenario_id, a, b, at_x, at_y) with a < b: footprints whose outlines, grown by the octagon around half the gap, touch.
+
+    Footprints are boxes, or the column `hull` says what is in the box: then boxes choose the pairs whose hulls are tried.
+    """
+    shape = ["hull"] if "hull" in buildings.columns else []
+    rows = buildings.select("scenario_id", "building_id", "x0", "y0", "x1", "y1", *shape)
     dx, dy = gaps()
     met = cell_pairs(rows, rows, gap_mm, gap_mm / 2 / G.COS_OCTAGON)
     near = met.where((F.col("a_building_id") < F.col("b_building_id")) & G.octagon_near(dx, dy, gap_mm))
+    if shape:
+        near = near.where(G.hulls_near(F.col("a_hull"), F.col("b_hull"), gap_mm))
     return near.select(F.col("a_scenario_id").alias("scenario_id"), F.col("a_building_id").alias("a"), F.col("b_building_id").alias("b"), F.col("a_x0").alias("at_x"), F.col("a_y0").alias("at_y"))
 
 
@@ -75,7 +80,9 @@ def city_numbers(cities: DataFrame) -> DataFrame:
 
 
 def corners(rows: DataFrame, *keys: str) -> DataFrame:
-    """The four corners (x, y) of each box."""
+    """The corners (x, y) of each footprint: of its column `hull`, or of its box."""
+    if "hull" in rows.columns:
+        return rows.select(*keys, F.explode("hull").alias("c")).select(*keys, "c.x", "c.y")
     at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     return rows.select(*keys, F.explode(F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"))).alias("c")).select(*keys, "c.x", "c.y")
 
@@ -89,6 +96,19 @@ def _hull(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([[{"x": x, "y": y} for x, y in K.hull(np.stack([a, b], 1)).tolist()] for a, b in zip(xs, ys, strict=True)])
 
 
+def with_hulls(rings: DataFrame) -> DataFrame:
+    """Footprints of any shape (scenario_id, building_id, ring: array of points (x, y), open or closed) with the box
+    around them (x0, y0, x1, y1) and `hull`, their convex hull, which is what counts between buildings.
+
+    Rings of fewer than three corners that span ground are left out, as lines and points are no footprints.
+    """
+    ship(rings.sparkSession)
+    of = lambda k: F.col(f"ring.{k}").cast("array<double>")
+    rows = rings.where("ring is not null and size(ring) > 2").withColumn("hull", _hull(of("x"), of("y"))).where("size(hull) > 2")
+    box = {f"{k}{e}": f(F.col(f"hull.{k}")).cast("bigint") for k in "xy" for e, f in ((0, F.array_min), (1, F.array_max))}
+    return rows.withColumns(box)
+
+
 def hulls(points: DataFrame, keys: list[str], cell: int = 512_000) -> DataFrame:
     """(keys, i, x, y): corners of each group's convex hull, counter-clockwise from i = 0.
 
@@ -122,41 +142,3 @@ def min_area_rectangles(hull: DataFrame, keys: list[str]) -> DataFrame:
     each = turned.groupBy(*keys, "side", "angle").agg((F.max("u") - F.min("u")).alias("width"), (F.max("v") - F.min("v")).alias("height"))
     best = each.groupBy(*keys).agg(F.min_by(F.struct("angle", "width", "height"), F.struct((F.col("width") * F.col("height")).alias("area"), "side")).alias("r"), F.min(F.col("width") * F.col("height")).alias("area"))
     return best.select(*keys, "r.angle", "r.width", "r.height", "area")
-
-
-def outlines(clustered: DataFrame, radius_mm: float, more_mm: float = 0.0) -> DataFrame:
-    """(scenario_id, cluster, ring, i, x, y, area): outer outline of each cluster's footprints, grown by the octagon
-    around radius_mm and, if more_mm is given, by a circle of this radius besides; holes filled.
-
-    What is open of a grown footprint's sides depends on its neighbours alone, which a range join finds; only these
-    open sides of a cluster, not its footprints, meet in one task, which joins them to rings.
-    """
-    snap, far = 1.0, radius_mm / G.COS_OCTAGON + 1.01 * more_mm + 1
-    # equal footprints cover the same ground
-    rows = clustered.groupBy("scenario_id", "cluster", "x0", "y0", "x1", "y1").agg(F.min("building_id").alias("building_id"))
-    dx, dy = gaps()
-    met = cell_pairs(rows, rows, max(64_000, int(4 * far)), far).where((F.col("a_cluster") == F.col("b_cluster")) & (F.col("a_building_id") != F.col("b_building_id")) & (F.greatest(dx, dy) <= 2 * far))
-    near = met.groupBy(F.col("a_building_id").alias("building_id")).agg(F.collect_list(F.array(*[F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])).alias("near"))
-    each = rows.join(near, "building_id", "left").select("scenario_id", "cluster", F.array("x0", "y0", "x1", "y1").alias("own"), F.coalesce("near", F.array().cast("array<array<bigint>>")).alias("near"))
-
-    def grown(b: list[int]) -> np.ndarray:
-        near = K.grown(np.array([[b[0], b[1]], [b[2], b[1]], [b[2], b[3]], [b[0], b[3]]], "float64"), radius_mm)
-        return K.snapped(K.rounded(near, more_mm) if more_mm else near, snap)
-
-    def sides(batches):
-        for batch in batches:
-            out = []
-            for s, c, own, near in zip(*[batch.column(n).to_pylist() for n in ("scenario_id", "cluster", "own", "near")], strict=True):
-                out += [(s, c, *side) for side in K.open_sides(grown(own), [grown(b) for b in near], snap)]
-            yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], names=["scenario_id", "cluster", "ax", "ay", "bx", "by"])
-
-    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(K.joined(list(map(tuple, pdf[["ax", "ay", "bx", "by"]].sort_values(["ax", "ay", "bx", "by"]).to_numpy().tolist())), snap), key=lambda r: tuple(r.min(0)))
-        rows = [(pdf.scenario_id.iloc[0], pdf.cluster.iloc[0], k, i, *p, K.area(ring)) for k, ring in enumerate(found) for i, p in enumerate(ring)]
-        return pd.DataFrame(rows, columns=["scenario_id", "cluster", "ring", "i", "x", "y", "area"])
-
-    ship(clustered.sparkSession)
-    # few bytes, much work: by number, so that they aren't gathered in few tasks
-    spread = each.repartition(int(clustered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    open_ = spread.mapInArrow(sides, "scenario_id bigint, cluster bigint, ax bigint, ay bigint, bx bigint, by bigint")
-    return open_.groupBy("scenario_id", "cluster").applyInPandas(rings, "scenario_id bigint, cluster bigint, ring bigint, i bigint, x double, y double, area double")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from math import cos, pi, sin
+from math import cos, floor, pi, sin
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from cubitgrid.functions import geometry as G
 from cubitgrid.operators import cluster as C
 from cubitgrid.operators import merge as M
+from cubitgrid.operators import outline as L
 from cubitgrid.operators import points as P
 from cubitgrid.operators import rings as R
 from cubitgrid.operators import techum as T
@@ -60,13 +62,17 @@ def point_boundary_gap(spark, sf_dir):
     return P.nearest(X.points(spark, sf_dir), X.buildings(spark, sf_dir), "building_id", 100_000).select("point_id", "building_id", F.col("square").cast("bigint").alias("square"))
 
 
-_FAR = GAP / 2 / G.COS_OCTAGON
+#: Corners of the octagon that footprints are grown by, in whole millimetres.
+_OCT = [(floor(x + 0.5), floor(y + 0.5)) for x, y in G.octagon_points(GAP / 2)]
+_FAR = _OCT[0][0]
 #: Corners of a grown rectangle, counter-clockwise: the octagon's vertex and the rectangle's corner that it stands at.
 _RIM = [(0, 1, 0), (0, 1, 1), (1, 1, 1), (2, 1, 1), (2, 0, 1), (3, 0, 1), (4, 0, 1), (4, 0, 0), (5, 0, 0), (6, 0, 0), (6, 1, 0), (7, 1, 0)]
-_RIM_X = ", ".join(f"x{i} + {round(_FAR * cos(k * pi / 4), 6)!r}::double" for k, i, _ in _RIM)
-_RIM_Y = ", ".join(f"y{j} + {round(_FAR * sin(k * pi / 4), 6)!r}::double" for k, _, j in _RIM)
-#: Its sides as half planes nx * x + ny * y < ox * x0 + px * x1 + oy * y0 + py * y1 + c: the octagon's eight and the axes' four.
-_PLANES = ", ".join(f"({nx!r}::double, {ny!r}::double, {min(nx, 0)!r}::double, {max(nx, 0)!r}::double, {min(ny, 0)!r}::double, {max(ny, 0)!r}::double, {c!r}::double)" for nx, ny, c in [(round(cos(pi / 8 + k * pi / 4), 15), round(sin(pi / 8 + k * pi / 4), 15), GAP / 2) for k in range(8)] + [(1.0, 0.0, _FAR), (-1.0, 0.0, _FAR), (0.0, 1.0, _FAR), (0.0, -1.0, _FAR)])
+_RIM_X = ", ".join(f"x{i} + {_OCT[k][0]}::double" for k, i, _ in _RIM)
+_RIM_Y = ", ".join(f"y{j} + {_OCT[k][1]}::double" for k, _, j in _RIM)
+#: Outward normals of the octagon's sides and of the axes, with how far the octagon reaches along them.
+_NORMALS = [(q[1] - p[1], p[0] - q[0], (q[1] - p[1]) * p[0] + (p[0] - q[0]) * p[1]) for p, q in zip(_OCT, _OCT[1:] + _OCT[:1], strict=True)] + [(1, 0, _FAR), (-1, 0, _FAR), (0, 1, _FAR), (0, -1, _FAR)]
+#: Sides as half planes nx * x + ny * y < ox * x0 + px * x1 + oy * y0 + py * y1 + c.
+_PLANES = ", ".join(f"({nx}::double, {ny}::double, {min(nx, 0)}::double, {max(nx, 0)}::double, {min(ny, 0)}::double, {max(ny, 0)}::double, {c}::double)" for nx, ny, c in _NORMALS)
 _REACH = 2 * round(_FAR) + 2
 
 
@@ -79,8 +85,10 @@ hp as (select sg.building_id, i, nb.building_id other, nx * ex + ny * ey dn, ox
 iv as (select building_id, i, greatest(0, coalesce(max(case when dn < 0 then rest / dn end), 0)) lo, least(1, coalesce(min(case when dn > 0 then rest / dn end), 1)) hi from hp group by building_id, i, other having count(*) filter (dn = 0 and rest <= 0) = 0),
 cv as (select * from iv where lo < hi union all select building_id, i, 1, 1 from sg),
 gp as (select building_id, i, greatest(0, coalesce(max(hi) over (partition by building_id, i order by lo, hi rows between unbounded preceding and 1 preceding), 0)) lo, lo hi from cv),
-f0 as (select row_number() over (order by building_id, i, lo) id, sg.cluster, ax + lo * ex ax, ay + lo * ey ay, (hi - lo) * ex ex, (hi - lo) * ey ey from gp join sg using (building_id, i) where hi - lo > 1e-9),
-nx as (select a.id a, b.id b from f0 a join f0 b on a.cluster = b.cluster and abs(a.ax + a.ex - b.ax) < 0.01 and abs(a.ay + a.ey - b.ay) < 0.01),
+r0 as (select building_id, i, lo, sg.cluster, floor(ax + lo * ex + 0.5) ax, floor(ay + lo * ey + 0.5) ay, floor(ax + hi * ex + 0.5) bx, floor(ay + hi * ey + 0.5) bz from gp join sg using (building_id, i) where hi - lo > 1e-9),
+f0 as (select row_number() over (order by building_id, i, lo) id, cluster, ax, ay, bx - ax ex, bz - ay ey from r0 where ax <> bx or ay <> bz),
+tn as (select a.id a, b.id b, atan2(-a.ey, -a.ex) - atan2(b.ey, b.ex) turn from f0 a join f0 b on a.cluster = b.cluster and a.ax + a.ex = b.ax and a.ay + a.ey = b.ay),
+nx as (select a, arg_min(b, case when abs(turn) < 1e-12 then 7 when turn < 0 then turn + 2 * pi() else turn end) b from tn group by a),
 rr(id, root) as (select id, id from f0 union select nx.b, rr.root from rr join nx on nx.a = rr.id),
 rt as (select id, min(root) root from rr group by id), oc as (select root from rt join f0 using (id) group by root having sum(ax * ey - ay * ex) > 0),
 fr as (select f0.* from f0 join rt using (id) join oc using (root))"""
@@ -91,7 +99,7 @@ def _shvita_sql(strip: bool) -> str:
     around holes; a point is in the city if it is inside the outer ones and half a gap from them."""
     grow = REMA if strip else 0
     return f"""{_RINGS},
-cd as (select point_id, x, y, ci.cluster, number from pt join ci on ci.scenario_id = pt.scenario_id and x between minx - {GAP} and maxx + {GAP} and y between miny - {GAP} and maxy + {GAP}),
+cd as (select point_id, x, y, ci.cluster, number from pt join ci on ci.scenario_id = pt.scenario_id and x between minx - {2 * _FAR} and maxx + {2 * _FAR} and y between miny - {2 * _FAR} and maxy + {2 * _FAR}),
 ds as (select point_id, cd.x, cd.y, cd.cluster, number, min(sqrt(pow(x - ax - greatest(0, least(1, ((x - ax) * ex + (y - ay) * ey) / (ex * ex + ey * ey))) * ex, 2) + pow(y - ay - greatest(0, least(1, ((x - ax) * ex + (y - ay) * ey) / (ex * ex + ey * ey))) * ey, 2))) far, count(*) filter ((ay > y) <> (ay + ey > y) and x < ax + (y - ay) / ey * ex) % 2 = 1 inside from cd join fr using (cluster) group by all),
 gr as (select point_id, min(number) number from ds where {f"inside or far <= {GAP // 2}" if strip else f"inside and far >= {GAP // 2}"} group by point_id),
 sq as (select scenario_id, cluster, number, minx - {grow} minx, miny - {grow} miny, maxx + {grow} maxx, maxy + {grow} maxy from ci),
@@ -109,11 +117,94 @@ def _areas(spark, sf_dir, strip: bool = False) -> DataFrame:
 
     buildings, cities = _cities(spark, sf_dir)
     squared = cities.select("scenario_id", "cluster", "number", F.lit(0.0).alias("angle"), *[F.col(c).cast("double").alias(n) for n, c in (("minu", "minx"), ("minv", "miny"), ("maxu", "maxx"), ("maxv", "maxy"))], F.lit(None).cast(f"array<{Q.RING}>").alias("pieces"))
-    outlines = Tables(spark, "outlines").cut(C.outlines(buildings, GAP / 2))
-    got = P.shvita(X.points(spark, sf_dir), Q.with_extra(squared, REMA if strip else 0), outlines, X.buildings(spark, sf_dir), GAP // 2, AMOT4, strip)
+    points = X.points(spark, sf_dir)
+    asked = P.worth_outlining(points, cities, 2 * _FAR)
+    outlines = Tables(spark, "outlines").cut(L.outlines(buildings.join(asked, "cluster", "left_semi"), GAP / 2))
+    got = P.shvita(points, Q.with_extra(squared, REMA if strip else 0), outlines, X.buildings(spark, sf_dir), GAP // 2, AMOT4, strip)
     return got.select("point_id", "source", "ribua", *[F.col(c).cast("bigint").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
 
 
+_WALK = """sa as (select root, cluster, scenario_id, id, ax, ay from (select rt.root, f0.*, ci.scenario_id, row_number() over (partition by rt.root order by ax, ay, id) r from rt join f0 using (id) join oc using (root) join ci using (cluster)) where r = 1),
+sr as (select *, row_number() over (partition by cluster order by ax, ay) - 1 ring from sa),
+wk(root, id, i) as (select root, id, 0 from sr union all select wk.root, nx.b, i + 1 from wk join nx on nx.a = wk.id join sr on sr.root = wk.root where nx.b <> sr.id)"""
+
+
+@query(f"with recursive {SUMMARY}, {_RINGS}, {_WALK} select sr.scenario_id, sr.cluster, cast(ring as bigint) ring, cast(i as bigint) i, cast(f0.ax as bigint) x, cast(f0.ay as bigint) y from wk join sr using (root) join f0 on f0.id = wk.id")
+def city_rings(spark, sf_dir):
+    """Corners of all cities' outlines in their order, from each ring's smallest one on."""
+    rings = L.outlines(_cities(spark, sf_dir)[0], GAP / 2)
+    return rings.select(*KEYS, "ring", "i", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+
+
+def _to_segment(x: str, y: str, s: str) -> str:
+    t = f"greatest(0, least(1, (({x} - {s}.ax) * {s}.ex + ({y} - {s}.ay) * {s}.ey) / ({s}.ex * {s}.ex + {s}.ey * {s}.ey)))"
+    return f"sqrt(pow({x} - {s}.ax - {t} * {s}.ex, 2) + pow({y} - {s}.ay - {t} * {s}.ey, 2))"
+
+
+@query(f"""with recursive {SUMMARY}, {_RINGS}, pp as (select a.scenario_id, a.cluster a, b.cluster c from ci a join ci b on a.scenario_id = b.scenario_id and b.number = a.number + 1)
+select pp.scenario_id, a, c, {m(f"min(least({_to_segment('p.ax', 'p.ay', 'q')}, {_to_segment('p.ax + p.ex', 'p.ay + p.ey', 'q')}, {_to_segment('q.ax', 'q.ay', 'p')}, {_to_segment('q.ax + q.ex', 'q.ay + q.ey', 'p')}))")} far_um
+from pp join f0 p on p.cluster = pp.a join f0 q on q.cluster = pp.c group by all""")
+def ring_gap_lines(spark, sf_dir):
+    """The shortest line between the outlines, holes too, of each city and the next one, however far apart they are."""
+    from cubitgrid.operators.nearest import ring_lines
+
+    buildings, cities = _cities(spark, sf_dir)
+    rings = Tables(spark, "outlines").cut(L.outlines(buildings, GAP / 2, holes=True))
+    pairs = cities.select("scenario_id", F.col("cluster").alias("a"), (F.col("number") + 1).alias("number")).join(cities.select("scenario_id", F.col("cluster").alias("c"), "number"), ["scenario_id", "number"])
+    return ring_lines(pairs, L.sides(rings)).select("scenario_id", "a", "c", milli(F.col("far")).alias("far_um"))
+
+
+#: How far a city's second copy lies from the first one.
+_MOVED = (7_000, 5_000)
+
+
+def _overlaid(spark, sf_dir) -> DataFrame:
+    """The ground of each city's footprints and the same ground moved, overlaid."""
+    from cubitgrid.operators import overlay as V
+
+    buildings, _ = _cities(spark, sf_dir)
+    sides = Tables(spark, "outlines").cut(L.sides(L.rings(L.open_parts(buildings, np.zeros((1, 2), "int64")), Tables(spark, "outlines"))))
+    x, y = _MOVED
+    moved = sides.select(*KEYS, *[(F.col(c) + d).alias(c) for c, d in (("ax", x), ("ay", y), ("bx", x), ("by", y))])
+    return V.areas(sides, moved)
+
+
+def _union_sql(boxes: str) -> str:
+    """Exact areas of unions of boxes: strips between all x, covered by spans that windows merge."""
+    return f"""bx as (select distinct cluster, x0, y0, x1, y1 from ({boxes})), xs as (select distinct cluster, unnest([x0, x1]) x from bx),
+st as (select cluster, x xa, lead(x) over (partition by cluster order by x) xb from xs), cv as (select st.cluster, xa, xb, y0, y1, max(y1) over (partition by st.cluster, xa order by y0, y1 rows between unbounded preceding and 1 preceding) top
+  from st join bx on bx.cluster = st.cluster and x0 <= xa and x1 >= xb where xb is not null),
+ua as (select cluster, sum((xb - xa) * greatest(0, y1 - greatest(y0, coalesce(top, y0)))) area from cv group by cluster)"""
+
+
+_OVERLAID = f"""with recursive {SUMMARY}, cm as (select c.* from c join ci using (scenario_id, cluster)), one as (with {_union_sql('select cluster, x0, y0, x1, y1 from cm')} select * from ua),
+two as (with {_union_sql(f'select cluster, x0, y0, x1, y1 from cm union all select cluster, x0 + {_MOVED[0]}, y0 + {_MOVED[1]}, x1 + {_MOVED[0]}, y1 + {_MOVED[1]} from cm')} select * from ua)
+select ci.scenario_id, ci.cluster, """
+
+
+@query(f"{_OVERLAID} cast(2 * one.area - two.area as bigint) area from ci join one using (cluster) join two using (cluster)")
+def ring_intersection_area(spark, sf_dir):
+    """Square millimetres that a city's footprints and their moved copy have in common."""
+    return _overlaid(spark, sf_dir).select(*KEYS, F.floor(F.col("both") + 0.5).cast("bigint").alias("area"))
+
+
+@query(f"{_OVERLAID} cast(two.area - one.area as bigint) area from ci join one using (cluster) join two using (cluster)")
+def ring_difference_area(spark, sf_dir):
+    """Square millimetres that a city's footprints have alone, without their moved copy."""
+    return _overlaid(spark, sf_dir).select(*KEYS, F.floor(F.col("one_alone") + 0.5).cast("bigint").alias("area"))
+
+
+@query(f"with recursive {SUMMARY}, {PT}, {_shvita_sql(False)} select point_id, cluster, inside, case when far <= {GAP // 2} then {m('far')} end far_um from ds where inside or far <= {GAP // 2}")
+def point_in_outline(spark, sf_dir):
+    """Points inside a city's outline, or within half a gap of it, with how far they are from it if within half a gap."""
+    points = X.points(spark, sf_dir)
+    buildings, cities = _cities(spark, sf_dir)
+    rings = Tables(spark, "outlines").cut(L.outlines(buildings.join(P.worth_outlining(points, cities, 2 * _FAR), "cluster", "left_semi"), GAP / 2))
+    box = cities.select(*KEYS, *[(F.col(c) + d).alias(n) for n, c, d in (("x0", "minx", -2 * _FAR), ("y0", "miny", -2 * _FAR), ("x1", "maxx", 2 * _FAR), ("y1", "maxy", 2 * _FAR))])
+    met = P.against_outlines(P.candidates(points, box), rings, GAP // 2)
+    return met.where("inside or far is not null").select("point_id", "cluster", "inside", milli(F.col("far")).alias("far_um"))
+
+
 @query(f"with recursive {SUMMARY}, {PT}, {_shvita_sql(False)} select point_id, source, ribua, minx, miny, maxx, maxy from sh")
 def shvita_priority(spark, sf_dir):
     return _areas(spark, sf_dir)
@@ -422,7 +513,7 @@ def _run(spark, sf_dir):
 @query(f"with recursive {SUMMARY}, {_RINGS}, ra as (select scenario_id, root, sum(ax * ey - ay * ex) / 2 area from f0 join rt using (id) join oc using (root) join ci using (cluster) group by all) select scenario_id, cast(floor(area / 100000000 + 0.5) as bigint) ares from ra")
 def city_outline_union(spark, sf_dir):
     """Areas of the outer rings of all cities in hundreds of square metres."""
-    rings = C.outlines(_cities(spark, sf_dir)[0], GAP / 2).groupBy(*KEYS, "ring").agg(F.max("area").alias("area"))
+    rings = L.outlines(_cities(spark, sf_dir)[0], GAP / 2).groupBy(*KEYS, "ring").agg(F.max("area").alias("area"))
     return rings.select("scenario_id", F.floor(F.col("area") / 1e8 + 0.5).cast("bigint").alias("ares"))
 
 
@@ -436,7 +527,7 @@ def keshet_cut(spark, sf_dir):
     """Bays of all cities with a mouth over 120 amot: 3 % of the rule, for cities of a few hundred metres."""
     from cubitgrid.operators import square as Q
 
-    outlines = C.outlines(_cities(spark, sf_dir)[0], GAP / 2)
+    outlines = L.outlines(_cities(spark, sf_dir)[0], GAP / 2)
     squared = Q.squarings(outlines, _hull(spark, sf_dir), NOW)
     return Q.keshet_cuts(Q.bows(outlines, squared, replace(NOW, keshetExclusion="entire"), scale=0.03))
 
@@ -445,7 +536,7 @@ def keshet_cut(spark, sf_dir):
 def minkowski_notch(spark, sf_dir):
     from cubitgrid.operators import square as Q
 
-    return Q.minkowski_areas(C.outlines(_cities(spark, sf_dir)[0], GAP / 2), 10_000, 10_000, 5_000, 5_000)
+    return Q.minkowski_areas(L.outlines(_cities(spark, sf_dir)[0], GAP / 2), 10_000, 10_000, 5_000, 5_000)
 
 
 @query()

@@ -130,6 +130,17 @@ def bbox_scan(spark, sf_dir):
     return scan(X.buildings(spark, sf_dir), X.extents(spark, sf_dir, HALF), prune=True).select("scenario_id", "building_id")
 
 
+@query(f"with {B} select scenario_id, building_id from b where x1 >= -{HALF} and x0 <= {HALF} and y1 >= -{HALF} and y0 <= {HALF}")
+def morton_range_scan(spark, sf_dir):
+    """The same rows from a stored layout, by ranges of its codes."""
+    from cubitgrid.operators.scan import scan_layout, write_layout
+    from cubitgrid.plans.tables import Tables
+
+    path = f"{Tables(spark, 'layout').base}/footprints"
+    write_layout(X.buildings(spark, sf_dir), path)
+    return scan_layout(spark, path, X.extents(spark, sf_dir, HALF)).select("scenario_id", "building_id")
+
+
 @query(f"""with {B} select scenario_id, building_id from b where x1 >= -{HALF} and x0 <= {HALF} and y1 >= -{HALF} and y0 <= {HALF + STRIP}
 union select scenario_id, building_id from b where x1 >= {HALF} and x0 <= {HALF + STRIP} and y1 >= -{HALF} and y0 <= {HALF + STRIP}""")
 def strip_dedupe(spark, sf_dir):
@@ -171,6 +182,33 @@ def city_components(spark, sf_dir):
     return _clustered(spark, sf_dir).select("scenario_id", "building_id", "cluster")
 
 
+#: Pairs of shaped footprints: no normal of a side of either hull, and none of the octagon's, separates them once both are grown.
+HULL_PAIRS = f"""{B}, {X.HULLS_SQL},
+hs as (select p.building_id, (q.y - p.y)::double nx, (p.x - q.x)::double ny from hc p join hb using (building_id) join hc q on q.building_id = p.building_id and q.i = (p.i + 1) % n),
+cd as (select a.scenario_id, a.building_id a, b.building_id b from hb a join hb b on a.scenario_id = b.scenario_id and a.building_id < b.building_id and b.x0 <= a.x1 + 40000 and a.x0 <= b.x1 + 40000 and b.y0 <= a.y1 + 40000 and a.y0 <= b.y1 + 40000),
+xs as (select a, b, nx, ny from cd join hs on hs.building_id = a union all select a, b, nx, ny from cd join hs on hs.building_id = b
+  union all select a, b, nx, ny from cd, (values ({COS!r}::double, {SIN!r}::double), ({SIN!r}::double, {COS!r}::double), ({COS!r}::double, -{SIN!r}::double), ({SIN!r}::double, -{COS!r}::double)) o(nx, ny)),
+nm as (select row_number() over () n, * from xs),
+p1 as (select n, min(x * nx + y * ny) lo, max(x * nx + y * ny) hi from nm join hc on building_id = a group by n),
+p2 as (select n, min(x * nx + y * ny) lo, max(x * nx + y * ny) hi from nm join hc on building_id = b group by n),
+ap as (select distinct a, b from nm join p1 using (n) join p2 using (n) where greatest(p2.lo - p1.hi, p1.lo - p2.hi) > greatest(abs(nx), abs(ny), (abs(nx) + abs(ny)) * {0.5**0.5!r}::double) * {GAP / COS!r}::double),
+hp as (select cd.* from cd anti join ap on ap.a = cd.a and ap.b = cd.b)"""
+HULL_CLUSTERS = f"""{HULL_PAIRS}, h2 as (select a, b from hp union all select b, a from hp),
+hr(id, root) as (select building_id, building_id from b union select h2.b, hr.root from hr join h2 on h2.a = hr.id)"""
+
+
+@query(f"with {HULL_PAIRS} select scenario_id, a, b from hp")
+def hull_pairs(spark, sf_dir):
+    """Turned and L-shaped footprints within the gap, by their convex hulls."""
+    return C.linked_pairs(C.with_hulls(X.footprints(spark, sf_dir)), GAP).select("scenario_id", "a", "b")
+
+
+@query(f"with recursive {HULL_CLUSTERS} select scenario_id, building_id, cluster from b join (select id, min(root) as cluster from hr group by id) on id = building_id")
+def hull_components(spark, sf_dir):
+    """Clusters of turned and L-shaped footprints."""
+    return C.clusters(C.with_hulls(X.footprints(spark, sf_dir)), GAP).select("scenario_id", "building_id", "cluster")
+
+
 @query(f"with recursive {SUMMARY} select scenario_id, cluster, building_count, is_city, minx, miny, maxx, maxy from su")
 def city_summary(spark, sf_dir):
     return C.summary(_clustered(spark, sf_dir))

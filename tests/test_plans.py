@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,7 +205,7 @@ def test_run(spark, town):
     # the long town is loaded to its end, strip by strip
     assert got[2].maxx == 299 * 30_000 + 10_000 + 960_000
     extent = {r.scenario_id: (r.minx, r.maxx) for r in run.stage(2)["extents"].collect()}
-    assert extent[1] == (-1_000_000, 1_000_000) and extent[2][1] == 10_000_000
+    assert extent[1] == (-995_000, 1_005_000) and extent[2][1] == 10_005_000
     assert {r.step for r in run.diagnostics().where("scenario_id = 1").collect()} >= {3, 6}
 
 
@@ -366,6 +368,36 @@ def test_stream_of_points(spark, town, tmp_path):
     assert q.exception() is None and [r.scenario_id for r in seen[0]] == [1]
 
 
+def test_a_point_off_the_origin_is_measured_alike_alone_and_in_any_batch(spark, tmp_path):
+    """A city 20 km from the origin, whole in what each point loads: the data around a point doesn't hang on the origin."""
+    from cubitgrid.streaming.points import POINT, measure_stream
+
+    at = 20_000_000
+    source = spark.createDataFrame(row_of_houses(8, x=at, y=at), BOX)
+    points = [(1, 10, at + 45_000, at + 5_000), (1, 11, at + 45_001, at + 5_001), (1, 12, at - 900_000, at)]
+    fields = lambda df: {r.area_id: (r.source, r.minx, r.miny, r.maxx, r.maxy, r.pieces) for r in df.collect()}
+    whole = fields(Run(spark, source, spark.createDataFrame(points, POINT)).result())
+    assert {k: v[0] for k, v in whole.items()} == {10: "city", 11: "city", 12: "point"}
+    for p in points:
+        assert fields(Run(spark, source, spark.createDataFrame([p], POINT)).result()) == {p[1]: whole[p[1]]}
+    (tmp_path / "in").mkdir()
+    for k, p in enumerate(points):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps(dict(zip(("scenario_id", "point_id", "x", "y"), p, strict=True))))
+    seen = {}
+    stream = spark.readStream.schema(POINT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = measure_stream(stream, source, str(tmp_path / "checkpoint"), lambda df, i: seen.update(fields(df)), once=True)
+    q.awaitTermination(300)
+    assert q.exception() is None and seen == whole
+
+
+def test_extension_ends_at_a_distance_from_the_points(spark):
+    """A row of houses that goes on for 40 km: what is loaded ends 10 km from the point, wherever the origin is."""
+    source = spark.createDataFrame(row_of_houses(2_000, step=20_000), BOX)
+    run = Run(spark, source, spark.createDataFrame([(1, 1, 20_000_000, 0)], "scenario_id bigint, point_id bigint, x bigint, y bigint"))
+    e = run.stage(2)["extents"].first()
+    assert (e.minx, e.maxx) == (10_000_000, 30_000_000) and (e.miny, e.maxy) == (-3_000_000, 3_000_000)
+
+
 # merging
 
 
