@@ -194,6 +194,26 @@ def ring_difference_area(spark, sf_dir):
     return _overlaid(spark, sf_dir).select(*KEYS, F.floor(F.col("one_alone") + 0.5).cast("bigint").alias("area"))
 
 
+_CLOSE = MERGE // 2 + 500
+_CLOSED = f"""with recursive {SUMMARY}, cm as (select cluster, x0 - {_CLOSE} x0, y0 - {_CLOSE} y0, x1 + {_CLOSE} x1, y1 + {_CLOSE} y1 from c join ci using (scenario_id, cluster)),
+wd as (select cluster, min(x0) lx, min(y0) ly, max(x1) hx, max(y1) hy from cm group by cluster),
+xw as (select distinct cluster, unnest([x0, x1]) x from cm), sw as (select * from (select cluster, x xa, lead(x) over (partition by cluster order by x) xb from xw) where xb is not null),
+vw as (select cluster, xa, xb, y0, y1 from sw join cm using (cluster) where x0 <= xa and x1 >= xb union all select cluster, xa, xb, hy, hy from sw join wd using (cluster)),
+gw as (select cluster, xa, xb, coalesce(max(y1) over (partition by cluster, xa order by y0, y1 rows between unbounded preceding and 1 preceding), ly) g0, y0 g1 from vw join wd using (cluster)),
+fw as (select cluster, xa x0, g0 y0, xb x1, g1 y1 from gw where g1 > g0 union all
+  select cluster, unnest([lx - 1, hx, lx - 1, lx - 1]), unnest([ly - 1, ly - 1, ly - 1, hy]), unnest([lx, hx + 1, hx + 1, hx + 1]), unnest([hy + 1, hy + 1, ly, hy + 1]) from wd),
+gf as (select fw.cluster, greatest(x0 - {_CLOSE}, lx) x0, greatest(y0 - {_CLOSE}, ly) y0, least(x1 + {_CLOSE}, hx) x1, least(y1 + {_CLOSE}, hy) y1 from fw join wd using (cluster)),
+{_union_sql('select cluster, x0, y0, x1, y1 from gf')} select ci.scenario_id, ci.cluster, cast((hx - lx) * (hy - ly) - area as bigint) area from ci join wd using (cluster) join ua using (cluster)"""
+
+
+@query(_CLOSED)
+def closed_area(spark, sf_dir):
+    """Square millimetres of each city's footprints after closing by a square of half the merging distance and half a metre."""
+    square = np.array([[-_CLOSE, -_CLOSE], [_CLOSE, -_CLOSE], [_CLOSE, _CLOSE], [-_CLOSE, _CLOSE]], "int64")
+    rings = L.closed(_cities(spark, sf_dir)[0], np.zeros((1, 2), "int64"), square)
+    return rings.where("i = 0").groupBy(*KEYS).agg(F.sum("area").cast("bigint").alias("area"))
+
+
 @query(f"with recursive {SUMMARY}, {PT}, {_shvita_sql(False)} select point_id, cluster, inside, case when far <= {GAP // 2} then {m('far')} end far_um from ds where inside or far <= {GAP // 2}")
 def point_in_outline(spark, sf_dir):
     """Points inside a city's outline, or within half a gap of it, with how far they are from it if within half a gap."""
