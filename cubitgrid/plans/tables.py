@@ -44,3 +44,8 @@ class Tables:
             if path := getattr(df, "_cubitgrid_path", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def clear(self) -> None:
+        """Delete all tables that were written here."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -224,6 +224,62 @@ def test_changed_settings_keep_earlier_stages(spark, town):
     assert run.change(amahPreset="nothing") == S.NEVER
 
 
+def test_updates_and_logs_by_step(spark, town):
+    """Each stage that is made is told once, with its rows; logs of steps that a setting doesn't reach stay."""
+    source, homes = town
+    told = []
+    run = Run(spark, source, homes.where("scenario_id = 1"), settings=S.Settings(fetchRadiusM=1000.0), updates=lambda stage, rows: told.append((stage, rows)))
+    first = sorted(map(tuple, run.diagnostics().collect()), key=str)
+    assert [stage for stage, _ in told] == ["buildings", "clusters", "cities", "squarings", "shvita", "techum"]
+    assert told[0][1] == {"buildings": run.stage(1)["buildings"].count(), "extents": 1} and told[2][1]["cities"] == 2
+    kept = dict(run.logs)
+    assert run.change(unequalLines="diagonal") == 6
+    assert len(sorted(map(tuple, run.diagnostics().collect()), key=str)) == len(first)
+    assert [stage for stage, _ in told[6:]] == ["techum"] and {k for k in run.logs if k not in kept} == {(6, run.settings.read_by(6))}
+
+
+def test_a_newer_run_takes_over(spark, town, monkeypatch):
+    """The first run ends interrupted in the middle of a stage and leaves nothing; the second one is right."""
+    import os
+    from threading import Thread
+
+    from cubitgrid.plans.run import Newest, Superseded
+
+    source, homes = town
+    one, two = (Run(spark, source, homes.where("scenario_id = 1"), settings=S.Settings(fetchRadiusM=1000.0)) for _ in range(2))
+    newest, got = Newest(), []
+
+    def slow(self=one):
+        newest.start(two)  # while the first run's stage is under way
+        return {"clustered": spark.range(100).repartition(4).mapInArrow(lambda batches: batches, "id bigint")}
+
+    monkeypatch.setattr(one, "_clusters", slow)
+
+    def go():
+        try:
+            got.append(newest.start(one).result().collect())
+        except Exception as e:
+            got.append(e)
+
+    t = Thread(target=go)
+    t.start()
+    t.join(120)
+    assert isinstance(got[0], Superseded) and not one.kept and not one.logs
+    assert not os.path.exists(one.tables.base.removeprefix("file://"))
+    with pytest.raises(Superseded):
+        one.stage(1)
+    assert [r.source for r in two.result().collect()] == ["city"]
+
+
+def test_ends_of_the_data_reach_the_boundary(spark):
+    """A city that goes on to the east beyond 10 km, measured from its western end."""
+    source = spark.createDataFrame(row_of_houses(600, step=20_000), BOX)
+    homes = spark.createDataFrame([(1, 1, 5_000, 5_000), (1, 2, 5_000, 900_000)], "scenario_id bigint, point_id bigint, x bigint, y bigint")
+    run = Run(spark, source, homes)
+    assert {r.area_id: (r.n, r.e, r.s, r.w) for r in run.result().collect()} == {1: (False, True, False, False), 2: (False, False, False, False)}
+    assert [r.point_id for r in run.diagnostics().where("step = 5 and text like '%beyond%'").collect()] == [1]
+
+
 def test_second_point(spark, town):
     source, homes = town
     one = homes.where("scenario_id = 1")
