@@ -40,3 +40,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_a_library_of_the_corpus_operators():
+    """Whatever keeps the subpackage from being imported, the other queries stay."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules.update(ahocorasick=None, xxhash=None); import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True)
+    names = said.stdout.split()
+    assert "city_summary" in names and "pipeline" not in names and not [n for n in names if n.startswith("op")]
