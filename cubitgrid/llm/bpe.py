@@ -259,7 +259,7 @@ class LibraryIds:
 
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
 
-    def __init__(self, name: str, most: int = 500_000) -> None:
+    def __init__(self, name: str, most: int = 250_000) -> None:
         self.lib = Tokenizer.from_file(public_tokenizers.path(name))
         # pieces are normalised and cut already: for them the library needs its byte letters and merges alone
         self.bare = Tokenizer.from_file(public_tokenizers.path(name))
