@@ -245,8 +245,12 @@ def entries(name: str = VOCABULARY) -> tuple[Bpe, Remembered]:
     return held(("entries", name), new)
 
 
-def library_ids(name: str = VOCABULARY) -> LibraryIds:
-    return held(("library", name), lambda: LibraryIds(name))
+#: Pieces of texts whose ids a worker remembers.
+REMEMBERED = 500_000
+
+
+def library_ids(name: str = VOCABULARY, remembered: int = REMEMBERED) -> LibraryIds:
+    return held(("library", name, remembered), lambda: LibraryIds(name, remembered))
 
 
 class LibraryIds:
@@ -259,7 +263,7 @@ class LibraryIds:
 
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
 
-    def __init__(self, name: str, most: int = 250_000) -> None:
+    def __init__(self, name: str, most: int = REMEMBERED) -> None:
         self.lib = Tokenizer.from_file(public_tokenizers.path(name))
         # pieces are normalised and cut already: for them the library needs its byte letters and merges alone
         self.bare = Tokenizer.from_file(public_tokenizers.path(name))

@@ -21,13 +21,14 @@ def binary_lengths(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, most: int = 4096, end_id: int = END_ID, vocabulary: str = bpe.VOCABULARY, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, most: int = 4096, end_id: int = END_ID, vocabulary: str = bpe.VOCABULARY, with_ids: bool = True, remembered: int = bpe.REMEMBERED) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, ids.
 
     A document's ids (end_id comes last) are cut into power-of-two lengths, at most `most`; each piece is a
     sequence of its own, so none crosses documents and none is padded. bucket is log2 of the length; sequences
     of a bucket have equal lengths and batch without padding (see write_buckets). Null and empty texts give the
-    one piece that holds end_id. Repeated rows and null ids are packed like any other row. ids only if with_ids.
+    one piece that holds end_id. Repeated rows and null ids are packed like any other row. ids only if with_ids. A worker remembers the ids of so many pieces
+    of texts (remembered): fewer take less memory and more time.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("the largest length must be a power of two")
@@ -35,7 +36,7 @@ def pack(docs: DataFrame, most: int = 4096, end_id: int = END_ID, vocabulary: st
     ids_type = pa.list_(pa.int32())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raws = bpe.library_ids(vocabulary).encode(texts(batch.column("text")))
+        raws = bpe.library_ids(vocabulary, remembered).encode(texts(batch.column("text")))
         rows: list[tuple] = []
         pieces: list[np.ndarray] = []
         for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raws, strict=True):
