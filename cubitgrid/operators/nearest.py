@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,10 +61,10 @@ def facing(pairs: DataFrame, items: DataFrame, finest: int = FINEST_MM, levels:
     return found.join(of(placed, "a", "a"), ["scenario_id", "a", "a_cx", "a_cy"]).join(of(placed, "c", "b"), ["scenario_id", "c", "b_cx", "b_cy"]).drop("a_cx", "a_cy", "b_cx", "b_cy")
 
 
-def boxed(side: DataFrame) -> DataFrame:
-    """Sides (scenario_id, cluster, ax, ay, bx, by) with their boxes, in whole millimetres."""
+def boxed(side: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Sides (scenario_id, cluster, ax, ay, bx, by and the columns `more`) with their boxes, in whole millimetres."""
     ends = {f"{k}{e}": r(f(f"a{k}", f"b{k}")).cast("bigint") for k in "xy" for e, f, r in ((0, F.least, F.floor), (1, F.greatest, F.ceil))}
-    return side.select("scenario_id", "cluster", "ax", "ay", "bx", "by", *[c.alias(n) for n, c in ends.items()])
+    return side.select("scenario_id", "cluster", *more, "ax", "ay", "bx", "by", *[c.alias(n) for n, c in ends.items()])
 
 
 def ring_lines(pairs: DataFrame, side: DataFrame) -> DataFrame:

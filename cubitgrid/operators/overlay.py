@@ -6,6 +6,8 @@ whether the ground at its middle belongs to the other set, and areas are sums ov
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,13 @@ from cubitgrid.plans.tables import Tables
 CELL_MM = 64_000
 
 
-def _parts(own: DataFrame, other: DataFrame, tables: Tables) -> DataFrame:
-    """(scenario_id, cluster, ax, ay, bx, by, place): own sides in parts that meet no side of `other` but at their ends.
+def parts_of(own: DataFrame, other: DataFrame, tables: Tables, more: Sequence[str] = ()) -> DataFrame:
+    """(scenario_id, cluster, ax, ay, bx, by, place): own sides in parts that meet no side of `other` but at their ends, with
+    the columns `more` of the sides.
 
     place: `inside` or `outside` the other's rings, or along one of their sides, `same` way or `against`.
     """
-    rows = boxed(own).withColumn("id", F.monotonically_increasing_id())
+    rows = boxed(own, more).withColumn("id", F.monotonically_increasing_id())
     rows = tables.cut(rows)
     met = cell_pairs(rows, boxed(other), CELL_MM, 0, same="cluster").where("a_x0 <= b_x1 and b_x0 <= a_x1 and a_y0 <= b_y1 and b_y0 <= a_y1")
     p, q, r, s = (tuple(F.col(f"{w}_{e}{k}").cast("double") for k in "xy") for w in "ab" for e in "ab")
@@ -45,19 +48,19 @@ def _parts(own: DataFrame, other: DataFrame, tables: Tables) -> DataFrame:
     none = F.array().cast(sums.schema["runs"].dataType), F.array().cast("array<double>")
     each = rows.join(sums, "id", "left").withColumns({"runs": F.coalesce("runs", none[0]), "cuts": F.coalesce("cuts", none[1])}).withColumn("places", places)
     spans = F.zip_with(F.slice("places", F.lit(1), F.size("places") - 1), F.slice("places", F.lit(2), F.size("places") - 1), lambda a, b: F.struct(a.alias("t0"), b.alias("t1")))
-    each = each.select("scenario_id", "cluster", "ax", "ay", "bx", "by", "runs", F.explode(spans).alias("s"))
+    each = each.select("scenario_id", "cluster", *more, "ax", "ay", "bx", "by", "runs", F.explode(spans).alias("s"))
     middle = (F.col("s.t0") + F.col("s.t1")) / 2
     way = F.get(F.filter("runs", lambda r: (r["lo"] <= middle) & (r["hi"] >= middle)), F.lit(0))["same"]
     at = lambda k, t: F.col(f"a{k}") + t * (F.col(f"b{k}") - F.col(f"a{k}"))
     ends = [at(k, F.col(f"s.t{e}")).alias(f"{n}{k}") for n, e in (("a", 0), ("b", 1)) for k in "xy"]
-    each = each.select("scenario_id", "cluster", *ends, at("x", middle).alias("x"), at("y", middle).alias("y"), way.alias("same"))
+    each = each.select("scenario_id", "cluster", *more, *ends, at("x", middle).alias("x"), at("y", middle).alias("y"), way.alias("same"))
     each = tables.cut(each.withColumn("point_id", F.monotonically_increasing_id()))
     tables.drop(rows)
     ring = other.select("scenario_id", "cluster", F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("x2"), F.col("by").alias("y2"))
     ask = each.where("same is null").select("scenario_id", "cluster", "point_id", "x", "y")
     held = against_outlines(ask, ring, 1.0).select("point_id", "inside")
     told = F.when(F.col("same"), "same").when(~F.col("same"), "against").when(F.coalesce("inside", F.lit(False)), "inside").otherwise("outside")
-    return each.join(held, "point_id", "left").select("scenario_id", "cluster", "ax", "ay", "bx", "by", told.alias("place"))
+    return each.join(held, "point_id", "left").select("scenario_id", "cluster", *more, "ax", "ay", "bx", "by", told.alias("place"))
 
 
 def areas(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def areas(one: DataFrame, two: DataFrame) -> DataFrame:
     clockwise; the rings of a set don't cross each other. A set without a ring covers nothing.
     """
     tables = Tables(one.sparkSession, "overlay")
-    own = tables.cut(_parts(one, two, tables).withColumn("set", F.lit(1)).unionByName(_parts(two, one, tables).withColumn("set", F.lit(2))))
+    own = tables.cut(parts_of(one, two, tables).withColumn("set", F.lit(1)).unionByName(parts_of(two, one, tables).withColumn("set", F.lit(2))))
     under = (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2
 
     def total(*cases: tuple[int, str, int]) -> Column:

@@ -18,7 +18,7 @@ from cubitgrid.operators import points as P
 from cubitgrid.operators import rings as R
 from cubitgrid.operators import techum as T
 from cubitgrid.plans import settings as S
-from cubitgrid.plans.spatial_queries import B, GAP, HULLS, KEYS, PT, SC, SUMMARY, _cities, _hull, m, milli
+from cubitgrid.plans.spatial_queries import B, CLUSTERS, GAP, HULLS, KEYS, PT, SC, SUMMARY, _cities, _clustered, _hull, m, milli
 from cubitgrid.plans.tables import Tables
 from cubitgrid.sources import fixtures as X
 
@@ -195,22 +195,32 @@ def ring_difference_area(spark, sf_dir):
 
 
 _CLOSE = MERGE // 2 + 500
-_CLOSED = f"""with recursive {SUMMARY}, cm as (select cluster, x0 - {_CLOSE} x0, y0 - {_CLOSE} y0, x1 + {_CLOSE} x1, y1 + {_CLOSE} y1 from c join ci using (scenario_id, cluster)),
+
+
+def _closing_sql(boxes: str, close: int) -> str:
+    """Windows `wd` around clusters' grown boxes, and `gf`: what a square brush covers in them where no box is in its way."""
+    return f"""cm as (select cluster, x0 - {close} x0, y0 - {close} y0, x1 + {close} x1, y1 + {close} y1 from ({boxes})),
 wd as (select cluster, min(x0) lx, min(y0) ly, max(x1) hx, max(y1) hy from cm group by cluster),
 xw as (select distinct cluster, unnest([x0, x1]) x from cm), sw as (select * from (select cluster, x xa, lead(x) over (partition by cluster order by x) xb from xw) where xb is not null),
 vw as (select cluster, xa, xb, y0, y1 from sw join cm using (cluster) where x0 <= xa and x1 >= xb union all select cluster, xa, xb, hy, hy from sw join wd using (cluster)),
 gw as (select cluster, xa, xb, coalesce(max(y1) over (partition by cluster, xa order by y0, y1 rows between unbounded preceding and 1 preceding), ly) g0, y0 g1 from vw join wd using (cluster)),
 fw as (select cluster, xa x0, g0 y0, xb x1, g1 y1 from gw where g1 > g0 union all
   select cluster, unnest([lx - 1, hx, lx - 1, lx - 1]), unnest([ly - 1, ly - 1, ly - 1, hy]), unnest([lx, hx + 1, hx + 1, hx + 1]), unnest([hy + 1, hy + 1, ly, hy + 1]) from wd),
-gf as (select fw.cluster, greatest(x0 - {_CLOSE}, lx) x0, greatest(y0 - {_CLOSE}, ly) y0, least(x1 + {_CLOSE}, hx) x1, least(y1 + {_CLOSE}, hy) y1 from fw join wd using (cluster)),
+gf as (select fw.cluster, greatest(x0 - {close}, lx) x0, greatest(y0 - {close}, ly) y0, least(x1 + {close}, hx) x1, least(y1 + {close}, hy) y1 from fw join wd using (cluster))"""
+
+
+_CLOSED = f"""with recursive {SUMMARY}, {_closing_sql('select cluster, x0, y0, x1, y1 from c join ci using (scenario_id, cluster)', _CLOSE)},
 {_union_sql('select cluster, x0, y0, x1, y1 from gf')} select ci.scenario_id, ci.cluster, cast((hx - lx) * (hy - ly) - area as bigint) area from ci join wd using (cluster) join ua using (cluster)"""
 
 
+def _square(half: int) -> np.ndarray:
+    return np.array([[-half, -half], [half, -half], [half, half], [-half, half]], "int64")
+
+
 @query(_CLOSED)
 def closed_area(spark, sf_dir):
     """Square millimetres of each city's footprints after closing by a square of half the merging distance and half a metre."""
-    square = np.array([[-_CLOSE, -_CLOSE], [_CLOSE, -_CLOSE], [_CLOSE, _CLOSE], [-_CLOSE, _CLOSE]], "int64")
-    rings = L.closed(_cities(spark, sf_dir)[0], np.zeros((1, 2), "int64"), square)
+    rings = L.closed(_cities(spark, sf_dir)[0], np.zeros((1, 2), "int64"), _square(_CLOSE))
     return rings.where("i = 0").groupBy(*KEYS).agg(F.sum("area").cast("bigint").alias("area"))
 
 
@@ -314,6 +324,34 @@ def corridor_filter(spark, sf_dir):
     return M.corridors(_cities(spark, sf_dir)[1], SIDE)
 
 
+#: The largest square in the octagon by which footprints are grown, so that parts don't meet, and a brush that fills what the
+#: octagons leave open between them.
+_GROWN = floor(GAP / 2 / (G.COS_OCTAGON + G.SIN_OCTAGON))
+_SEAL = _CLOSE + GAP // 2 - _GROWN
+
+
+@query(f"""with recursive {SUMMARY}, {_CITY_PAIRS}, {_MERGED}, mr as (select root from mg group by root having count(*) > 1),
+gb as (select mg.root, c.cluster, x0 - {_GROWN} x0, y0 - {_GROWN} y0, x1 + {_GROWN} x1, y1 + {_GROWN} y1 from c join mg using (scenario_id, cluster) join mr using (root)),
+{_closing_sql('select root as cluster, x0, y0, x1, y1 from gb', _SEAL)}, cb as (select * from gf union select root, x0, y0, x1, y1 from gb),
+xf as (select distinct cluster, unnest([x0, x1]) x from cb), sf as (select cluster, x xa, lead(x) over (partition by cluster order by x) xb from xf),
+cf as (select sf.cluster, xa, xb, y0, max(y1) over (partition by sf.cluster, xa order by y0, y1 rows between unbounded preceding and 1 preceding) top from sf join cb on cb.cluster = sf.cluster and x0 <= xa and x1 >= xb),
+fr as (select row_number() over (order by cluster, xa, y0) id, cluster, xa, xb, top g0, y0 g1 from cf where y0 > top),
+ad as (select a.id a, b.id b from fr a join fr b on a.cluster = b.cluster and a.xb = b.xa and a.g0 < b.g1 and b.g0 < a.g1), a2 as (select a, b from ad union all select b, a from ad),
+fp(id, p) as (select id, id from fr union select a2.b, fp.p from fp join a2 on a2.a = fp.id), pc as (select id, min(p) p from fp group by id),
+tp as (select p, count(distinct gb.cluster) n_parts from fr join pc using (id) join gb on gb.root = fr.cluster
+  and ((x0 <= xa and x1 >= xb and (y1 = g0 or y0 = g1)) or ((x1 = xa or x0 = xb) and y0 < g1 and y1 > g0)) group by p),
+ar as (select cluster root, p, min({{'x': xa, 'y': g0}}) l, sum((xb - xa) * (g1 - g0)) area from fr join pc using (id) group by all)
+select ci.scenario_id, root, row_number() over (partition by root order by l) - 1 piece, cast(l.x as bigint) x, cast(l.y as bigint) y, cast(area as bigint) area, n_parts, count(*) over (partition by root) n_pieces
+from ar join tp using (p) join ci on ci.cluster = root where n_parts > 1""")
+def bridge_pieces(spark, sf_dir):
+    """Pieces that closing adds between the parts of merged cities, of those that join at least two parts."""
+    from cubitgrid.operators.bridges import bridges
+
+    buildings, cities = _cities(spark, sf_dir)
+    roots = M.merged(cities, M.plain_links(buildings, GAP, MERGE)).select("cluster", "root")
+    return bridges(buildings.join(roots, "cluster"), _square(_GROWN), _square(_SEAL))
+
+
 def _merged_shapes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Merged cities as boxes, and their buildings under the merged city."""
     buildings, cities = _cities(spark, sf_dir)
@@ -322,9 +360,10 @@ def _merged_shapes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return C.summary(shapes), shapes
 
 
-@query(f"""with recursive {SUMMARY}, {_CITY_PAIRS}, {_MERGED},
-mb as (select bb.scenario_id, mg.root as cluster, bb.building_id, x0, y0, x1, y1 from bb join mg using (scenario_id, cluster)),
-ms as (select scenario_id, cluster, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from mb group by all),
+def _triangles_sql(span: int, wide: bool) -> str:
+    """Links of the triangle rule between the clusters of footprints `mb`."""
+    narrow = "" if wide else f" and hi - lo <= greatest(dist - {GAP}, 0) + {GAP}"
+    return f"""ms as (select scenario_id, cluster, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from mb group by all),
 sd0 as (select a.scenario_id, a.cluster a, b.cluster b, greatest(0, b.x0 - a.x1, a.x0 - b.x1) dx, greatest(0, b.y0 - a.y1, a.y0 - b.y1) dy from ms a join ms b on a.scenario_id = b.scenario_id and a.cluster <> b.cluster),
 sd as (select scenario_id, a, b from sd0 where {_OUTLINE} <= {SIDE - GAP}),
 ap as (select a.scenario_id, a.cluster a, b.cluster c, a.building_id ab, b.building_id cb, greatest(0, b.x0 - a.x1, a.x0 - b.x1) dx, greatest(0, b.y0 - a.y1, a.y0 - b.y1) dy,
@@ -337,15 +376,25 @@ bk as (select li2.a, li2.c, d.cluster d from li2 join mb d on d.scenario_id = li
 t3 as (select li2.scenario_id, li2.a, li2.c, s1.b, px, py, qx, qy, sqrt(square::double) dist, x0, y0, x1, y1 from li2 join sd s1 on s1.a = li2.a join sd s2 on s2.a = li2.c and s2.b = s1.b join ms on ms.cluster = s1.b),
 t4 as (select *, (qx - px) / dist ux, (qy - py) / dist uy from t3),
 t5 as (select *, least(x0 * ux + y0 * uy, x0 * ux + y1 * uy, x1 * ux + y0 * uy, x1 * ux + y1 * uy) lo, greatest(x0 * ux + y0 * uy, x0 * ux + y1 * uy, x1 * ux + y0 * uy, x1 * ux + y1 * uy) hi, px * ux + py * uy us, qx * ux + qy * uy ue from t4),
-t6 as (select scenario_id, a, b, c from t5 where (dist = 0 or (hi >= us and lo <= ue and greatest(dist - {GAP}, 0) <= {WIDE_SPAN - GAP} + hi - lo))
+t6 as (select scenario_id, a, b, c from t5 where (dist = 0 or (hi >= us and lo <= ue and greatest(dist - {GAP}, 0) <= {span - GAP} + hi - lo{narrow}))
   and not exists (select 1 from bk where bk.a = t5.a and bk.c = t5.c and bk.d <> t5.b))
-select distinct scenario_id, a, c b from t6 union select distinct scenario_id, least(a, b) a, greatest(a, b) b from t6""")
+select distinct scenario_id, a, c b from t6 union select distinct scenario_id, least(a, b) a, greatest(a, b) b from t6"""
+
+
+@query(f"""with recursive {SUMMARY}, {_CITY_PAIRS}, {_MERGED}, mb as (select bb.scenario_id, mg.root as cluster, bb.building_id, x0, y0, x1, y1 from bb join mg using (scenario_id, cluster)), {_triangles_sql(WIDE_SPAN, True)}""")
 def merge_triangles(spark, sf_dir):
     """Links that the triangle rule adds where a wide middle city counts, boxes standing for hulls of merged cities."""
     cities, buildings = _merged_shapes(spark, sf_dir)
     return M.triangle_links(cities, buildings, GAP, SIDE, WIDE_SPAN, wide=True)
 
 
+@query(f"""with recursive {CLUSTERS}, mb as (select scenario_id, cluster, building_id, x0, y0, x1, y1 from c), {_triangles_sql(SPAN, False)}""")
+def merge_triangles_narrow(spark, sf_dir):
+    """Links by the rule's own span, with no wide middle, between all clusters of footprints, however few they have."""
+    buildings = _clustered(spark, sf_dir)
+    return M.triangle_links(C.summary(buildings), buildings, GAP, SIDE, SPAN)
+
+
 @query(f"""with recursive {SUMMARY}, bb as (select c.scenario_id, c.cluster, x0, y0, x1, y1 from c join ci using (scenario_id, cluster)), xc as (select distinct scenario_id, cluster, unnest([x0, x1]) xa from bb),
 xs as (select *, lead(xa) over (partition by scenario_id, cluster order by xa) xb from xc), yc as (select distinct scenario_id, cluster, unnest([y0, y1]) ya from bb),
 ys as (select *, lead(ya) over (partition by scenario_id, cluster order by ya) yb from yc)

@@ -498,3 +498,21 @@ def test_swallowed_cities_around_every_city(spark, tmp_path):
     got, other = Q.havlaah_rects(spark, d), con.execute(Q.ORACLE_SQL["havlaah_rects"].replace("where number <= 3", ""))
     names = [c[0] for c in other.description]
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(other.fetchall())
+
+
+def test_neighbours_of_a_hub_meet_in_parts(spark):
+    """A middle of 700 neighbours, one of them as wide as all, beside a small one: all pairs near enough, each once."""
+    import numpy as np
+
+    from cubitgrid.operators import merge as M
+
+    g = np.random.default_rng(5)
+    at = [(int(x), int(y)) for x, y in g.integers(-2_000_000, 2_000_000, (700, 2))]
+    rows = [(1, 1, 90_000.0, 100 + k, x, y, x + 9_000, y + 7_000) for k, (x, y) in enumerate(at)] + [(1, 1, 90_000.0, 50, -2_000_000, 0, 2_000_000, 60_000)]
+    rows += [(1, 2, 5_000.0, 100 + k, x, y, x + 9_000, y + 7_000) for k, (x, y) in enumerate(at[:9])]
+    ab = spark.createDataFrame(rows, "scenario_id bigint, b bigint, diagonal double, cluster bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    gap = lambda p, q: np.hypot(max(0, q[4] - p[6], p[4] - q[6]), max(0, q[5] - p[7], p[5] - q[7]))
+    want = sorted((p[1], p[3], q[3]) for p in rows for q in rows if p[1] == q[1] and p[3] < q[3] and gap(p, q) <= 100_000 + p[2] + 1)
+    for dealt in (M.DEALT, 64):
+        assert sorted((r.b, r.a, r.c) for r in M.around_middles(ab, 100_000, dealt).collect()) == want
+    assert len(want) > 1_000 and any(a == 50 for _, a, _ in want)
