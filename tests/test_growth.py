@@ -84,3 +84,21 @@ def test_fit_angle_of_a_city_with_a_million_corners(spark, sf_dir, monkeypatch):
     rows = one.withColumns({"y0": F.col("y0") * 100, "x1": F.col("x0") + 10, "y1": F.col("y0") * 100 + 10})
     monkeypatch.setattr(Q, "_cities", lambda *_: (rows, None))
     assert [r.angle_millideg for r in Q.fit_angle(spark, sf_dir).collect()] == [0]
+
+
+def test_pairs_broadcast_no_exploded_table(spark, sf_dir):
+    """A small file becomes many rows by cells and hulls: Spark took it for small and sent it through the driver."""
+    for name in ("hull_pairs", "pair_gap_join"):
+        assert "Broadcast" not in Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hulls_in_arrays_are_tested_as_in_columns(spark):
+    from cubitgrid.functions import geometry as G
+
+    rng = np.random.default_rng(5)
+    rings = rng.integers(0, 120_000, (60, 1, 2)) + rng.integers(0, 25_000, (60, 5, 2))
+    rows = spark.createDataFrame([(i, [{"x": int(x), "y": int(y)} for x, y in ring]) for i, ring in enumerate(rings)], "id long, ring array<struct<x:long,y:long>>")
+    hulls = C.with_hulls(rows.selectExpr("0L as scenario_id", "id as building_id", "ring")).cache()
+    pairs = hulls.alias("a").join(hulls.alias("b"), F.col("a.building_id") < F.col("b.building_id"))
+    told = {(r.a, r.b) for r in pairs.where(G.hulls_near(F.col("a.hull"), F.col("b.hull"), GAP)).select(F.col("a.building_id").alias("a"), F.col("b.building_id").alias("b")).collect()}
+    assert told == {(r.a, r.b) for r in C.linked_pairs(hulls, GAP).collect()} and told
