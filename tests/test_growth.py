@@ -102,3 +102,23 @@ def test_hulls_in_arrays_are_tested_as_in_columns(spark):
     pairs = hulls.alias("a").join(hulls.alias("b"), F.col("a.building_id") < F.col("b.building_id"))
     told = {(r.a, r.b) for r in pairs.where(G.hulls_near(F.col("a.hull"), F.col("b.hull"), GAP)).select(F.col("a.building_id").alias("a"), F.col("b.building_id").alias("b")).collect()}
     assert told == {(r.a, r.b) for r in C.linked_pairs(hulls, GAP).collect()} and told
+
+
+@pytest.mark.parametrize("wide", [60_000, 400_000])
+@pytest.mark.parametrize("size", [1, 8, 4])
+def test_open_parts_are_those_of_all_neighbours(spark, monkeypatch, wide, size):
+    """By a point, the octagon and a square; all but the wide footprints meet in tiles and not in a join of pairs."""
+    from cubitgrid.operators import outline as L
+
+    by = {1: np.zeros((1, 2), "int64"), 8: L.brush(GAP / 2), 4: np.array([[-9_000, -9_000], [9_000, -9_000], [9_000, 9_000], [-9_000, 9_000]], "int64")}[size]
+    joined = []
+    monkeypatch.setattr(C, "cell_pairs", lambda left, *a, _of=C.cell_pairs, **k: (joined.append(left.count()), _of(left, *a, **k))[1])
+    x = np.unique(boxes(250, wide, wide), axis=0)
+    rows = spark.createDataFrame([(0, 0, i, *map(int, b)) for i, b in enumerate(x)], "scenario_id long, cluster long, building_id long, x0 long, y0 long, x1 long, y1 long")
+    got = {(r.ax, r.ay, r.bx, r.by) for r in L.open_parts(rows, by).collect()}
+    assert joined == [int((np.maximum(x[:, 2] - x[:, 0], x[:, 3] - x[:, 1]) > 32_000).sum())]
+    rings = [K.hull((np.array([[a, b], [c, b], [c, d], [a, d]])[:, None] + by[None]).reshape(-1, 2)).astype("int64") for a, b, c, d in x]
+    n, of = np.array([len(r) for r in rings]), np.arange(len(x))
+    near = [[j for j in of if j != i] for i in of]
+    _, ends = K.open_parts(np.concatenate(rings), n, np.concatenate([rings[j] for js in near for j in js]), np.array([len(rings[j]) for js in near for j in js]), np.full(len(x), len(x) - 1), np.array([j < i for i, js in enumerate(near) for j in js]))
+    assert got == set(map(tuple, ends.tolist()))
