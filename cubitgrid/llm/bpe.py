@@ -296,7 +296,7 @@ class LibraryIds:
     def learn(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces) > self.most:
             self.known.clear()
-        new = list(pieces - self.known.keys())
+        new = [p for p in pieces if p not in self.known]  # a difference of sets goes through all known ones
         if not new:
             return
         ids = np.array(self.bare.encode(" ".join(new), add_special_tokens=False).ids, "<u4")

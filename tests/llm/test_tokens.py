@@ -96,3 +96,16 @@ def test_every_character_of_the_basic_plane():
     assert [c for c, a, b in zip(chars, got, want, strict=True) if a != b] == []
     dynamic = [np.array([i for x in own.chunks(t) for i in own.ids(x)], "<u4").tobytes() for t in texts]
     assert [c for c, a, b in zip(chars, dynamic, want, strict=True) if a != b] == []
+
+
+def test_new_pieces_are_found_without_going_through_the_known_ones():
+    from cubitgrid.llm import bpe
+
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("goes through all known pieces")
+
+    ids = bpe.LibraryIds(bpe.VOCABULARY)
+    once = ids.encode(["some words, and more words"])
+    ids.known = Known(ids.known)
+    assert ids.encode(["some words, and more words"]) == once and ids.encode(["entirely new ones"]) == [ids.whole("entirely new ones")]
