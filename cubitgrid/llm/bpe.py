@@ -18,7 +18,7 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import regex
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 from cubitgrid.llm.common import held
 
@@ -265,14 +265,13 @@ class LibraryIds:
 
     def __init__(self, name: str, most: int = REMEMBERED) -> None:
         self.lib = Tokenizer.from_file(public_tokenizers.path(name))
-        # pieces are normalised and cut already: for them the library needs its byte letters and merges alone
-        self.bare = Tokenizer.from_file(public_tokenizers.path(name))
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        for t in (self.lib, self.bare):
-            t.no_padding()
-            t.no_truncation()
-        vocab = self.bare.get_vocab(with_added_tokens=True)
+        # pieces are normalised, cut and in byte letters already: for them the library's merges are needed alone, which both share
+        self.bare = Tokenizer(self.lib.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = "".join([" " if b == 32 else c for b, c in enumerate(byte_letters())])
+        self.lib.no_padding()
+        self.lib.no_truncation()
+        vocab = self.lib.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith(END)]] = True
         self.any = regex.compile(SPLIT).findall
@@ -299,7 +298,9 @@ class LibraryIds:
         new = [p for p in pieces if p not in self.known]  # a difference of sets goes through all known ones
         if not new:
             return
-        ids = np.array(self.bare.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        text = " ".join(new).encode().decode("latin-1").translate(self.letters)
+        # the one call that doesn't also work out where tokens stand
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         raw, at, ends = ids.tobytes(), 0, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         for p, end in zip(new, ends, strict=True):
             self.known[p] = raw[at:end]

@@ -109,3 +109,13 @@ def test_new_pieces_are_found_without_going_through_the_known_ones():
     once = ids.encode(["some words, and more words"])
     ids.known = Known(ids.known)
     assert ids.encode(["some words, and more words"]) == once and ids.encode(["entirely new ones"]) == [ids.whole("entirely new ones")]
+
+
+def test_merges_are_loaded_once(monkeypatch):
+    """Two copies of them were a worker's memory; pieces are encoded as in whole texts all the same."""
+    loaded = []
+    monkeypatch.setattr(bpe.Tokenizer, "from_file", lambda path, _of=bpe.Tokenizer.from_file: (loaded.append(path), _of(path))[1], raising=False)
+    ids = bpe.LibraryIds(bpe.VOCABULARY, most=3)
+    texts = ["Größe naïve Σας 12 it's", "", "a\u00a0b\x1c.c ~!", "x" * 200 + " ☃☃ é"]
+    assert ids.encode(texts) == [ids.whole(t) for t in texts]
+    assert len(loaded) == 1
