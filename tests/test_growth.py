@@ -122,3 +122,21 @@ def test_open_parts_are_those_of_all_neighbours(spark, monkeypatch, wide, size):
     near = [[j for j in of if j != i] for i in of]
     _, ends = K.open_parts(np.concatenate(rings), n, np.concatenate([rings[j] for js in near for j in js]), np.array([len(rings[j]) for js in near for j in js]), np.full(len(x), len(x) - 1), np.array([j < i for i, js in enumerate(near) for j in js]))
     assert got == set(map(tuple, ends.tolist()))
+
+
+@pytest.mark.parametrize("wide", [60_000, 400_000])
+def test_nearest_boxes_are_those_of_all_pairs(spark, monkeypatch, wide):
+    """And a point that finds one close by meets none farther away."""
+    from cubitgrid.operators import points as P
+
+    rng = np.random.default_rng(wide)
+    x, at = boxes(300, wide, wide), rng.integers(-wide - 150_000, wide + 150_000, (200, 2))
+    looked = []
+    monkeypatch.setattr(P, "cell_pairs", lambda left, *a, _of=P.cell_pairs, **k: (looked.append(left.count()), _of(left, *a, **k))[1])
+    rows = spark.createDataFrame([(0, i, *map(int, b)) for i, b in enumerate(x)], BOX)
+    asked = spark.createDataFrame([(0, i, *map(int, p)) for i, p in enumerate(at)], "scenario_id long, point_id long, x long, y long")
+    got = {r.point_id: (r.square, r.building_id) for r in P.nearest(asked, rows, "building_id", 100_000).collect()}
+    away = [np.maximum(0, np.maximum(x[None, :, k] - at[:, k, None], at[:, k, None] - x[None, :, k + 2])) for k in (0, 1)]
+    square = away[0] ** 2 + away[1] ** 2
+    assert got == {i: (int(q.min()), int(q.argmin())) for i, q in enumerate(square) if q.min() <= 100_000**2}
+    assert looked == [200, *[int((square.min(1) > r * r).sum()) for r in (0, 6_250, 25_000)]]
