@@ -55,7 +55,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece, as packing.pack() describes them; workers that ran the other stages remember fewer pieces."""
-    return packing.pack(docs, with_ids=False, remembered=packing.bpe.REMEMBERED // 2)
+    return packing.pack(docs, with_ids=False, remembered=packing.bpe.REMEMBERED // 5)
 
 
 STAGES = [

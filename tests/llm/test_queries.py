@@ -59,3 +59,13 @@ def test_nothing_else_imports_the_subpackage():
 
     root = Path(sys.modules["cubitgrid"].__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "cubitgrid.llm" in p.read_text()]
+
+
+def test_packing_of_the_pipeline_remembers_little(spark, sf_dir, monkeypatch):
+    """Workers that ran the other stages took more than an executor's memory with 250,000 pieces."""
+    import corpus_pipeline
+
+    asked = []
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, **k: asked.append(k["remembered"]))
+    corpus_pipeline.packed(spark, spark.range(1), sf_dir)
+    assert asked[0] <= 100_000
