@@ -140,3 +140,28 @@ def test_nearest_boxes_are_those_of_all_pairs(spark, monkeypatch, wide):
     square = away[0] ** 2 + away[1] ** 2
     assert got == {i: (int(q.min()), int(q.argmin())) for i, q in enumerate(square) if q.min() <= 100_000**2}
     assert looked == [200, *[int((square.min(1) > r * r).sum()) for r in (0, 6_250, 25_000)]]
+
+
+@pytest.mark.parametrize("size", [1, 8, 4])
+def test_buried_footprints_have_no_open_part(size):
+    """Among many, most; what the rest has open needs all of them as neighbours, but none of them as its own."""
+    from cubitgrid.operators import outline as L
+
+    by = {1: np.zeros((1, 2), "int64"), 8: L.brush(GAP / 2), 4: np.array([[-9_000, -9_000], [9_000, -9_000], [9_000, 9_000], [-9_000, 9_000]], "int64")}[size]
+    x = np.unique(boxes(700, 90_000, size), axis=0)
+    x = x[np.maximum(x[:, 2] - x[:, 0], x[:, 3] - x[:, 1]) < 32_000]
+    own = np.arange(0, len(x), 2)
+    inner = K.inner_square(by)
+    got = K.buried(x, own, inner, int(np.abs(by).max()) + 1, 2_000)
+    rings = [K.hull((np.array([[a, b], [c, b], [c, d], [a, d]])[:, None] + by[None]).reshape(-1, 2)).astype("int64") for a, b, c, d in x]
+    n = np.array([len(r) for r in rings])
+    near = [[j for j in range(len(x)) if j != i] for i in own]
+    of, _ = K.open_parts(np.concatenate([rings[i] for i in own]), n[own], np.concatenate([rings[j] for js in near for j in js]), np.concatenate([n[js] for js in near]), np.array([len(js) for js in near]), np.concatenate([np.array(js) < i for i, js in zip(own, near, strict=True)]))
+    assert not got[np.unique(of)].any()
+    assert size == 1 or got.sum() > len(own) / 3
+
+
+def test_no_footprint_buries_itself():
+    """One that stands alone, two that touch, and one inside another, whose sides are all held."""
+    x = np.array([[0, 0, 90_000, 90_000], [90_000, 0, 120_000, 90_000], [500_000, 0, 590_000, 90_000], [20_000, 20_000, 40_000, 40_000]])
+    assert K.buried(x, np.arange(4), 0, 1, 2_000).tolist() == [False, False, False, True]
