@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cubitgrid.functions import kernels as K
 from cubitgrid.operators import cluster as C
+from cubitgrid.operators import merge as M
+from cubitgrid.operators import outline as L
 from cubitgrid.plans import spatial_queries as Q
 
 GAP = 33_920
@@ -165,3 +167,79 @@ def test_no_footprint_buries_itself():
     """One that stands alone, two that touch, and one inside another, whose sides are all held."""
     x = np.array([[0, 0, 90_000, 90_000], [90_000, 0, 120_000, 90_000], [500_000, 0, 590_000, 90_000], [20_000, 20_000, 40_000, 40_000]])
     assert K.buried(x, np.arange(4), 0, 1, 2_000).tolist() == [False, False, False, True]
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_hulls_shuffle_no_points_from_inside(spark, whole):
+    rng = np.random.default_rng(3)
+    at = rng.integers(-9_000, 9_000, (20_000, 2)) if whole else rng.normal(0, 9_000, (20_000, 2)).round(3)
+    at[:4_000, 0] = at[:4_000, 0] // 3_000 * 3_000  # many on one line
+    kind = "long" if whole else "double"
+    rows = spark.createDataFrame([(0, i % 7, *p) for i, p in enumerate(at.tolist())] + [(1, 8, *at[0].tolist()), (1, 9, *at[1].tolist()), (1, 9, *at[2].tolist())], f"scenario_id long, cluster long, x {kind}, y {kind}")
+    got: dict = {}
+    for r in C.hulls(rows, ["scenario_id", "cluster"]).orderBy("i").collect():
+        got.setdefault(r.cluster, []).append([r.x, r.y])
+    want = {c: at[c::7] for c in range(7)} | {8: at[:1], 9: at[1:3]}
+    assert {c: sorted(p) for c, p in got.items()} == {c: sorted(slow_hull(p)) for c, p in want.items()}
+    assert C._outermost(rows, ["scenario_id", "cluster"]).count() < 2_000
+
+
+def slow_hull(points: np.ndarray) -> list[list[float]]:
+    p, half = sorted({tuple(q) for q in points.tolist()}), []
+    for order in (p, p[::-1]):
+        out: list = []
+        for q in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        half += out[:-1] if len(p) > 2 else []
+    return [[float(k) for k in q] for q in (half or p)]
+
+
+def test_gap_lines_meet_no_footprints_of_far_sides(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.integers(0, 600_000, (400, 2)) // 4_000 * 4_000 + [640_000 * k, 90_000 * k] for k in range(4)])
+    x = np.concatenate([at, at + rng.integers(1, 4, (1600, 2)) * 4_000], 1)
+    rows = spark.createDataFrame([(0, i // 400 * 400, i, *map(int, b)) for i, b in enumerate(x)], BOX.replace("building_id", "cluster long, building_id"))
+    met = []
+    monkeypatch.setattr(M, "_shortest", lambda m, f=M._shortest: met.append(m) or f(m))
+    got = {(r.a, r.c): (r.square, r.a_building, r.c_building) for r in M.gap_lines(rows, 200_000).collect()}
+    dx, dy = (np.maximum(0, np.maximum(x[None, :, k] - x[:, None, k + 2], x[:, None, k] - x[None, :, k + 2])) for k in (0, 1))
+    want = {}
+    for a in range(4):
+        for c in range(a + 1, 4):
+            square, p, q = min((int(dx[i, j] ** 2 + dy[i, j] ** 2), i, j) for i in range(400 * a, 400 * a + 400) for j in range(400 * c, 400 * c + 400))
+            if square <= 200_000**2:
+                want[400 * a, 400 * c] = square, p, q
+    near = int(((np.maximum(dx, dy) <= 200_000) & (np.arange(1600)[:, None] // 400 < np.arange(1600)[None] // 400)).sum())
+    assert got == want and len(want) >= 3
+    assert met[0].count() < near / 3
+
+
+def test_union_area_writes_nothing_of_how_boxes_cut_each_other(spark):
+    x = boxes(300, 150_000, 11)
+    rows = spark.createDataFrame([(0, i % 2, i, *map(int, b)) for i, b in enumerate(x)], BOX.replace("building_id", "cluster long, building_id"))
+    got = M.union_area(rows, ["scenario_id", "cluster"])
+    want = {}
+    for c in (0, 1):
+        xs, ys = (np.unique(x[c::2][:, [k, k + 2]]) for k in (0, 1))
+        covered = np.zeros((len(xs), len(ys)), bool)
+        for b in x[c::2]:
+            covered[(xs >= b[0]) & (xs < b[2])] |= (ys >= b[1]) & (ys < b[3])
+        want[c] = int((np.diff(xs) * (covered[:-1, :-1] @ np.diff(ys))).sum())
+        assert K.boxes_area(x[c::2], most=1_000) == want[c]
+    assert {r.cluster: r.area for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_boxes_are_grown_by_squares_as_column_expressions(spark, monkeypatch):
+    monkeypatch.setattr(L, "grown_hull", None)
+    octagon = L.brush(5_000)
+    for by in (L.brush(700), np.array([[-9, -9], [9, -9], [9, 9], [-9, 9]]), K.hull((octagon[:, None] + [[-9, -9], [9, -9], [9, 9], [-9, 9]]).reshape(-1, 2)).astype("int64")):
+        rows = spark.createDataFrame([(0, 0, 1, 10, 20, 400, 90)], BOX.replace("building_id", "cluster long, building_id"))
+        ring = rows.select(L.grown_box(by).alias("r")).first().r
+        box = np.array([[10, 20], [400, 20], [400, 90], [10, 90]])
+        want = K.hull((box[:, None] + by[None]).reshape(-1, 2)).tolist()
+        k = want.index(list(map(float, ring[0])))
+        assert [list(map(float, p)) for p in ring] == want[k:] + want[:k]
+        L.open_parts(rows, by)
