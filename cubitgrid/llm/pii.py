@@ -24,8 +24,9 @@ PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d|\.\d)"
 KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ssn": SSN, "ipv4": IPV4, "card": CARD, "phone": PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Groups of digits that may hold cards among other numbers, however many.
-RUN = r"(?<![\d.])\d(?:[ -]?\d){12,}(?!\d|\.\d)"
+#: Groups of digits that may hold cards among other numbers, however many: 13 digits at least, no group before a decimal point.
+#: Its loops never give anything back: a loop that could would take a frame of the stack for each digit, and a stack that runs out ends the executor.
+RUN = r"(?<![\d.])(?=\d(?:[ -]?\d){12}\d*+(?!\.\d))\d++(?:[ -]\d++(?!\.\d))*+"
 ANY_RUN = "|".join(f"(?:{RUN if k == 'card' else p})" for k, p in KINDS.items())
 #: A noncharacter that stands at the ends of accepted parts while a text is worked on. No pattern matches or looks for it,
 #: so a text that holds it is worked on in the parts between.

@@ -275,6 +275,17 @@ def test_card_or_iban_among_other_groups(spark):
     assert got[8] == f"﷐ {one} 123" and got[9] == texts[9]
 
 
+def test_long_runs_of_digits(spark):
+    """A run of any length takes no stack: a stack that runs out ends the executor."""
+    from pyspark.sql import functions as F
+
+    card, n = "4111 1111 1111 1111", 4_000
+    texts = [card, "7" * n, "7-" * n + "x", f"{card} " * 300, f"{'12 ' * n}345.6", f"12 34 56 78 90 12 3.4 {card}"]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pii.protect(F.col("t"), "k").alias("t")).orderBy("i").collect()]
+    assert got[0] != card
+    assert got[1:] == [t.replace(card, got[0]) for t in texts[1:]]
+
+
 class PlainPseudonyms:
     """The cipher in plain Python: rounds of keyed digests over the halves of a value."""
 
