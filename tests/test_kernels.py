@@ -153,3 +153,31 @@ def test_corridor_reaches_into_recesses():
     assert np.allclose(u, [1, 0]) and (start, end) == (0.0, 30.0)
     assert K.slice_range(a, u, np.array([0.0, 1.0]), 50.0) == (0.0, 10.0)
     assert K.hulls_overlap(a, a + [10, 0]) and not K.hulls_overlap(a, a + [10.1, 0])
+
+
+def test_bays_of_many_holes():
+    """A wall with 900 yards, turned a little: each yard is a bay by itself, and the time does not grow with their square."""
+    import time
+
+    yard = box(0, 0, 10_000, 10_000)[::-1]
+    wall = [Y.turn(r, 0.01) for r in (box(-20_000, -20_000, 920_000, 920_000), *(yard + [30_000 * i, 30_000 * j] for i in range(30) for j in range(30)))]
+    began = time.process_time()
+    found = Y.bays(wall, -50_000, -50_000, 950_000, 950_000)
+    took = time.process_time() - began
+    yards = [b for b in found if b.runs == 0]
+    assert len(yards) == 900 and all(b.area == pytest.approx(1e8) and b.holes == 0 and b.mouth is None for b in yards)
+    outside = [b for b in found if b.runs]
+    assert sum(b.area for b in outside) == pytest.approx(1e6**2 - 940_000.0**2)
+    assert took < 6, took
+
+
+def test_width_of_a_bay_at_a_depth():
+    """A bay of many trapezoids: a triangle 100 m deep under a straight mouth, cut at every metre."""
+    x = np.arange(0, 200_001, 1_000.0)
+    ring = np.array([*zip(x, 100_000 - np.abs(x - 100_000) * 0.9, strict=True), (200_000, 150_000), (0, 150_000)])
+    bay = max(Y.bays([ring], 0, 0, 200_000, 150_000), key=lambda b: b.area)
+    width = Y.width_at(bay, np.array([0.0, 0.0]), np.array([1.0, 0.0]), np.array([0.0, 1.0]))
+    for d in (20_000.0, 55_500.0, 99_000.0):
+        left = (100_000 - (100_000 - d) / 0.9) if d > 10_000 else 0
+        assert width(d) in (pytest.approx(left), pytest.approx(200_000 - 2 * left), pytest.approx(2 * left)), d
+    assert width(200_000.0) == 0
