@@ -243,3 +243,23 @@ def test_boxes_are_grown_by_squares_as_column_expressions(spark, monkeypatch):
         k = want.index(list(map(float, ring[0])))
         assert [list(map(float, p)) for p in ring] == want[k:] + want[:k]
         L.open_parts(rows, by)
+
+
+def test_sides_that_others_bury_are_not_asked():
+    """Sides that meet no bare cell have no open part, and the others have the same ones when they alone are asked."""
+    rng = np.random.default_rng(5)
+    by = L.brush(17_000.0, 17_500.0)
+    x = rng.integers(0, 200_000, (120, 2))
+    boxes = np.concatenate([x, x + rng.integers(7_000, 20_000, (120, 2))], 1)
+    corner = [(k, c) for k, c in L._rim(by)]
+    rings = np.stack([np.stack([boxes[:, 2 * i] + int(by[k, 0]), boxes[:, 1 + 2 * j] + int(by[k, 1])], 1) for k, (i, j) in corner], 1)
+    n, sides = len(boxes), rings.shape[1]
+    others = np.stack([np.delete(np.arange(n), k) for k in range(n)])
+    given = rings.reshape(-1, 2), np.full(n, sides), rings[others.ravel()].reshape(-1, 2), np.full(n * (n - 1), sides), np.full(n, n - 1), (others < np.arange(n)[:, None]).ravel()
+    side, ends = K.open_of_sides(*given)
+    end = K.following(given[0], given[1])
+    bare = K.meets_bare(boxes, np.minimum(given[0], end), np.maximum(given[0], end), K.inner_square(by), 2_000)
+    assert set(side) <= set(np.flatnonzero(bare)) and bare.sum() < 0.4 * len(bare)
+    again, parts = K.open_of_sides(*given, bare)
+    assert np.array_equal(side, again) and np.array_equal(ends, parts)
+    assert np.array_equal(K.open_parts(*given)[1], ends)
